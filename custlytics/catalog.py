@@ -78,3 +78,100 @@ def q_segment_summary(spark, sf_dir):
 @query("segment_counts")
 def q_segment_counts(spark, sf_dir):
     return R.value_counts(_segments(spark, sf_dir), "segment", "customers")
+
+
+# ------------------------------------------------------------ quality (B)
+
+from custlytics.operators import quality as Q  # noqa: E402
+from custlytics.plans.pushdown import count_through_dimension, distinct_through_dimension  # noqa: E402
+
+
+@query("dq_total_transactions")
+def q_dq_total(spark, sf_dir):
+    return Q.total_transactions(_tx(spark, sf_dir, lines=False))
+
+
+@query("dq_total_customers")
+def q_dq_customers(spark, sf_dir):
+    return Q.total_customers(_tx(spark, sf_dir, lines=False))
+
+
+@query("dq_date_range")
+def q_dq_dates(spark, sf_dir):
+    return Q.date_range(_tx(spark, sf_dir, lines=False))
+
+
+@query("dq_null_counts")
+def q_dq_nulls(spark, sf_dir):
+    return Q.null_counts(_tx(spark, sf_dir))
+
+
+@query("dq_duplicate_ids")
+def q_dq_dups(spark, sf_dir):
+    return Q.duplicate_ids(_tx(spark, sf_dir, lines=False))
+
+
+@query("dq_duplicate_line_ids")
+def q_dq_line_dups(spark, sf_dir):
+    return Q.duplicate_ids(TD.line_transactions(spark, sf_dir), ["order_id", "line_number"])
+
+
+@query("dq_nonpositive_value")
+def q_dq_nonpos_value(spark, sf_dir):
+    return Q.nonpositive_rows(_tx(spark, sf_dir, lines=False), "order_value",
+                              "non_positive_order_value_rows")
+
+
+@query("dq_nonpositive_event_value")
+def q_dq_nonpos_event(spark, sf_dir):
+    return Q.nonpositive_rows(TD.purchase_events(spark, sf_dir), "order_value",
+                              "non_positive_order_value_rows")
+
+
+@query("dq_nonpositive_quantity")
+def q_dq_nonpos_qty(spark, sf_dir):
+    return Q.nonpositive_rows(_tx(spark, sf_dir), "quantity", "non_positive_quantity_rows")
+
+
+@query("dq_one_time_customers")
+def q_dq_one_time(spark, sf_dir):
+    return Q.one_time_customers(_tx(spark, sf_dir, lines=False))
+
+
+@query("dq_repeat_customers")
+def q_dq_repeat(spark, sf_dir):
+    return Q.repeat_customers(_tx(spark, sf_dir, lines=False))
+
+
+@query("dist_channel")
+def q_dist_channel(spark, sf_dir):
+    return Q.distribution(_tx(spark, sf_dir, lines=False), "channel")
+
+
+@query("dist_category")
+def q_dist_category(spark, sf_dir):
+    lines = TD.line_transactions(spark, sf_dir)
+    part = TD.table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_type").alias("product_category"))
+    counts = count_through_dimension(lines, "part_id", part, "p_partkey",
+                                     ["product_category"], "transactions")
+    return counts.orderBy(F.desc("transactions"), F.asc_nulls_first("product_category"))
+
+
+@query("dist_state")
+def q_dist_state(spark, sf_dir):
+    orders = _tx(spark, sf_dir, lines=False)
+    states = TD.customer_states(spark, sf_dir)
+    counts = distinct_through_dimension(orders, "customer_id", states, "customer_id",
+                                        ["customer_state"], "customers")
+    return counts.orderBy(F.desc("customers"), F.asc_nulls_first("customer_state"))
+
+
+@query("dist_state_generic")
+def q_dist_state_generic(spark, sf_dir):
+    return Q.distinct_distribution(_tx(spark, sf_dir, lines=False, geo=True), "customer_state")
+
+
+@query("dq_suite")
+def q_dq_suite(spark, sf_dir):
+    return Q.run_validation(_tx(spark, sf_dir))

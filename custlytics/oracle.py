@@ -78,3 +78,92 @@ ORACLE["segment_summary"] = with_(TX, RFM, SCORED) + f"""SELECT segment, COUNT(c
   FROM segs GROUP BY segment ORDER BY customers DESC, segment"""
 ORACLE["segment_counts"] = with_(TX, RFM, SCORED) + \
     "SELECT segment, COUNT(*) AS customers FROM segs GROUP BY segment ORDER BY customers DESC, segment"
+
+# ------------------------------------------------------------ quality (B)
+TXGEO = """txg AS (
+  SELECT tx.*, n.n_name AS customer_state FROM tx
+  LEFT JOIN customer c ON tx.customer_id = c.c_custkey
+  LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
+
+ORACLE["dq_total_transactions"] = with_(TX) + "SELECT COUNT(*) AS total_transactions FROM tx"
+ORACLE["dq_total_customers"] = with_(TX) + \
+    "SELECT COUNT(DISTINCT customer_id) AS total_customers FROM tx"
+ORACLE["dq_date_range"] = with_(TX) + """SELECT MIN(CAST(transaction_date AS DATE)) AS min_transaction_date,
+  MAX(CAST(transaction_date AS DATE)) AS max_transaction_date FROM tx"""
+ORACLE["dq_null_counts"] = with_(TX) + """SELECT
+  CAST(SUM(CASE WHEN transaction_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_transaction_id,
+  CAST(SUM(CASE WHEN customer_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_customer_id,
+  CAST(SUM(CASE WHEN transaction_date IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_transaction_date,
+  CAST(SUM(CASE WHEN order_value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_order_value,
+  CAST(SUM(CASE WHEN quantity IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_quantity
+FROM tx"""
+ORACLE["dq_duplicate_ids"] = with_(TX) + """SELECT transaction_id, COUNT(*) AS duplicate_count
+  FROM tx GROUP BY transaction_id HAVING COUNT(*) > 1"""
+ORACLE["dq_duplicate_line_ids"] = """SELECT l_orderkey AS order_id, l_linenumber AS line_number,
+  COUNT(*) AS duplicate_count FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1"""
+ORACLE["dq_nonpositive_value"] = with_(TX) + \
+    "SELECT COUNT(*) AS non_positive_order_value_rows FROM tx WHERE order_value <= 0"
+ORACLE["dq_nonpositive_event_value"] = """SELECT COUNT(*) AS non_positive_order_value_rows
+  FROM events WHERE event_type = 'purchase' AND value <= 0"""
+ORACLE["dq_nonpositive_quantity"] = with_(TX) + \
+    "SELECT COUNT(*) AS non_positive_quantity_rows FROM tx WHERE quantity <= 0"
+ORACLE["dq_one_time_customers"] = with_(TX) + """SELECT COUNT(*) AS one_time_customers FROM (
+  SELECT customer_id FROM tx GROUP BY customer_id HAVING COUNT(transaction_id) = 1) t"""
+ORACLE["dq_repeat_customers"] = with_(TX) + """SELECT COUNT(*) AS repeat_customers FROM (
+  SELECT customer_id FROM tx GROUP BY customer_id HAVING COUNT(transaction_id) > 1) t"""
+ORACLE["dist_channel"] = with_(TX) + """SELECT channel, COUNT(*) AS transactions FROM tx
+  GROUP BY channel ORDER BY transactions DESC, channel"""
+ORACLE["dist_category"] = """SELECT p.p_type AS product_category, COUNT(*) AS transactions
+  FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey
+  GROUP BY p.p_type ORDER BY transactions DESC, product_category"""
+ORACLE["dist_state"] = with_(TX, TXGEO) + """SELECT customer_state, COUNT(DISTINCT customer_id) AS customers
+  FROM txg GROUP BY customer_state ORDER BY customers DESC, customer_state"""
+ORACLE["dist_state_generic"] = ORACLE["dist_state"]
+
+
+def _suite_sql() -> str:
+    body = with_(TX) + """,
+s AS (SELECT COUNT(*) AS total_transactions,
+        CAST(MIN(CAST(transaction_date AS DATE)) AS VARCHAR) AS min_transaction_date,
+        CAST(MAX(CAST(transaction_date AS DATE)) AS VARCHAR) AS max_transaction_date,
+        CAST(SUM(CASE WHEN transaction_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_transaction_id,
+        CAST(SUM(CASE WHEN customer_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_customer_id,
+        CAST(SUM(CASE WHEN transaction_date IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_transaction_date,
+        CAST(SUM(CASE WHEN order_value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_order_value,
+        CAST(SUM(CASE WHEN quantity IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_quantity,
+        COUNT(*) FILTER (WHERE order_value <= 0) AS non_positive_order_value_rows,
+        COUNT(*) FILTER (WHERE quantity <= 0) AS non_positive_quantity_rows FROM tx),
+pc AS (SELECT COUNT(customer_id) AS total_customers,
+         COUNT(*) FILTER (WHERE n = 1) AS one_time_customers,
+         COUNT(*) FILTER (WHERE n > 1) AS repeat_customers
+       FROM (SELECT customer_id, COUNT(transaction_id) AS n FROM tx GROUP BY customer_id) g),
+d AS (SELECT COUNT(*) AS duplicate_ids FROM (
+        SELECT transaction_id FROM tx GROUP BY transaction_id HAVING COUNT(*) > 1) g),
+one AS (SELECT * FROM s, pc, d)
+"""
+    checks = [
+        (1, "total_transactions", "total_transactions", "INFO"),
+        (2, "total_customers", "total_customers", "INFO"),
+        (3, "date_range", "min_transaction_date", "INFO"),
+        (3, "date_range", "max_transaction_date", "INFO"),
+        (4, "null_check", "null_transaction_id", "ZERO"),
+        (4, "null_check", "null_customer_id", "ZERO"),
+        (4, "null_check", "null_transaction_date", "ZERO"),
+        (4, "null_check", "null_order_value", "ZERO"),
+        (4, "null_check", "null_quantity", "ZERO"),
+        (5, "duplicate_transaction_id", "duplicate_ids", "ZERO"),
+        (6, "non_positive_order_value", "non_positive_order_value_rows", "ZERO"),
+        (7, "non_positive_quantity", "non_positive_quantity_rows", "ZERO"),
+        (8, "one_time_customers", "one_time_customers", "INFO"),
+        (9, "repeat_customers", "repeat_customers", "INFO"),
+    ]
+    parts = []
+    for no, check, metric, rule in checks:
+        status = (f"CASE WHEN {metric} IS NULL OR CAST({metric} AS BIGINT) = 0 THEN 'PASS' ELSE 'FAIL' END"
+                  if rule == "ZERO" else "'INFO'")
+        parts.append(f"SELECT CAST({no} AS INTEGER) AS check_no, '{check}' AS check_name, "
+                     f"'{metric}' AS metric, CAST({metric} AS VARCHAR) AS value, {status} AS status FROM one")
+    return body + "\nUNION ALL\n".join(parts)
+
+
+ORACLE["dq_suite"] = _suite_sql()
