@@ -175,3 +175,102 @@ def q_dist_state_generic(spark, sf_dir):
 @query("dq_suite")
 def q_dq_suite(spark, sf_dir):
     return Q.run_validation(_tx(spark, sf_dir))
+
+
+# -------------------------------------------------------------- cohort (D)
+
+from custlytics.operators import cohort as C  # noqa: E402
+
+
+@query("first_purchase")
+def q_first_purchase(spark, sf_dir):
+    return C.first_purchase(_tx(spark, sf_dir, lines=False))
+
+
+@query("cohort_assign")
+def q_cohort_assign(spark, sf_dir):
+    return C.cohort_assign(_tx(spark, sf_dir, lines=False))
+
+
+@query("cohort_counts")
+def q_cohort_counts(spark, sf_dir):
+    return C.cohort_counts(_tx(spark, sf_dir, lines=False))
+
+
+@query("cohort_size")
+def q_cohort_size(spark, sf_dir):
+    return C.cohort_size(C.cohort_counts(_tx(spark, sf_dir, lines=False)))
+
+
+def _retention(spark, sf_dir):
+    return C.cohort_retention(_tx(spark, sf_dir, lines=False), sort=False)
+
+
+@query("cohort_retention")
+def q_cohort_retention(spark, sf_dir):
+    return C.cohort_retention(_tx(spark, sf_dir, lines=False))
+
+
+@query("cohort_12m")
+def q_cohort_12m(spark, sf_dir):
+    return C.filter_cohorts(_retention(spark, sf_dir), 12).orderBy("cohort_month", "cohort_index")
+
+
+@query("cohort_options")
+def q_cohort_options(spark, sf_dir):
+    return C.cohort_options(C.filter_cohorts(_retention(spark, sf_dir), 12))
+
+
+@query("cohort_latest")
+def q_cohort_latest(spark, sf_dir):
+    return C.latest_retention(C.filter_cohorts(_retention(spark, sf_dir), 12))
+
+
+@query("cohort_matrix")
+def q_cohort_matrix(spark, sf_dir):
+    return C.cohort_matrix(C.filter_cohorts(_retention(spark, sf_dir), 12))
+
+
+# ------------------------------------------------------- churn and CLV (E)
+
+from custlytics.operators import customer as E  # noqa: E402
+
+
+def _churn(spark, sf_dir, sort=False):
+    return E.customer_churn(_tx(spark, sf_dir), sort=sort)
+
+
+@query("customer_churn")
+def q_customer_churn(spark, sf_dir):
+    return _churn(spark, sf_dir, sort=True)
+
+
+@query("customer_base")
+def q_customer_base(spark, sf_dir):
+    return E.customer_base(_tx(spark, sf_dir), sort=False)
+
+
+@query("recent_activity")
+def q_recent_activity(spark, sf_dir):
+    return E.recent_activity(_tx(spark, sf_dir, lines=False))
+
+
+@query("churn_label")
+def q_churn_label(spark, sf_dir):
+    return _churn(spark, sf_dir).select("customer_id", "days_since_last_purchase", "churn_label")
+
+
+@query("clv_proxy")
+def q_clv_proxy(spark, sf_dir):
+    return _churn(spark, sf_dir).select("customer_id", "total_transactions", "avg_order_value",
+                                        "active_months", "clv_proxy")
+
+
+@query("churn_distribution")
+def q_churn_distribution(spark, sf_dir):
+    return R.value_counts(_churn(spark, sf_dir), "churn_label", "customers")
+
+
+@query("model_base")
+def q_model_base(spark, sf_dir):
+    return E.customer_model_base(_tx(spark, sf_dir))
