@@ -274,3 +274,106 @@ def q_churn_distribution(spark, sf_dir):
 @query("model_base")
 def q_model_base(spark, sf_dir):
     return E.customer_model_base(_tx(spark, sf_dir))
+
+
+# ---------------------------------------------------- analyst views (G)
+
+from custlytics.operators import views as V  # noqa: E402
+
+VIEW_FILTER = dict(segments=("High-Value", "At-Risk"), prob=(0.05, 0.95), clv=(100000.0, 3000000.0))
+
+
+def _pred(spark, sf_dir):
+    return V.churn_scores(E.customer_model_base(_tx(spark, sf_dir)))
+
+
+@query("segment_options")
+def q_segment_options(spark, sf_dir):
+    return V.segment_options(_pred(spark, sf_dir))
+
+
+@query("clv_bounds")
+def q_clv_bounds(spark, sf_dir):
+    return V.clv_bounds(_pred(spark, sf_dir))
+
+
+@query("filtered_customers")
+def q_filtered_customers(spark, sf_dir):
+    return V.filter_customers(_pred(spark, sf_dir), **VIEW_FILTER)
+
+
+@query("risk_band")
+def q_risk_band(spark, sf_dir):
+    return V.with_risk_band(_pred(spark, sf_dir)).select("customer_id", "churn_probability", "risk_band")
+
+
+@query("kpi_row")
+def q_kpi_row(spark, sf_dir):
+    return V.kpis(_pred(spark, sf_dir), decimals=6)
+
+
+@query("kpi_row_filtered")
+def q_kpi_row_filtered(spark, sf_dir):
+    return V.kpis(V.filter_customers(_pred(spark, sf_dir), **VIEW_FILTER), decimals=6)
+
+
+@query("segment_performance")
+def q_segment_performance(spark, sf_dir):
+    return V.segment_performance(_pred(spark, sf_dir), decimals=6)
+
+
+@query("segment_metric")
+def q_segment_metric(spark, sf_dir):
+    return V.segment_metric(V.segment_performance(_pred(spark, sf_dir), decimals=6), "avg_clv_proxy")
+
+
+@query("risk_summary")
+def q_risk_summary(spark, sf_dir):
+    return V.risk_summary(_pred(spark, sf_dir), decimals=6)
+
+
+@query("risk_summary_filtered")
+def q_risk_summary_filtered(spark, sf_dir):
+    # a filter that leaves the low-risk band empty
+    return V.risk_summary(V.filter_customers(_pred(spark, sf_dir), prob=(0.5, 1.0)), decimals=6)
+
+
+@query("prob_histogram")
+def q_prob_histogram(spark, sf_dir):
+    return V.histogram(_pred(spark, sf_dir))
+
+
+@query("box_churn_probability")
+def q_box_prob(spark, sf_dir):
+    return V.box_stats(_pred(spark, sf_dir), "churn_probability", decimals=6)
+
+
+@query("box_clv")
+def q_box_clv(spark, sf_dir):
+    return V.box_stats(_pred(spark, sf_dir), "clv_proxy", decimals=6)
+
+
+@query("top_risk")
+def q_top_risk(spark, sf_dir):
+    return V.top_n(_pred(spark, sf_dir), "churn_probability", 25, cols=V.TOP_COLUMNS)
+
+
+@query("top_clv")
+def q_top_clv(spark, sf_dir):
+    return V.top_n(_pred(spark, sf_dir), "clv_proxy", 25, cols=V.TOP_COLUMNS)
+
+
+@query("bottom_clv")
+def q_bottom_clv(spark, sf_dir):
+    return V.top_n(_pred(spark, sf_dir), "clv_proxy", 25, ascending=True, cols=V.TOP_COLUMNS)
+
+
+@query("customer_table")
+def q_customer_table(spark, sf_dir):
+    return V.top_n(V.filter_customers(_pred(spark, sf_dir), **VIEW_FILTER), "monetary", 50,
+                   ascending=True)
+
+
+@query("clv_vs_risk")
+def q_clv_vs_risk(spark, sf_dir):
+    return V.points(_pred(spark, sf_dir))

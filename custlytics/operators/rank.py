@@ -216,12 +216,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     pos = []
     for i, p in enumerate(probs):
         h = (F.col("_n") - 1) * F.lit(float(p))
-        pos.append(F.struct(F.lit(i).alias("qi"), F.floor(h).cast("bigint").alias("lo"),
-                            F.ceil(h).cast("bigint").alias("hi"),
-                            (h - F.floor(h)).alias("frac")))
+        pos.append(F.struct(F.lit(i).alias("qi"), h.alias("h"),
+                            F.floor(h).cast("bigint").alias("lo"),
+                            F.ceil(h).cast("bigint").alias("hi")))
     wanted = (groups.select(*by, "_first", F.explode(F.array(*pos)).alias("q"))
               .select(*by, "_first", "q.*")
-              .select(*by, "qi", "frac",
+              .select(*by, "qi", "h", "lo", "hi",
                       F.explode(F.array(F.col("_first") + F.col("lo"),
                                         F.col("_first") + F.col("hi"))).alias("_r"),
                       (F.col("_first") + F.col("lo")).alias("_rlo"))
@@ -229,10 +229,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     # one row per group x quantile x {lo, hi}: bounded by the group count
     picked = ranked.join(F.broadcast(wanted), by + ["_r"]) if by else \
         ranked.join(F.broadcast(wanted), ["_r"])
-    per_q = picked.groupBy(*by, "qi", "frac").agg(
+    per_q = picked.groupBy(*by, "qi", "h", "lo", "hi").agg(
         F.max(F.when(F.col("_r") == F.col("_rlo"), F.col(value))).alias("_vlo"),
         F.max(F.col(value)).alias("_vhi"))
-    per_q = per_q.withColumn("_v", F.col("_vlo") + F.col("frac") * (F.col("_vhi") - F.col("_vlo")))
+    # (hi - h) * v_lo + (h - lo) * v_hi, the interpolation of Spark's percentile
+    per_q = per_q.withColumn("_v", F.when(F.col("lo") == F.col("hi"), F.col("_vlo")).otherwise(
+        (F.col("hi") - F.col("h")) * F.col("_vlo") + (F.col("h") - F.col("lo")) * F.col("_vhi")))
     return (per_q.groupBy(*by)
             .pivot("qi", list(range(len(probs))))
             .agg(F.first("_v"))

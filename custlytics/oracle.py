@@ -259,3 +259,97 @@ ORACLE["churn_distribution"] = with_(TX, CHURN) + """SELECT churn_label, COUNT(*
 FEATS = """rfm AS (SELECT *, days_since_last_purchase AS recency, total_transactions AS frequency,
   total_spend AS monetary FROM churn)"""
 ORACLE["model_base"] = with_(TX, CHURN, FEATS, SCORED) + "SELECT * FROM segs"
+
+# ---------------------------------------------------- analyst views (G)
+PRED = """pred AS (
+  SELECT customer_id, segment, churn_label,
+    CAST(days_since_last_purchase AS DOUBLE) / MAX(days_since_last_purchase) OVER () AS churn_probability,
+    clv_proxy, frequency, monetary, f_score, m_score, total_transactions, total_spend, avg_order_value,
+    active_months, quantity_total, discount_usage_rate, customer_lifespan_days
+  FROM segs),
+predb AS (
+  SELECT *, CAST(churn_probability > 0.5 AS INTEGER) AS prediction,
+    CASE WHEN churn_probability >= 0.0 AND churn_probability <= 0.3 THEN 'Low Risk'
+         WHEN churn_probability > 0.3 AND churn_probability <= 0.7 THEN 'Medium Risk'
+         WHEN churn_probability > 0.7 AND churn_probability <= 1.0 THEN 'High Risk' END AS risk_band
+  FROM pred)"""
+VBASE = (TX, CHURN, FEATS, SCORED, PRED)
+PRED_COLS = ("customer_id, segment, churn_label, churn_probability, clv_proxy, frequency, monetary, "
+             "f_score, m_score, total_transactions, total_spend, avg_order_value, active_months, "
+             "quantity_total, discount_usage_rate, customer_lifespan_days, prediction")
+VFILTER = ("segment IN ('High-Value', 'At-Risk') AND churn_probability BETWEEN 0.05 AND 0.95 "
+           "AND clv_proxy >= 100000.0 AND clv_proxy <= 3000000.0")
+TOPC = "customer_id, segment, churn_probability, clv_proxy, frequency, monetary"
+
+
+def means_sql(decimals: int = 6) -> str:
+    n = "COUNT(*)"
+    return (f"ROUND(AVG(churn_probability), {decimals}) AS avg_churn_probability, "
+            f"{mean_sql('SUM(CAST(ROUND(clv_proxy * 100) AS BIGINT))', n, 2)} AS avg_clv_proxy, "
+            f"{mean_sql('SUM(frequency)', n)} AS avg_frequency, "
+            f"{mean_sql('SUM(CAST(ROUND(monetary * 100) AS BIGINT))', n, 2)} AS avg_monetary")
+
+
+def kpi_sql(where: str = "TRUE") -> str:
+    return with_(*VBASE) + f"""SELECT COUNT(DISTINCT customer_id) AS customers,
+  ROUND(AVG(churn_probability), 6) AS avg_churn_probability,
+  {mean_sql('SUM(CAST(ROUND(clv_proxy * 100) AS BIGINT))', 'COUNT(*)', 2)} AS avg_clv_proxy,
+  COUNT(DISTINCT CASE WHEN churn_probability >= 0.7 THEN customer_id END) AS high_risk_customers,
+  {mean_sql('SUM(frequency)', 'COUNT(*)')} AS avg_frequency,
+  {mean_sql('SUM(CAST(ROUND(monetary * 100) AS BIGINT))', 'COUNT(*)', 2)} AS avg_monetary
+  FROM predb WHERE {where}"""
+
+
+def risk_summary_sql(where: str = "TRUE") -> str:
+    return with_(*VBASE) + f"""SELECT b.risk_band, COALESCE(a.customers, 0) AS customers,
+  a.avg_churn_probability, a.avg_clv_proxy FROM
+  (VALUES (0, 'Low Risk'), (1, 'Medium Risk'), (2, 'High Risk')) AS b(band_order, risk_band)
+  LEFT JOIN (SELECT risk_band, COUNT(customer_id) AS customers,
+               ROUND(AVG(churn_probability), 6) AS avg_churn_probability,
+               {mean_sql('SUM(CAST(ROUND(clv_proxy * 100) AS BIGINT))', 'COUNT(*)', 2)} AS avg_clv_proxy
+             FROM predb WHERE risk_band IS NOT NULL AND {where} GROUP BY risk_band) a
+  ON a.risk_band = b.risk_band ORDER BY b.band_order"""
+
+
+def box_sql(col: str) -> str:
+    return with_(*VBASE) + f""", q AS (
+  SELECT segment, ROUND(quantile_cont({col}, 0.25), 6) AS q1, ROUND(quantile_cont({col}, 0.5), 6) AS median,
+         ROUND(quantile_cont({col}, 0.75), 6) AS q3
+  FROM predb WHERE {col} IS NOT NULL GROUP BY segment),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q1) AS hi_f FROM q)
+SELECT p.segment, COUNT(*) AS n, MIN({col}) AS min, f.q1, f.median, f.q3, MAX({col}) AS max,
+  MIN(CASE WHEN {col} >= lo_f AND {col} <= hi_f THEN {col} END) AS lower_whisker,
+  MAX(CASE WHEN {col} >= lo_f AND {col} <= hi_f THEN {col} END) AS upper_whisker,
+  COUNT(*) FILTER (WHERE NOT ({col} >= lo_f AND {col} <= hi_f)) AS outliers
+FROM predb p JOIN f ON p.segment = f.segment WHERE {col} IS NOT NULL
+GROUP BY p.segment, f.q1, f.median, f.q3 ORDER BY p.segment"""
+
+
+ORACLE["segment_options"] = with_(*VBASE) + \
+    "SELECT DISTINCT segment FROM pred WHERE segment IS NOT NULL ORDER BY segment"
+ORACLE["clv_bounds"] = with_(*VBASE) + """SELECT MIN(clv_proxy) AS clv_min, MAX(clv_proxy) AS clv_max,
+  ROUND(MIN(clv_proxy), 0) AS slider_min, ROUND(MAX(clv_proxy), 0) AS slider_max FROM pred"""
+ORACLE["filtered_customers"] = with_(*VBASE) + f"SELECT {PRED_COLS} FROM predb WHERE {VFILTER}"
+ORACLE["risk_band"] = with_(*VBASE) + "SELECT customer_id, churn_probability, risk_band FROM predb"
+ORACLE["kpi_row"] = kpi_sql()
+ORACLE["kpi_row_filtered"] = kpi_sql(VFILTER)
+ORACLE["segment_performance"] = with_(*VBASE) + f"""SELECT segment, COUNT(customer_id) AS customers,
+  {means_sql()} FROM predb GROUP BY segment ORDER BY customers DESC, segment"""
+ORACLE["segment_metric"] = with_(*VBASE) + f"""SELECT segment,
+  {mean_sql('SUM(CAST(ROUND(clv_proxy * 100) AS BIGINT))', 'COUNT(*)', 2)} AS avg_clv_proxy
+  FROM predb GROUP BY segment"""
+ORACLE["risk_summary"] = risk_summary_sql()
+ORACLE["risk_summary_filtered"] = risk_summary_sql("churn_probability BETWEEN 0.5 AND 1.0")
+ORACLE["prob_histogram"] = with_(*VBASE) + """SELECT risk_band, bin,
+  CAST(bin AS DOUBLE) * 1.0 / 30 AS bin_lo, CAST(bin + 1 AS DOUBLE) * 1.0 / 30 AS bin_hi, COUNT(*) AS customers
+  FROM (SELECT risk_band, CAST(LEAST(FLOOR((churn_probability - 0.0) * 30 / 1.0), 29) AS INTEGER) AS bin
+        FROM predb WHERE churn_probability BETWEEN 0.0 AND 1.0) t GROUP BY risk_band, bin"""
+ORACLE["box_churn_probability"] = box_sql("churn_probability")
+ORACLE["box_clv"] = box_sql("clv_proxy")
+ORACLE["top_risk"] = with_(*VBASE) + \
+    f"SELECT {TOPC} FROM predb ORDER BY churn_probability DESC, customer_id LIMIT 25"
+ORACLE["top_clv"] = with_(*VBASE) + f"SELECT {TOPC} FROM predb ORDER BY clv_proxy DESC, customer_id LIMIT 25"
+ORACLE["bottom_clv"] = with_(*VBASE) + f"SELECT {TOPC} FROM predb ORDER BY clv_proxy ASC, customer_id LIMIT 25"
+ORACLE["customer_table"] = with_(*VBASE) + \
+    f"SELECT {PRED_COLS} FROM predb WHERE {VFILTER} ORDER BY monetary ASC, customer_id LIMIT 50"
+ORACLE["clv_vs_risk"] = with_(*VBASE) + "SELECT customer_id, segment, clv_proxy, churn_probability FROM predb"
