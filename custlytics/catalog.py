@@ -377,3 +377,112 @@ def q_customer_table(spark, sf_dir):
 @query("clv_vs_risk")
 def q_clv_vs_risk(spark, sf_dir):
     return V.points(_pred(spark, sf_dir))
+
+
+# ------------------------------------------------------- churn model (F)
+
+from custlytics.operators import ml as M  # noqa: E402
+from custlytics.session import materialize  # noqa: E402
+
+
+def _model_frame(spark, sf_dir):
+    """Model base with features, split and fold, checkpointed once."""
+    base = E.customer_model_base(_tx(spark, sf_dir))
+    feats = M.assemble_features(base).join(base.select("customer_id", "segment"), "customer_id")
+    return materialize(M.stratified_split(feats))
+
+
+def _eval_frame(spark, sf_dir):
+    """Hold-out rows with a deterministic, non-leaking score (1 - lifespan /
+    max lifespan) so the evaluation operators are checkable in SQL."""
+    base = materialize(E.customer_model_base(_tx(spark, sf_dir)))
+    mx = base.select(F.max("customer_lifespan_days")).scalar()
+    scored = base.select("customer_id", (F.lit(1.0) - F.col("customer_lifespan_days").cast("double") / mx)
+                         .alias("churn_probability"))
+    split = M.stratified_split(base.select("customer_id", "churn_label"))
+    ev = split.where(F.col("split") == "test").join(scored, "customer_id")
+    return ev.withColumn("prediction", (F.col("churn_probability") > 0.5).cast("int"))
+
+
+@query("model_features")
+def q_model_features(spark, sf_dir):
+    return M.assemble_features(E.customer_model_base(_tx(spark, sf_dir)))
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    base = E.customer_model_base(_tx(spark, sf_dir))
+    return M.stratified_split(base.select("customer_id", "churn_label"))
+
+
+@query("stratified_split_sizes")
+def q_stratified_split_sizes(spark, sf_dir):
+    s = q_stratified_split(spark, sf_dir)
+    return s.groupBy("churn_label", "split").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("class_weight")
+def q_class_weight(spark, sf_dir):
+    return M.class_weight(q_stratified_split(spark, sf_dir).where(F.col("split") == "train"))
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return M.confusion_matrix(_eval_frame(spark, sf_dir))
+
+
+@query("classification_report")
+def q_classification_report(spark, sf_dir):
+    return M.classification_report(_eval_frame(spark, sf_dir))
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    return M.roc_auc(_eval_frame(spark, sf_dir))
+
+
+# Model-fitting queries: rows-only checks (a fitted model is not SQL).
+SMALL_MODEL = dict(n_estimators=10, max_depth=3, learning_rate=0.1, subsample=1.0, colsample_bytree=1.0)
+SMALL_GRID = {"n_estimators": [5, 10], "max_depth": [2, 3], "learning_rate": [0.1],
+              "subsample": [1.0], "colsample_bytree": [1.0]}
+
+
+def _fitted(spark, sf_dir):
+    frame = _model_frame(spark, sf_dir)
+    model = M.fit_churn_model(frame.where(F.col("split") == "train"), **SMALL_MODEL)
+    return frame, model
+
+
+@query("churn_model_scores")
+def q_churn_model_scores(spark, sf_dir):
+    frame, model = _fitted(spark, sf_dir)
+    return M.score(model, frame.where(F.col("split") == "test")).select(
+        "customer_id", "churn_label", "churn_probability", "prediction")
+
+
+@query("churn_model_report")
+def q_churn_model_report(spark, sf_dir):
+    frame, model = _fitted(spark, sf_dir)
+    return M.classification_report(M.score(model, frame.where(F.col("split") == "test")))
+
+
+@query("churn_model_auc")
+def q_churn_model_auc(spark, sf_dir):
+    frame, model = _fitted(spark, sf_dir)
+    return M.roc_auc(M.score(model, frame.where(F.col("split") == "test")))
+
+
+@query("churn_model_search")
+def q_churn_model_search(spark, sf_dir):
+    frame = _model_frame(spark, sf_dir)
+    _, results = M.random_search(frame.where(F.col("split") == "train"), SMALL_GRID, n_iter=2)
+    rows = [(i, ", ".join(f"{k}={v}" for k, v in sorted(p.items())), float(auc))
+            for i, (p, auc) in enumerate(results)]
+    return spark.createDataFrame(rows, "candidate int, params string, cv_auc double")
+
+
+@query("churn_predictions")
+def q_churn_predictions(spark, sf_dir):
+    frame, model = _fitted(spark, sf_dir)
+    base = materialize(E.customer_model_base(_tx(spark, sf_dir)))
+    return M.churn_predictions(model, base)

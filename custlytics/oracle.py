@@ -353,3 +353,84 @@ ORACLE["bottom_clv"] = with_(*VBASE) + f"SELECT {TOPC} FROM predb ORDER BY clv_p
 ORACLE["customer_table"] = with_(*VBASE) + \
     f"SELECT {PRED_COLS} FROM predb WHERE {VFILTER} ORDER BY monetary ASC, customer_id LIMIT 50"
 ORACLE["clv_vs_risk"] = with_(*VBASE) + "SELECT customer_id, segment, clv_proxy, churn_probability FROM predb"
+
+# ------------------------------------------------------- churn model (F)
+FEATURE_SQL = ", ".join(f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in (
+    "frequency", "monetary", "f_score", "m_score", "total_transactions", "total_spend", "avg_order_value",
+    "active_months", "quantity_total", "discount_usage_rate", "customer_lifespan_days", "clv_proxy"))
+SPLIT = """mf AS (SELECT customer_id, churn_label FROM segs),
+cnt AS (SELECT churn_label, COUNT(*) AS n FROM mf GROUP BY churn_label),
+alloc AS (
+  SELECT churn_label, n, CAST(FLOOR(0.2::DOUBLE * n) AS BIGINT)
+    + CASE WHEN ROW_NUMBER() OVER (ORDER BY 0.2::DOUBLE * n - FLOOR(0.2::DOUBLE * n) DESC, churn_label)
+           <= (SELECT CEIL(0.2::DOUBLE * SUM(n)) - SUM(FLOOR(0.2::DOUBLE * n)) FROM cnt) THEN 1 ELSE 0 END AS n_test
+  FROM cnt),
+rk AS (SELECT mf.*, ROW_NUMBER() OVER (PARTITION BY churn_label
+         ORDER BY md5('42:' || CAST(customer_id AS VARCHAR)), customer_id) AS w FROM mf),
+split AS (
+  SELECT rk.customer_id, rk.churn_label, CASE WHEN w <= a.n_test THEN 'test' ELSE 'train' END AS split,
+         CASE WHEN w > a.n_test THEN CAST((w - a.n_test - 1) % 3 AS INTEGER) END AS fold
+  FROM rk JOIN alloc a ON rk.churn_label = a.churn_label)"""
+MBASE = (TX, CHURN, FEATS, SCORED, SPLIT)
+EVAL = """ev AS (
+  SELECT s.customer_id, s.churn_label,
+         1.0 - CAST(g.customer_lifespan_days AS DOUBLE) / MAX(g.customer_lifespan_days) OVER () AS churn_probability
+  FROM segs g JOIN split s ON g.customer_id = s.customer_id),
+evt AS (SELECT e.*, CAST(churn_probability > 0.5 AS INTEGER) AS prediction
+        FROM ev e JOIN split s ON e.customer_id = s.customer_id WHERE s.split = 'test'),
+cm AS (
+  SELECT l.churn_label, p.prediction, COALESCE(c.cnt, 0) AS count
+  FROM (VALUES (0), (1)) l(churn_label) CROSS JOIN (VALUES (0), (1)) p(prediction)
+  LEFT JOIN (SELECT churn_label, prediction, COUNT(*) AS cnt FROM evt GROUP BY 1, 2) c
+    ON c.churn_label = l.churn_label AND c.prediction = p.prediction)"""
+
+ORACLE["model_features"] = with_(TX, CHURN, FEATS, SCORED) + \
+    f"SELECT customer_id, {FEATURE_SQL}, CAST(churn_label AS INTEGER) AS churn_label FROM segs"
+ORACLE["stratified_split"] = with_(*MBASE) + "SELECT * FROM split"
+ORACLE["stratified_split_sizes"] = with_(*MBASE) + \
+    "SELECT churn_label, split, COUNT(*) AS rows FROM split GROUP BY churn_label, split"
+ORACLE["class_weight"] = with_(*MBASE) + """SELECT COUNT(*) FILTER (WHERE churn_label = 0) AS negatives,
+  COUNT(*) FILTER (WHERE churn_label = 1) AS positives,
+  CAST(COUNT(*) FILTER (WHERE churn_label = 0) AS DOUBLE) / NULLIF(COUNT(*) FILTER (WHERE churn_label = 1), 0)
+    AS scale_pos_weight FROM split WHERE split = 'train'"""
+ORACLE["confusion_matrix"] = with_(*MBASE, EVAL) + "SELECT * FROM cm ORDER BY churn_label, prediction"
+
+
+def _report_sql() -> str:
+    agg = """per AS (SELECT
+  SUM(CASE WHEN churn_label = 0 AND prediction = 0 THEN count ELSE 0 END) AS tp0,
+  SUM(CASE WHEN churn_label = 1 AND prediction = 1 THEN count ELSE 0 END) AS tp1,
+  SUM(CASE WHEN prediction = 0 THEN count ELSE 0 END) AS pp0,
+  SUM(CASE WHEN prediction = 1 THEN count ELSE 0 END) AS pp1,
+  SUM(CASE WHEN churn_label = 0 THEN count ELSE 0 END) AS s0,
+  SUM(CASE WHEN churn_label = 1 THEN count ELSE 0 END) AS s1,
+  SUM(count) AS total FROM cm),
+pr AS (SELECT *, CAST(tp0 AS DOUBLE) / NULLIF(pp0, 0) AS p0, CAST(tp0 AS DOUBLE) / NULLIF(s0, 0) AS r0,
+              CAST(tp1 AS DOUBLE) / NULLIF(pp1, 0) AS p1, CAST(tp1 AS DOUBLE) / NULLIF(s1, 0) AS r1 FROM per),
+f AS (SELECT *, 2 * p0 * r0 / NULLIF(p0 + r0, 0) AS f0, 2 * p1 * r1 / NULLIF(p1 + r1, 0) AS f1 FROM pr)"""
+    sel = """
+SELECT '0' AS class, ROUND(p0, 6) AS precision, ROUND(r0, 6) AS recall, ROUND(f0, 6) AS f1_score,
+       CAST(s0 AS BIGINT) AS support FROM f
+UNION ALL SELECT '1', ROUND(p1, 6), ROUND(r1, 6), ROUND(f1, 6), CAST(s1 AS BIGINT) FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, ROUND(CAST(tp0 + tp1 AS DOUBLE) / NULLIF(total, 0), 6),
+       CAST(total AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', ROUND((0.0 + p0 + p1) / 2, 6), ROUND((0.0 + r0 + r1) / 2, 6),
+       ROUND((0.0 + f0 + f1) / 2, 6), CAST(total AS BIGINT) FROM f
+UNION ALL SELECT 'weighted avg', ROUND((0.0 + p0 * s0 + p1 * s1) / NULLIF(total, 0), 6),
+       ROUND((0.0 + r0 * s0 + r1 * s1) / NULLIF(total, 0), 6),
+       ROUND((0.0 + f0 * s0 + f1 * s1) / NULLIF(total, 0), 6), CAST(total AS BIGINT) FROM f"""
+    return with_(*MBASE, EVAL, agg) + sel
+
+
+ORACLE["classification_report"] = _report_sql()
+ORACLE["roc_auc"] = with_(*MBASE, EVAL) + """, ps AS (
+  SELECT churn_probability AS s, COUNT(*) FILTER (WHERE churn_label = 1) AS pos,
+         COUNT(*) FILTER (WHERE churn_label = 0) AS neg FROM evt GROUP BY churn_probability),
+run AS (SELECT *, COALESCE(SUM(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+          AS below FROM ps),
+t AS (SELECT CAST(SUM(pos * (2 * below + neg)) AS HUGEINT) AS num2, SUM(pos) AS positives,
+        SUM(neg) AS negatives FROM run)
+SELECT CASE WHEN positives * negatives > 0 THEN
+         CAST((2 * num2 * 10000 + 2 * positives * negatives) // (4 * positives * negatives) AS DOUBLE) / 10000
+       END AS roc_auc,
+       CAST(positives AS BIGINT) AS positives, CAST(negatives AS BIGINT) AS negatives FROM t"""
