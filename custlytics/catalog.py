@@ -486,3 +486,28 @@ def q_churn_predictions(spark, sf_dir):
     frame, model = _fitted(spark, sf_dir)
     base = materialize(E.customer_model_base(_tx(spark, sf_dir)))
     return M.churn_predictions(model, base)
+
+
+# ------------------------------------------------- attributions
+
+from custlytics.operators import attribution as A  # noqa: E402
+
+
+def _attributions(spark, sf_dir):
+    frame, model = _fitted(spark, sf_dir)
+    return materialize(A.tree_attributions(model, frame))
+
+
+@query("tree_attributions")
+def q_tree_attributions(spark, sf_dir):
+    return _attributions(spark, sf_dir)
+
+
+@query("attribution_importance")
+def q_attribution_importance(spark, sf_dir):
+    return A.attribution_importance(_attributions(spark, sf_dir))
+
+
+@query("attribution_summary")
+def q_attribution_summary(spark, sf_dir):
+    return A.attribution_summary(_attributions(spark, sf_dir))
