@@ -511,3 +511,18 @@ def q_attribution_importance(spark, sf_dir):
 @query("attribution_summary")
 def q_attribution_summary(spark, sf_dir):
     return A.attribution_summary(_attributions(spark, sf_dir))
+
+
+# ------------------------------------------------------- sources (A)
+
+from custlytics.sources import transactions as S  # noqa: E402
+
+
+@query("tx_scan")
+def q_tx_scan(spark, sf_dir):
+    return _tx(spark, sf_dir)
+
+
+@query("tx_profile")
+def q_tx_profile(spark, sf_dir):
+    return S.profile_frame(_tx(spark, sf_dir))

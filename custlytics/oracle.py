@@ -434,3 +434,7 @@ SELECT CASE WHEN positives * negatives > 0 THEN
          CAST((2 * num2 * 10000 + 2 * positives * negatives) // (4 * positives * negatives) AS DOUBLE) / 10000
        END AS roc_auc,
        CAST(positives AS BIGINT) AS positives, CAST(negatives AS BIGINT) AS negatives FROM t"""
+
+# ------------------------------------------------------- sources (A)
+ORACLE["tx_scan"] = with_(TX) + "SELECT * FROM tx"
+ORACLE["tx_profile"] = with_(TX) + "SELECT COUNT(*) AS rows, 8 AS columns FROM tx"
