@@ -160,7 +160,7 @@ def attribution_importance(attr: DataFrame) -> DataFrame:
             .orderBy(F.desc("mean_abs_attribution"), F.asc("feature")))
 
 
-def attribution_summary(attr: DataFrame, **rank_kw) -> DataFrame:
+def attribution_summary(attr: DataFrame, partitions: int | None = None) -> DataFrame:
     """per feature the spread of attributions (exact 5/50/95 % points)
     and how they move with the feature value (correlation) -- the data of a
     summary plot."""
@@ -172,7 +172,7 @@ def attribution_summary(attr: DataFrame, **rank_kw) -> DataFrame:
         F.try_divide(F.covar_samp("value", "attribution"),
                      F.stddev_samp("value") * F.stddev_samp("attribution")).alias("value_correlation"))
     qs = exact_quantiles(attr, "attribution", (0.05, 0.5, 0.95), by=["feature"],
-                         tiebreak="customer_id", **rank_kw)
+                         tiebreak="customer_id", partitions=partitions)
     qs = qs.select("feature", F.col("q0").alias("p05"), F.col("q1").alias("p50"), F.col("q2").alias("p95"))
     # one row per feature on both sides
     return stats.join(F.broadcast(qs), "feature").orderBy(F.desc("mean_abs_attribution"), F.asc("feature"))

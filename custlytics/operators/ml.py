@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlytics.functions.money import from_micros, half_up_div
-from custlytics.operators.rank import RankPlan
+from custlytics.operators.rank import global_rank, global_running_sum
 from custlytics.schemas import FEATURES, LABEL
 
 # ---- fixed values (must equal the reference for identical results) --------
@@ -67,14 +67,14 @@ def _allocate(counts: Mapping[int, int], test: float) -> dict[int, int]:
 
 def stratified_split(df: DataFrame, label: str = LABEL, test: float = TEST_FRACTION,
                      seed: int = SEED, folds: int = CV_FOLDS, id_col: str = "customer_id",
-                     **rank_kw) -> DataFrame:
+                     partitions: int | None = None) -> DataFrame:
     """exact stratified hold-out plus stratified CV folds.
 
     Rows are ordered inside their class by ``md5(seed:id)``; the first
     allocated rows of each class are the test set and the training rows get
     ``fold = (rank - 1) mod folds``.  Deterministic (hash, not a random
     stream), reproducible in SQL, and the per-class rank comes from the
-    bucketed global rank, so a class holding most rows is not one task."""
+    distributed global rank, so a class holding most rows is not one task."""
     keyed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))))
     counts = {int(r[0]): int(r[1]) for r in keyed.groupBy(label).count().collect()}  # one row per class
     alloc = _allocate(counts, test)
@@ -82,8 +82,7 @@ def stratified_split(df: DataFrame, label: str = LABEL, test: float = TEST_FRACT
     for c in sorted(counts):
         first[c] = offset
         offset += counts[c]
-    plan = RankPlan.fit(keyed, [(label, True), ("_h", True), (id_col, True)], n=offset, **rank_kw)
-    ranked = plan.rank(keyed, "_r")
+    ranked = global_rank(keyed, [(label, True), ("_h", True), (id_col, True)], "_r", partitions)
     off = F.element_at(F.create_map(*itertools.chain.from_iterable(
         (F.lit(c), F.lit(first[c]).cast("bigint")) for c in sorted(counts))), F.col(label))
     n_test = F.element_at(F.create_map(*itertools.chain.from_iterable(
@@ -246,17 +245,17 @@ def classification_report(pred: DataFrame, label: str = LABEL, prediction: str =
 
 
 def roc_auc(pred: DataFrame, label: str = LABEL, score_col: str = "churn_probability",
-            decimals: int = 4, **rank_kw) -> DataFrame:
+            decimals: int = 4, partitions: int | None = None) -> DataFrame:
     """ROC-AUC as the Mann-Whitney statistic (ties count one half),
     rounded half-up from exact integers.
 
     Scores are first reduced to (score, positives, negatives); the count of
-    negatives below each score is a bucketed global running sum, so there
+    negatives below each score is a distributed global running sum, so there
     is no one-task window and no collect."""
     per = pred.groupBy(F.col(score_col).alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
-    plan = RankPlan.fit(per, ["_s"], measures={"_below": F.col("_neg")}, **rank_kw)
-    run = plan.running(per, {"_below": F.col("_neg")}, inclusive=False)
+    run = global_running_sum(per, ["_s"], {"_below": F.col("_neg")}, inclusive=False,
+                             partitions=partitions)
     tot = run.agg(
         F.sum(F.col("_pos").cast("decimal(38,0)") * (2 * F.col("_below") + F.col("_neg"))).alias("_num2"),
         F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"))

@@ -2,33 +2,31 @@
 window.
 
 A window with no partition spec moves every row into one task.  Instead the
-rows are cut into buckets by boundaries on the full (composite, total) sort
-key.  The boundaries are sampled once and then used as literals, so the
-bucket of a row is a pure function of its key: recomputation after a lost
-executor lands every row in the same bucket.  Inside a bucket Spark's
-``row_number``/running ``sum`` window does the work; the bucket's offset
-comes from a table of per-bucket totals that has one row per bucket (a
-proven bound) and is inlined as an array literal, so no join is needed.
-
-Because the boundaries include every sort key down to the unique tie-break,
-a leading value shared by a third of the rows is still split over many
-buckets.
+rows are sorted by Spark itself (``orderBy``: a sampled range partitioning,
+then a sort inside each partition), and each row records its position with
+``monotonically_increasing_id`` (partition index in the high bits, position
+inside the partition in the low bits).  The sorted rows are written once as
+a Parquet table in the shared checkpoint folder, which fixes the positions:
+a lost executor later only re-reads files.  The offset of a partition is the
+number of rows (or the measure total) of all earlier partitions -- a table
+with one row per partition, broadcast to the join.
+
+Because the sort key is total (it ends in a unique tie-break), the range
+partitioner splits even a leading value shared by a third of the rows over
+many partitions.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 1024
-SAMPLE_PER_BUCKET = 40
-SAMPLE_SEED = 20240601
+from custlytics.session import materialize_table
+
+POSITION_BITS = 33          # monotonically_increasing_id: record number bits
 
 OrderSpec = Sequence["str | tuple[str, bool] | tuple[str, str]"]
 
@@ -49,127 +47,62 @@ def sort_columns(order: OrderSpec) -> list[Column]:
     return [F.col(c).asc() if asc else F.col(c).desc() for c, asc in _norm_order(order)]
 
 
-def _key(order: list[tuple[str, bool]]) -> Column:
-    """Struct whose natural ordering is the requested order (descending
-    numeric keys are negated)."""
-    return F.struct(*[(F.col(c) if asc else -F.col(c)).alias(f"k{i}")
-                      for i, (c, asc) in enumerate(order)])
-
-
-def _lit_struct(values, fields: list[T.StructField]) -> Column:
-    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, fields)])
-
-
-def _bucket_of(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
-    """Bucket index in [lo, hi] by binary search over ``bounds`` (bucket i
-    holds keys in (bounds[i-1], bounds[i]])."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key <= bounds[mid], _bucket_of(key, bounds, lo, mid)).otherwise(
-        _bucket_of(key, bounds, mid + 1, hi))
-
-
-@dataclass
-class RankPlan:
-    """Bucketing of a total order, fitted once on a (materialised) frame."""
-
-    order: list[tuple[str, bool]]
-    n: int
-    bounds: list[tuple]
-    fields: list[T.StructField]
-    offsets: dict[str, list] = field(default_factory=dict)
-
-    @property
-    def buckets(self) -> int:
-        return len(self.bounds) + 1
-
-    def bucket(self) -> Column:
-        if not self.bounds:
-            return F.lit(0)
-        lits = [_lit_struct(b, self.fields) for b in self.bounds]
-        return _bucket_of(_key(self.order), lits, 0, len(lits))
-
-    @classmethod
-    def fit(cls, df: DataFrame, order: OrderSpec, measures: Mapping[str, Column] | None = None,
-            n: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
-            max_buckets: int = MAX_BUCKETS, seed: int = SAMPLE_SEED) -> "RankPlan":
-        order = _norm_order(order)
-        keyed = df.select(_key(order).alias("_k"))
-        fields = list(keyed.schema["_k"].dataType.fields)
-        if n is None:
-            n = df.count()
-        k = max(1, min(max_buckets, math.ceil(n / max(1, rows_per_bucket))))
-        bounds: list[tuple] = []
-        if k > 1:
-            want = k * SAMPLE_PER_BUCKET
-            frac = min(1.0, 1.5 * want / n)
-            # Bounded sample (about k*40 keys), like a range partitioner's.
-            sample = sorted(tuple(r[0]) for r in keyed.sample(fraction=frac, seed=seed).collect())
-            if sample:
-                step = len(sample) / k
-                for i in range(1, k):
-                    b = sample[min(len(sample) - 1, int(i * step) - 1)]
-                    if not bounds or b > bounds[-1]:
-                        bounds.append(b)
-        plan = cls(order=order, n=n, bounds=bounds, fields=fields)
-        plan._fit_offsets(df, dict(measures or {}))
-        return plan
-
-    def _fit_offsets(self, df: DataFrame, measures: dict[str, Column]) -> None:
-        """Exclusive prefix totals per bucket (one row per bucket)."""
-        aggs = [F.count(F.lit(1)).alias("_rows")] + [F.sum(m).alias(name) for name, m in measures.items()]
-        totals = {r["_b"]: r for r in
-                  df.groupBy(self.bucket().alias("_b")).agg(*aggs).collect()}
-        for name in ["_rows", *measures]:
-            run, offs = 0, []
-            for b in range(self.buckets):
-                offs.append(run)
-                row = totals.get(b)
-                if row is not None and row[name] is not None:
-                    run += row[name]
-            self.offsets[name] = offs
-
-    def _offset(self, name: str, bucket: Column, dtype: str) -> Column:
-        offs = self.offsets[name]
-        if len(offs) == 1:
-            return F.lit(offs[0]).cast(dtype)
-        arr = F.array(*[F.lit(v).cast(dtype) for v in offs])
-        return F.element_at(arr, bucket + 1)
-
-    def rank(self, df: DataFrame, name: str = "rank") -> DataFrame:
-        """Add the 1-based global row number in the plan's order."""
-        b = df.withColumn("_bkt", self.bucket())
-        w = Window.partitionBy("_bkt").orderBy(*sort_columns(self.order))
-        return (b.withColumn(name, (F.row_number().over(w) + self._offset("_rows", F.col("_bkt"), "bigint"))
-                             .cast("bigint"))
-                .drop("_bkt"))
-
-    def running(self, df: DataFrame, measures: Mapping[str, Column], dtype: str = "bigint",
-                inclusive: bool = True) -> DataFrame:
-        """Add global running sums (in the plan's order) of each measure."""
-        b = df.withColumn("_bkt", self.bucket())
-        w = Window.partitionBy("_bkt").orderBy(*sort_columns(self.order))
-        w = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        cols = []
-        for name, m in measures.items():
-            local = F.coalesce(F.sum(m).over(w), F.lit(0).cast(dtype))
-            cols.append((local + self._offset(name, F.col("_bkt"), dtype)).cast(dtype).alias(name))
-        return b.select("*", *cols).drop("_bkt")
-
-
-def global_rank(df: DataFrame, order: OrderSpec, name: str = "rank", **fit_kw) -> DataFrame:
+def sorted_positions(df: DataFrame, order: OrderSpec, partitions: int | None = None) -> DataFrame:
+    """``df`` sorted by ``order`` and materialised with ``__pid`` (sorted
+    partition index) and ``__pos`` (0-based position inside it).
+
+    ``partitions`` fixes the number of ranges; by default Spark/AQE size
+    them from ``spark.sql.shuffle.partitions`` and the advisory size."""
+    cols = sort_columns(order)
+    s = (df.repartitionByRange(partitions, *cols).sortWithinPartitions(*cols)
+         if partitions else df.orderBy(*cols))
+    s = materialize_table(s.withColumn("__mid", F.monotonically_increasing_id()))
+    return (s.withColumn("__pid", F.shiftright(F.col("__mid"), POSITION_BITS))
+            .withColumn("__pos", F.col("__mid").bitwiseAND((1 << POSITION_BITS) - 1))
+            .drop("__mid"))
+
+
+def _offsets(s: DataFrame, measures: Mapping[str, Column], dtype: str) -> DataFrame:
+    """Exclusive prefix totals per sorted partition (one row per partition:
+    a proven bound, collected and broadcast)."""
+    aggs = [F.count(F.lit(1)).alias("_rows")] + [F.sum(m).alias(k) for k, m in measures.items()]
+    totals = sorted(s.groupBy("__pid").agg(*aggs).collect(), key=lambda r: r["__pid"])
+    run = {k: 0 for k in ["_rows", *measures]}
+    rows = []
+    for r in totals:
+        rows.append((r["__pid"], *[run[k] for k in run]))
+        for k in run:
+            run[k] += r[k] or 0
+    tname = {"bigint": "bigint", "double": "double"}.get(dtype, dtype)
+    schema = "__pid bigint, __off_rows bigint" + "".join(f", __off_{k} {tname}" for k in measures)
+    return F.broadcast(s.sparkSession.createDataFrame(rows, schema))
+
+
+def global_rank(df: DataFrame, order: OrderSpec, name: str = "rank",
+                partitions: int | None = None) -> DataFrame:
     """1-based row number over the whole frame in ``order``.
 
     ``order`` must be total (end with a unique column) for the result to be
-    deterministic; descending keys must be numeric."""
-    return RankPlan.fit(df, order, **fit_kw).rank(df, name)
+    deterministic."""
+    s = sorted_positions(df, order, partitions)
+    off = _offsets(s, {}, "bigint")
+    return (s.join(off, "__pid").withColumn(name, (F.col("__off_rows") + F.col("__pos") + 1).cast("bigint"))
+            .drop("__pid", "__pos", "__off_rows"))
 
 
 def global_running_sum(df: DataFrame, order: OrderSpec, measures: Mapping[str, Column],
-                       dtype: str = "bigint", inclusive: bool = True, **fit_kw) -> DataFrame:
-    plan = RankPlan.fit(df, order, measures=measures, **fit_kw)
-    return plan.running(df, measures, dtype=dtype, inclusive=inclusive)
+                       dtype: str = "bigint", inclusive: bool = True,
+                       partitions: int | None = None) -> DataFrame:
+    """Add global running sums of each measure in ``order`` (``inclusive``
+    of the current row or not)."""
+    s = sorted_positions(df, order, partitions)
+    off = _offsets(s, measures, dtype)
+    w = Window.partitionBy("__pid").orderBy("__pos").rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1)
+    cols = [(F.coalesce(F.sum(m).over(w), F.lit(0).cast(dtype)) + F.col(f"__off_{k}")).cast(dtype).alias(k)
+            for k, m in measures.items()]
+    out = s.join(off, "__pid").select("*", *cols)
+    return out.drop("__pid", "__pos", "__off_rows", *[f"__off_{k}" for k in measures])
 
 
 # ---------------------------------------------------------------- quantiles
@@ -199,7 +132,7 @@ def check_unique_edges(edges: Sequence[float], duplicates: str = "raise") -> lis
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    tiebreak: str | None = None, **fit_kw) -> DataFrame:
+                    tiebreak: str | None = None, partitions: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per group (``by``) of ``value``.
 
     Works by a global rank over (by, value, tiebreak) instead of holding a
@@ -209,8 +142,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     by = list(by)
     order = by + [value] + ([tiebreak] if tiebreak else [])
     base = df.where(F.col(value).isNotNull()).select(*order)
-    plan = RankPlan.fit(base, order, **fit_kw)
-    ranked = plan.rank(base, "_r")
+    ranked = global_rank(base, order, "_r", partitions)
     # Group sizes and first global rank: one row per group.
     groups = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_first"))
     pos = []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from custlytics.functions.dates import day
 from custlytics.functions.money import cents, exact_mean
-from custlytics.operators.rank import (RankPlan, check_unique_edges, rank_quantile_edges,
+from custlytics.operators.rank import (check_unique_edges, global_rank, rank_quantile_edges,
                                        score_by_edges)
 from custlytics.schemas import TX, TxCols
 from custlytics.session import materialize
@@ -125,11 +125,11 @@ def rfm_score(r="r_score", f="f_score", m="m_score") -> Column:
 
 
 def score_customers(features: DataFrame, duplicates: str = "raise",
-                    materialized: bool = False, **rank_kw) -> DataFrame:
+                    materialized: bool = False, partitions: int | None = None) -> DataFrame:
     """C2-C7 on a per-customer table with recency, frequency, monetary.
 
     The table is checkpointed once (it is read by the count, the quartile
-    aggregate, the rank bucketing and the two ranked passes)."""
+    aggregate and the first sort); each rank is a distributed sort."""
     base = features if materialized else materialize(features)
     n = base.count()
     if n == 0:
@@ -139,9 +139,8 @@ def score_customers(features: DataFrame, duplicates: str = "raise",
                 .withColumn("rfm_score", F.lit(None).cast("string"))
                 .withColumn("segment", F.lit(None).cast("string")))
     edges = value_quartile_edges(base, "recency")
-    f_plan = RankPlan.fit(base, FREQUENCY_ORDER, n=n, **rank_kw)
-    m_plan = RankPlan.fit(base, MONETARY_ORDER, n=n, **rank_kw)
-    out = m_plan.rank(f_plan.rank(base, "_f_rank"), "_m_rank")
+    out = global_rank(global_rank(base, FREQUENCY_ORDER, "_f_rank", partitions),
+                      MONETARY_ORDER, "_m_rank", partitions)
     out = (out.withColumn("r_score", quartile_score("recency", edges, RECENCY_LABELS, duplicates))
               .withColumn("f_score", rank_quartile_score("_f_rank", n))
               .withColumn("m_score", rank_quartile_score("_m_rank", n))

@@ -3,7 +3,7 @@
 ``pred`` has one row per customer with at least ``customer_id, segment,
 churn_label, churn_probability, clv_proxy, frequency, monetary``.  Every
 view is a DataFrame: filters push down to the scan, top-N lists plan as
-``TakeOrderedAndProject`` (no full sort), quantiles use the bucketed global
+``TakeOrderedAndProject`` (no full sort), quantiles use the distributed global
 rank, and small dimension tables (risk bands) are broadcast by construction.
 """
 
@@ -173,14 +173,15 @@ def histogram(df: DataFrame, col: str = "churn_probability", bins: int = HISTOGR
 
 
 def box_stats(df: DataFrame, col: str, by: str = "segment", tiebreak: str = "customer_id",
-              decimals: int | None = None, **rank_kw) -> DataFrame:
+              decimals: int | None = None, partitions: int | None = None) -> DataFrame:
     """Box-plot statistics per group: quartiles (linear), min, max,
     1.5 IQR whiskers and outlier count.
 
     Quartiles are exact and distributed (global rank, not a per-group
     buffer of values); the quartile table has one row per group and is
     joined back to compute the whiskers in one more aggregation."""
-    qs = exact_quantiles(df, col, (0.25, 0.5, 0.75), by=[by], tiebreak=tiebreak, **rank_kw)
+    qs = exact_quantiles(df, col, (0.25, 0.5, 0.75), by=[by], tiebreak=tiebreak,
+                         partitions=partitions)
     rnd = (lambda c: F.round(c, decimals)) if decimals is not None else (lambda c: c)
     qs = qs.select(by, rnd(F.col("q0")).alias("q1"), rnd(F.col("q1")).alias("median"),
                    rnd(F.col("q2")).alias("q3"))

@@ -38,8 +38,7 @@ def test_tied_frequency_bigger_spender_ranks_first(spark):
     rows = [("a1", "A", "2025-01-01", 100.0), ("a2", "A", "2025-01-02", 100.0),
             ("b1", "B", "2025-01-01", 10.0), ("b2", "B", "2025-01-02", 10.0)]
     feats = R.rfm(make_tx(spark, rows), sort=False)
-    plan = R.RankPlan.fit(feats, R.FREQUENCY_ORDER)
-    ranks = {r.customer_id: r.rank for r in plan.rank(feats).collect()}
+    ranks = {r.customer_id: r.rank for r in R.global_rank(feats, R.FREQUENCY_ORDER).collect()}
     assert ranks == {"A": 1, "B": 2}
 
 
@@ -162,13 +161,13 @@ def test_auc_rank_sum_matches_evaluator(spark):
     rng = np.random.default_rng(5)
     rows = [(int(y), float(np.round(s, 2))) for y, s in zip(rng.integers(0, 2, 400), rng.random(400))]
     df = spark.createDataFrame(rows, "churn_label int, churn_probability double")
-    auc = M.roc_auc(df, rows_per_bucket=16).first().roc_auc
+    auc = M.roc_auc(df, partitions=16).first().roc_auc
     assert auc == round(M.evaluator_auc(df) + 1e-12, 4)
 
 
 def test_split_is_disjoint_cover_and_stratified(spark):
     df = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1000)], "customer_id long, churn_label int")
-    s = M.stratified_split(df, rows_per_bucket=64).toPandas()
+    s = M.stratified_split(df, partitions=16).toPandas()
     assert len(s) == 1000 and s.customer_id.is_unique
     test = s[s.split == "test"]
     assert len(test) == 200 and (test.churn_label == 1).sum() == 40

@@ -22,11 +22,11 @@ def test_scan_prunes_columns(spark):
     assert "Join" not in text                    # RFM is one aggregation
 
 
-def test_scoring_uses_bucketed_windows_not_one_task(spark):
+def test_scoring_ranks_without_one_task_window(spark):
     feats = R.rfm(TD.transactions(spark, SF01, lines=False), sort=False)
-    out = R.score_customers(feats, rows_per_bucket=200)
+    out = R.score_customers(feats, partitions=8)
     text = _plan(out)
-    assert "Window" in text and "SinglePartition" not in text
+    assert "Window" not in text and "SinglePartition" not in text
 
 
 def test_churn_has_no_nested_loop_join(spark):

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from custlytics.operators.rank import RankPlan, exact_quantiles, global_rank, global_running_sum
+from custlytics.operators.rank import exact_quantiles, global_rank, global_running_sum, sorted_positions
 
 
 def _frame(spark, n=3000, hot_share=1 / 3, seed=3):
@@ -23,9 +23,7 @@ def _frame(spark, n=3000, hot_share=1 / 3, seed=3):
 def test_rank_many_buckets_equals_sort(spark):
     df, pdf = _frame(spark)
     order = [("frequency", True), ("monetary", False), ("customer_id", True)]
-    plan = RankPlan.fit(df, order, rows_per_bucket=100)
-    assert plan.buckets > 10
-    got = plan.rank(df, "r").toPandas().sort_values("customer_id")
+    got = global_rank(df, order, "r", partitions=30).toPandas().sort_values("customer_id")
     exp = pdf.sort_values(["frequency", "monetary", "customer_id"], ascending=[True, False, True])
     exp = exp.assign(r=np.arange(1, len(pdf) + 1)).sort_values("customer_id")
     assert (got["r"].to_numpy() == exp["r"].to_numpy()).all()
@@ -33,33 +31,33 @@ def test_rank_many_buckets_equals_sort(spark):
 
 def test_hot_key_is_split_over_buckets(spark):
     df, _ = _frame(spark)
-    plan = RankPlan.fit(df, [("frequency", True), ("monetary", False), ("customer_id", True)],
-                        rows_per_bucket=100)
-    per = df.groupBy(plan.bucket().alias("b")).count().toPandas()
+    s = sorted_positions(df, [("frequency", True), ("monetary", False), ("customer_id", True)], 30)
+    per = s.groupBy("__pid").count().toPandas()
     assert per["count"].max() < 0.1 * 3000       # the 1000-row hot key is spread
+    assert s.where("frequency = 7").select("__pid").distinct().count() > 5
 
 
 def test_ranks_are_a_permutation(spark):
     df, _ = _frame(spark, n=777)
-    r = global_rank(df, ["monetary", "customer_id"], rows_per_bucket=50).select("rank").toPandas()
+    r = global_rank(df, ["monetary", "customer_id"], partitions=20).select("rank").toPandas()
     assert sorted(r["rank"]) == list(range(1, 778))
 
 
 def test_running_sum(spark):
     df, pdf = _frame(spark, n=1000)
     got = global_running_sum(df, ["monetary", "customer_id"], {"cum": F.col("frequency")},
-                             rows_per_bucket=64).toPandas().sort_values(["monetary", "customer_id"])
+                             partitions=16).toPandas().sort_values(["monetary", "customer_id"])
     exp = pdf.sort_values(["monetary", "customer_id"])["frequency"].cumsum().to_numpy()
     assert (got["cum"].to_numpy() == exp).all()
 
 
-@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 37])
-def test_exact_quantiles_match_numpy(spark, rows_per_bucket):
+@pytest.mark.parametrize("partitions", [None, 37])
+def test_exact_quantiles_match_numpy(spark, partitions):
     df, pdf = _frame(spark, n=901)
     pdf["g"] = pdf["customer_id"] % 3
     sdf = spark.createDataFrame(pdf)
     got = exact_quantiles(sdf, "monetary", (0.25, 0.5, 0.75), by=["g"], tiebreak="customer_id",
-                          rows_per_bucket=rows_per_bucket).toPandas().sort_values("g")
+                          partitions=partitions).toPandas().sort_values("g")
     for _, row in got.iterrows():
         vals = pdf.loc[pdf["g"] == row["g"], "monetary"].to_numpy()
         exp = np.quantile(vals, [0.25, 0.5, 0.75])
@@ -68,6 +66,6 @@ def test_exact_quantiles_match_numpy(spark, rows_per_bucket):
 
 def test_no_global_window_in_rank_plan(spark):
     df, _ = _frame(spark, n=500)
-    plan_text = global_rank(df, ["monetary", "customer_id"], rows_per_bucket=50)._jdf \
+    plan_text = global_rank(df, ["monetary", "customer_id"], partitions=20)._jdf \
         .queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan_text
