@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from custlytics.functions.dates import day, month_key
 from custlytics.functions.money import cents, from_cents, from_micros, half_up_div, micros
-from custlytics.operators.rfm import as_of_column, customers_only, score_customers
+from custlytics.operators.rfm import as_of_column, customers_only, on_or_after, score_customers
 from custlytics.schemas import TX, TxCols
 
 INACTIVITY_DAYS = 90
@@ -103,7 +103,7 @@ def recent_activity(tx: DataFrame, cols: TxCols = TX, days: int = INACTIVITY_DAY
     """Customers active in the trailing ``days`` (inclusive) with their
     count and spend there."""
     end = as_of_column(tx, as_of, cols)
-    t = customers_only(tx, cols).where(day(cols.date) >= F.date_sub(end, days))
+    t = customers_only(tx, cols).where(on_or_after(tx, cols.date, F.date_sub(end, days)))
     return t.groupBy(F.col(cols.customer).alias("customer_id")).agg(
         F.count(cols.id).alias("transactions_last_90_days"),
         from_cents(F.sum(cents(cols.value))).alias("spend_last_90_days"))

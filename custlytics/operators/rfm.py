@@ -33,14 +33,28 @@ MONETARY_ORDER = (("monetary", True), ("customer_id", True))
 # ---------------------------------------------------------------------------
 
 
-def dataset_end(tx: DataFrame, cols: TxCols = TX) -> Column:
-    """Latest transaction date as a scalar subquery (computed once, one
-    column scanned; usable in filters so they still push down)."""
-    return tx.select(F.max(day(cols.date))).scalar()
+def dataset_end(tx: DataFrame, cols: TxCols = TX):
+    """Latest transaction date (E1), computed once by a one-row aggregate
+    that reads a single column.  Returned as a Python date so plans carry it
+    as a literal: it is not re-evaluated per use, and range filters on it
+    can prune Parquet row groups and month partitions."""
+    return tx.select(F.max(day(cols.date))).first()[0]
 
 
 def as_of_column(tx: DataFrame, as_of=None, cols: TxCols = TX) -> Column:
-    return F.lit(as_of).cast("date") if as_of is not None else dataset_end(tx, cols)
+    value = as_of if as_of is not None else dataset_end(tx, cols)
+    return F.lit(value).cast("date")
+
+
+def on_or_after(df: DataFrame, col: str, start: Column) -> Column:
+    """``to_date(col) >= start`` written so it pushes down to the scan when
+    ``col`` is a timestamp (compare the raw value with midnight)."""
+    dtype = dict(df.dtypes).get(col)
+    if dtype == "timestamp_ntz":
+        return F.col(col) >= F.to_timestamp_ntz(F.date_format(start, "yyyy-MM-dd"))
+    if dtype == "timestamp":
+        return F.col(col) >= start.cast("timestamp")
+    return day(col) >= start
 
 
 def customers_only(tx: DataFrame, cols: TxCols = TX) -> DataFrame:
