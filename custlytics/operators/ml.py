@@ -82,7 +82,7 @@ def stratified_split(df: DataFrame, label: str = LABEL, test: float = TEST_FRACT
     for c in sorted(counts):
         first[c] = offset
         offset += counts[c]
-    ranked = global_rank(keyed, [(label, True), ("_h", True), (id_col, True)], "_r", partitions)
+    ranked = global_rank(keyed, [(label, True), ("_h", True), (id_col, True)], "_r", partitions, n=offset)
     off = F.element_at(F.create_map(*itertools.chain.from_iterable(
         (F.lit(c), F.lit(first[c]).cast("bigint")) for c in sorted(counts))), F.col(label))
     n_test = F.element_at(F.create_map(*itertools.chain.from_iterable(

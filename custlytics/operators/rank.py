@@ -27,6 +27,10 @@ from pyspark.sql import types as T
 from custlytics.session import materialize_table
 
 POSITION_BITS = 33          # monotonically_increasing_id: record number bits
+# Frames with at most this many rows (a counted bound) are ranked by one
+# ordered window -- one task sorts them in well under a second; larger ones
+# take the distributed sort.
+SMALL_ROWS = 1_000_000
 
 OrderSpec = Sequence["str | tuple[str, bool] | tuple[str, str]"]
 
@@ -78,12 +82,22 @@ def _offsets(s: DataFrame, measures: Mapping[str, Column], dtype: str) -> DataFr
     return F.broadcast(s.sparkSession.createDataFrame(rows, schema))
 
 
+def _small(df: DataFrame, partitions: int | None, n: int | None) -> bool:
+    if partitions is not None:
+        return False
+    return (df.count() if n is None else n) <= SMALL_ROWS
+
+
 def global_rank(df: DataFrame, order: OrderSpec, name: str = "rank",
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, n: int | None = None) -> DataFrame:
     """1-based row number over the whole frame in ``order``.
 
     ``order`` must be total (end with a unique column) for the result to be
-    deterministic."""
+    deterministic.  ``n`` (the row count, if known) picks the path: up to
+    ``SMALL_ROWS`` rows one ordered window, beyond that the distributed sort
+    (also forced by giving ``partitions``)."""
+    if _small(df, partitions, n):
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*sort_columns(order))).cast("bigint"))
     s = sorted_positions(df, order, partitions)
     off = _offsets(s, {}, "bigint")
     return (s.join(off, "__pid").withColumn(name, (F.col("__off_rows") + F.col("__pos") + 1).cast("bigint"))
@@ -92,13 +106,17 @@ def global_rank(df: DataFrame, order: OrderSpec, name: str = "rank",
 
 def global_running_sum(df: DataFrame, order: OrderSpec, measures: Mapping[str, Column],
                        dtype: str = "bigint", inclusive: bool = True,
-                       partitions: int | None = None) -> DataFrame:
+                       partitions: int | None = None, n: int | None = None) -> DataFrame:
     """Add global running sums of each measure in ``order`` (``inclusive``
     of the current row or not)."""
+    frame = (Window.unboundedPreceding, 0 if inclusive else -1)
+    if _small(df, partitions, n):
+        w = Window.orderBy(*sort_columns(order)).rowsBetween(*frame)
+        return df.select("*", *[F.coalesce(F.sum(m).over(w), F.lit(0)).cast(dtype).alias(k)
+                                for k, m in measures.items()])
     s = sorted_positions(df, order, partitions)
     off = _offsets(s, measures, dtype)
-    w = Window.partitionBy("__pid").orderBy("__pos").rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
+    w = Window.partitionBy("__pid").orderBy("__pos").rowsBetween(*frame)
     cols = [(F.coalesce(F.sum(m).over(w), F.lit(0).cast(dtype)) + F.col(f"__off_{k}")).cast(dtype).alias(k)
             for k, m in measures.items()]
     out = s.join(off, "__pid").select("*", *cols)

@@ -153,8 +153,8 @@ def score_customers(features: DataFrame, duplicates: str = "raise",
                 .withColumn("rfm_score", F.lit(None).cast("string"))
                 .withColumn("segment", F.lit(None).cast("string")))
     edges = value_quartile_edges(base, "recency")
-    out = global_rank(global_rank(base, FREQUENCY_ORDER, "_f_rank", partitions),
-                      MONETARY_ORDER, "_m_rank", partitions)
+    out = global_rank(global_rank(base, FREQUENCY_ORDER, "_f_rank", partitions, n=n),
+                      MONETARY_ORDER, "_m_rank", partitions, n=n)
     out = (out.withColumn("r_score", quartile_score("recency", edges, RECENCY_LABELS, duplicates))
               .withColumn("f_score", rank_quartile_score("_f_rank", n))
               .withColumn("m_score", rank_quartile_score("_m_rank", n))

@@ -58,13 +58,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
 
-    Used before a result is scanned several times (counts, samples, ranks) so
-    the upstream shuffle/aggregation runs once and a lost executor only costs
-    a re-read of the checkpoint files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    Used before a result is scanned several times (counts, quantiles, sorts)
+    so the upstream shuffle/aggregation runs once and a lost executor only
+    costs a re-read.  Stored as Parquet, so later scans prune columns."""
+    return materialize_table(df, "stage")
 
 
 def materialize_table(df: DataFrame, name: str = "table") -> DataFrame:
