@@ -526,3 +526,29 @@ def q_tx_scan(spark, sf_dir):
 @query("tx_profile")
 def q_tx_profile(spark, sf_dir):
     return S.profile_frame(_tx(spark, sf_dir))
+
+
+# ----------------------------------- purchase events (timestamps with times)
+
+@query("rfm_events")
+def q_rfm_events(spark, sf_dir):
+    return R.rfm(TD.purchase_events(spark, sf_dir))
+
+
+@query("event_churn")
+def q_event_churn(spark, sf_dir):
+    # one month of events: a one-day inactivity window instead of 90 days
+    return E.customer_churn(TD.purchase_events(spark, sf_dir), inactivity_days=1)
+
+
+@query("dq_suite_events")
+def q_dq_suite_events(spark, sf_dir):
+    return Q.run_validation(TD.purchase_events(spark, sf_dir))
+
+
+@query("model_base_join")
+def q_model_base_join(spark, sf_dir):
+    tx = _tx(spark, sf_dir)
+    churn = E.customer_churn(tx, sort=False)
+    rfm = R.rfm(tx, sort=False)
+    return E.model_base(churn, rfm, R.score_customers(rfm))

@@ -32,20 +32,27 @@ def clv_cents(n: Column, aov_cents: Column, active_months: Column, months: int =
     return half_up_div(n.cast("decimal(38,0)") * aov_cents * active_months, F.lit(months))
 
 
-def _base_aggs(cols: TxCols, end: Column, days: int) -> list[Column]:
+def _role(tx: DataFrame, name: str, dtype: str) -> Column:
+    """A role column, or a typed null when the fact table lacks it."""
+    return F.col(name) if name in tx.columns else F.lit(None).cast(dtype)
+
+
+def _base_aggs(tx: DataFrame, cols: TxCols, end: Column, days: int) -> list[Column]:
     d = day(cols.date)
     recent = d >= F.date_sub(end, days)
+    qty = _role(tx, cols.quantity, "bigint")
+    disc = _role(tx, cols.discount, "double")
     return [
         F.min(d).alias("first_purchase_date"),
         F.max(d).alias("last_purchase_date"),
         F.count(cols.id).alias("total_transactions"),
         F.sum(cents(cols.value)).alias("_cents"),
         F.count(cols.value).alias("_nvalue"),
-        F.sum(F.col(cols.quantity)).cast("bigint").alias("quantity_total"),
-        F.sum(micros(cols.discount)).alias("_disc"),
-        F.count(cols.discount).alias("_ndisc"),
+        F.sum(qty).cast("bigint").alias("quantity_total"),
+        F.sum(micros(disc)).alias("_disc"),
+        F.count(disc).alias("_ndisc"),
         F.sum(F.col(cols.value)).alias("_raw_sum"),
-        F.avg(F.col(cols.discount)).alias("_raw_disc"),
+        F.avg(disc).alias("_raw_disc"),
         F.count_distinct(month_key(cols.date)).alias("active_months"),
         F.count(F.when(recent, F.col(cols.id))).alias("transactions_last_90_days"),
         F.sum(F.when(recent, cents(cols.value))).alias("_recent_cents"),
@@ -61,7 +68,7 @@ def customer_churn(tx: DataFrame, cols: TxCols = TX, rounded: bool = True, as_of
     CLV (the two formulations of the reference)."""
     end = as_of_column(tx, as_of, cols)
     g = customers_only(tx, cols).groupBy(F.col(cols.customer).alias("customer_id")).agg(
-        *_base_aggs(cols, end, inactivity_days))
+        *_base_aggs(tx, cols, end, inactivity_days))
     n = F.col("total_transactions")
     aov_c = half_up_div(F.col("_cents"), F.col("_nvalue"))
     if rounded:

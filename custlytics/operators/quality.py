@@ -20,6 +20,11 @@ def _flag_sum(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
 
 
+def _role(tx: DataFrame, name: str) -> Column:
+    """A role column, or null when the fact table lacks it (counted as null)."""
+    return F.col(name) if name in tx.columns else F.lit(None)
+
+
 def total_transactions(tx: DataFrame) -> DataFrame:
     """B1"""
     return tx.agg(F.count(F.lit(1)).alias("total_transactions"))
@@ -42,7 +47,7 @@ KEY_COLUMNS = ("id", "customer", "date", "value", "quantity")
 
 def null_counts(tx: DataFrame, cols: TxCols = TX, roles: Sequence[str] = KEY_COLUMNS) -> DataFrame:
     """Null count per key column in one pass."""
-    return tx.agg(*[_flag_sum(F.col(getattr(cols, r)).isNull()).alias(f"null_{getattr(cols, r)}")
+    return tx.agg(*[_flag_sum(_role(tx, getattr(cols, r)).isNull()).alias(f"null_{getattr(cols, r)}")
                     for r in roles])
 
 
@@ -105,10 +110,10 @@ def run_validation(tx: DataFrame, cols: TxCols = TX) -> DataFrame:
         F.count(F.lit(1)).alias("total_transactions"),
         F.min(day(cols.date)).cast("string").alias("min_transaction_date"),
         F.max(day(cols.date)).cast("string").alias("max_transaction_date"),
-        *[_flag_sum(F.col(getattr(cols, r)).isNull()).alias(f"null_{getattr(cols, r)}")
+        *[_flag_sum(_role(tx, getattr(cols, r)).isNull()).alias(f"null_{getattr(cols, r)}")
           for r in KEY_COLUMNS],
-        F.count_if(F.col(cols.value) <= 0).alias("non_positive_order_value_rows"),
-        F.count_if(F.col(cols.quantity) <= 0).alias("non_positive_quantity_rows"),
+        F.count_if(_role(tx, cols.value) <= 0).alias("non_positive_order_value_rows"),
+        F.count_if(_role(tx, cols.quantity) <= 0).alias("non_positive_quantity_rows"),
     )
     per_customer = transactions_per_customer(tx, cols).agg(
         F.count(cols.customer).alias("total_customers"),

@@ -210,7 +210,14 @@ ORACLE["cohort_matrix"] = with_(TX, COHORT) + "SELECT cohort_month, " + ", ".joi
     " FROM ret WHERE cohort_index <= 12 GROUP BY cohort_month ORDER BY cohort_month"
 
 # ------------------------------------------------------ churn and CLV (E)
-CHURN = """dataset_end AS (SELECT MAX(CAST(transaction_date AS DATE)) AS mx FROM tx),
+def hud(num: str, den: str) -> str:
+    """Integer num/den rounded half away from zero (den > 0), as in
+    functions.money.half_up_div."""
+    return f"(sign({num}) * ((2 * abs({num}) + ({den})) // (2 * ({den}))))"
+
+
+def churn_cte(days: int = 90) -> str:
+    return f"""dataset_end AS (SELECT MAX(CAST(transaction_date AS DATE)) AS mx FROM tx),
 cbase AS (
   SELECT customer_id,
     MIN(CAST(transaction_date AS DATE)) AS first_purchase_date,
@@ -225,25 +232,27 @@ recent_activity AS (
   SELECT t.customer_id, COUNT(t.transaction_id) AS transactions_last_90_days,
          SUM(CAST(ROUND(t.order_value * 100) AS BIGINT)) AS rc
   FROM tx t CROSS JOIN dataset_end d
-  WHERE CAST(t.transaction_date AS DATE) >= d.mx - 90 AND t.customer_id IS NOT NULL
+  WHERE CAST(t.transaction_date AS DATE) >= d.mx - {days} AND t.customer_id IS NOT NULL
   GROUP BY t.customer_id),
-caov AS (SELECT *, (2 * sc + nv) // (2 * nv) AS aov_c FROM cbase),
+caov AS (SELECT *, {hud("sc", "nv")} AS aov_c FROM cbase),
 churn AS (
   SELECT c.customer_id, c.first_purchase_date, c.last_purchase_date, c.total_transactions,
     CAST(c.sc AS DOUBLE) / 100 AS total_spend, CAST(c.aov_c AS DOUBLE) / 100 AS avg_order_value,
     c.quantity_total,
-    CASE WHEN c.nd > 0 THEN CAST((2 * c.sd + c.nd * 100) // (2 * c.nd * 100) AS DOUBLE) / 10000 END
-      AS discount_usage_rate,
+    CASE WHEN c.nd > 0 THEN CAST({hud("c.sd", "c.nd * 100")} AS DOUBLE) / 10000 END AS discount_usage_rate,
     c.active_months,
     CAST(c.last_purchase_date - c.first_purchase_date AS INTEGER) AS customer_lifespan_days,
     CAST(d.mx - c.last_purchase_date AS INTEGER) AS days_since_last_purchase,
-    CAST(CASE WHEN d.mx - c.last_purchase_date > 90 THEN 1 ELSE 0 END AS INTEGER) AS churn_label,
-    CAST((2 * CAST(c.total_transactions AS HUGEINT) * c.aov_c * c.active_months + 12) // 24 AS DOUBLE) / 100
+    CAST(CASE WHEN d.mx - c.last_purchase_date > {days} THEN 1 ELSE 0 END AS INTEGER) AS churn_label,
+    CAST({hud("CAST(c.total_transactions AS HUGEINT) * c.aov_c * c.active_months", "12")} AS DOUBLE) / 100
       AS clv_proxy,
     COALESCE(r.transactions_last_90_days, 0) AS transactions_last_90_days,
     CAST(COALESCE(r.rc, 0) AS DOUBLE) / 100 AS spend_last_90_days
   FROM caov c CROSS JOIN dataset_end d LEFT JOIN recent_activity r ON c.customer_id = r.customer_id)"""
 
+
+CHURN = churn_cte(90)
+
 ORACLE["customer_churn"] = with_(TX, CHURN) + "SELECT * FROM churn ORDER BY customer_id"
 ORACLE["customer_base"] = with_(TX, CHURN) + """SELECT customer_id, first_purchase_date, last_purchase_date,
   total_transactions, total_spend, avg_order_value, quantity_total, discount_usage_rate, active_months FROM churn"""
@@ -438,3 +447,13 @@ SELECT CASE WHEN positives * negatives > 0 THEN
 # ------------------------------------------------------- sources (A)
 ORACLE["tx_scan"] = with_(TX) + "SELECT * FROM tx"
 ORACLE["tx_profile"] = with_(TX) + "SELECT COUNT(*) AS rows, 8 AS columns FROM tx"
+
+# ------------------------------------------- purchase events (time of day)
+EVENTS = """tx AS (
+  SELECT event_id AS transaction_id, user_id AS customer_id, ts AS transaction_date,
+         value AS order_value, CAST(NULL AS BIGINT) AS quantity, CAST(NULL AS DOUBLE) AS discount_used_pct
+  FROM events WHERE event_type = 'purchase')"""
+ORACLE["rfm_events"] = with_(EVENTS, RFM) + "SELECT * FROM rfm ORDER BY monetary DESC, customer_id"
+ORACLE["event_churn"] = with_(EVENTS, churn_cte(1)) + "SELECT * FROM churn ORDER BY customer_id"
+ORACLE["dq_suite_events"] = _suite_sql().replace(with_(TX), with_(EVENTS), 1)
+ORACLE["model_base_join"] = ORACLE["model_base"]
