@@ -44,11 +44,13 @@ def churn_scores(model_base: DataFrame, probability: Column | None = None,
     Without a model, the deterministic score ``days since last purchase /
     max days since last purchase`` stands in for the probability (it makes
     every view checkable against SQL).  The base is checkpointed first so
-    the max (a scalar subquery) and the views read it, not its lineage."""
+    the max and the views read it, not its lineage."""
     base = materialize(model_base)
     if probability is None:
-        mx = base.select(F.max("days_since_last_purchase")).scalar()
-        probability = F.col("days_since_last_purchase").cast("double") / mx
+        # one-row aggregate over one column of the materialised table; a
+        # literal from then on (not a subquery repeated in every filter)
+        mx = base.agg(F.max("days_since_last_purchase")).first()[0]
+        probability = F.col("days_since_last_purchase").cast("double") / F.lit(mx)
     out = base.withColumn("churn_probability", probability)
     return out.select(*PRED_COLUMNS, (F.col("churn_probability") > threshold).cast("int").alias("prediction"))
 

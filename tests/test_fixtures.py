@@ -225,3 +225,11 @@ def test_require_rows(spark):
     df = spark.createDataFrame([], "customer_id string")
     with pytest.raises(V.EmptySelection):
         V.require_rows(df)
+
+
+def test_points_sample_only_above_limit(spark):
+    df = spark.range(1000).select(F.col("id").alias("customer_id"), F.lit("s").alias("segment"),
+                                  F.rand(1).alias("clv_proxy"), F.rand(2).alias("churn_probability"))
+    assert V.points(df).count() == 1000
+    n = V.points(df, max_points=100).count()
+    assert 50 < n < 160

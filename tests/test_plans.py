@@ -39,3 +39,23 @@ def test_category_distribution_aggregates_before_join(spark):
     join_at = text.find("Join")
     # a partial count on the line side sits below the join
     assert join_at >= 0 and "HashAggregate" in text[join_at:]
+
+
+def test_trailing_window_filter_reaches_the_scan(spark):
+    text = _plan(E.queries()["recent_activity"](spark, SF01))
+    assert "GreaterThanOrEqual(o_orderdate" in text
+
+
+def test_end_date_is_a_literal_not_a_repeated_subquery(spark):
+    text = _plan(E.queries()["customer_churn"](spark, SF01))
+    assert "Subquery" not in text
+
+
+def test_view_filters_push_down(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    try:
+        text = _plan(E.queries()["filtered_customers"](spark, SF01))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = text.split("PushedFilters: [", 1)[1].split("ReadSchema", 1)[0]
+    assert "GreaterThanOrEqual(clv_proxy" in pushed and "In(segment" in pushed
