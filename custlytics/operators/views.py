@@ -175,15 +175,22 @@ def histogram(df: DataFrame, col: str = "churn_probability", bins: int = HISTOGR
 
 
 def box_stats(df: DataFrame, col: str, by: str = "segment", tiebreak: str = "customer_id",
-              decimals: int | None = None, partitions: int | None = None) -> DataFrame:
+              decimals: int | None = None, partitions: int | None = None,
+              approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Box-plot statistics per group: quartiles (linear), min, max,
     1.5 IQR whiskers and outlier count.
 
     Quartiles are exact and distributed (global rank, not a per-group
     buffer of values); the quartile table has one row per group and is
     joined back to compute the whiskers in one more aggregation."""
-    qs = exact_quantiles(df, col, (0.25, 0.5, 0.75), by=[by], tiebreak=tiebreak,
-                         partitions=partitions)
+    if approx:
+        # one pass, bounded memory per group (a quantile sketch); quartiles
+        # are then sample values within 1/accuracy in rank, not interpolated
+        qs = df.groupBy(by).agg(F.percentile_approx(col, [0.25, 0.5, 0.75], accuracy).alias("_q")) \
+               .select(by, *[F.col("_q")[i].cast("double").alias(f"q{i}") for i in range(3)])
+    else:
+        qs = exact_quantiles(df, col, (0.25, 0.5, 0.75), by=[by], tiebreak=tiebreak,
+                             partitions=partitions)
     rnd = (lambda c: F.round(c, decimals)) if decimals is not None else (lambda c: c)
     qs = qs.select(by, rnd(F.col("q0")).alias("q1"), rnd(F.col("q1")).alias("median"),
                    rnd(F.col("q2")).alias("q3"))
