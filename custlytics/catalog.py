@@ -279,11 +279,13 @@ def q_model_base(spark, sf_dir):
 # ---------------------------------------------------- analyst views (G)
 
 from custlytics.operators import views as V  # noqa: E402
+from custlytics.session import materialize  # noqa: E402
 
 VIEW_FILTER = dict(segments=("High-Value", "At-Risk"), prob=(0.05, 0.95), clv=(100000.0, 3000000.0))
 
 
 def _pred(spark, sf_dir):
+    # materialised once: every view's filters then push down to its scan
     return V.churn_scores(E.customer_model_base(_tx(spark, sf_dir)))
 
 

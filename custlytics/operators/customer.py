@@ -123,13 +123,20 @@ def model_base(churn: DataFrame, rfm: DataFrame, segments: DataFrame) -> DataFra
             .join(seg, "customer_id", "left"))
 
 
-def customer_model_base(tx: DataFrame, cols: TxCols = TX, **kw) -> DataFrame:
-    """E9 (fused form): with the default ``as_of`` the RFM columns are the
-    churn table's own (recency = days since last purchase, frequency =
-    transactions, monetary = spend), so one aggregation feeds both and the
-    scores are added without a join."""
-    churn = customer_churn(tx, cols, sort=False)
-    feats = churn.withColumn("recency", F.col("days_since_last_purchase")) \
-                 .withColumn("frequency", F.col("total_transactions")) \
-                 .withColumn("monetary", F.col("total_spend"))
-    return score_customers(feats, **kw)
+def customer_features(tx: DataFrame, cols: TxCols = TX, **kw) -> DataFrame:
+    """The churn table with its RFM columns: with the default ``as_of`` they
+    are the churn table's own (recency = days since last purchase, frequency
+    = transactions, monetary = spend), so one aggregation feeds both."""
+    churn = customer_churn(tx, cols, sort=False, **kw)
+    return churn.withColumn("recency", F.col("days_since_last_purchase")) \
+                .withColumn("frequency", F.col("total_transactions")) \
+                .withColumn("monetary", F.col("total_spend"))
+
+
+def customer_model_base(tx: DataFrame, cols: TxCols = TX, features: DataFrame | None = None,
+                        **kw) -> DataFrame:
+    """E9 (fused form): features plus scores and segment, without a join.
+    Pass ``features`` when they are already materialised."""
+    if features is not None:
+        return score_customers(features, materialized=True, **kw)
+    return score_customers(customer_features(tx, cols), **kw)

@@ -85,18 +85,19 @@ def rfm(tx: DataFrame, as_of=None, cols: TxCols = TX, sort: bool = True) -> Data
 
 # ---------------------------------------------------------------- scoring
 
-def value_quartile_edges(df: DataFrame, col: str) -> list[float]:
-    """min, exact quartiles (linear interpolation) and max of ``col``.
+def value_quartile_edges(df: DataFrame, col: str, with_count: bool = False):
+    """min, exact quartiles (linear interpolation) and max of ``col`` (and the
+    row count, in the same one-row aggregate, when ``with_count``).
 
     ``percentile`` keeps one counter per distinct value, which is what a
     day-count column needs (a few thousand distinct values at most); it is
     not meant for continuous measures (use ``exact_quantiles``)."""
     row = df.agg(F.min(col).alias("lo"),
                  F.percentile(F.col(col), F.array(*[F.lit(p) for p in QUARTILES])).alias("q"),
-                 F.max(col).alias("hi")).first()
-    if row is None or row["lo"] is None:
-        return []
-    return [float(row["lo"]), *[float(x) for x in row["q"]], float(row["hi"])]
+                 F.max(col).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    edges = [] if row is None or row["lo"] is None else \
+        [float(row["lo"]), *[float(x) for x in row["q"]], float(row["hi"])]
+    return (edges, int(row["n"])) if with_count else edges
 
 
 def quartile_score(col: str, edges: Sequence[float], labels: Sequence[int],
@@ -145,14 +146,13 @@ def score_customers(features: DataFrame, duplicates: str = "raise",
     The table is checkpointed once (it is read by the count, the quartile
     aggregate and the first sort); each rank is a distributed sort."""
     base = features if materialized else materialize(features)
-    n = base.count()
+    edges, n = value_quartile_edges(base, "recency", with_count=True)
     if n == 0:
         return (base.withColumn("r_score", F.lit(None).cast("int"))
                 .withColumn("f_score", F.lit(None).cast("int"))
                 .withColumn("m_score", F.lit(None).cast("int"))
                 .withColumn("rfm_score", F.lit(None).cast("string"))
                 .withColumn("segment", F.lit(None).cast("string")))
-    edges = value_quartile_edges(base, "recency")
     out = global_rank(global_rank(base, FREQUENCY_ORDER, "_f_rank", partitions, n=n),
                       MONETARY_ORDER, "_m_rank", partitions, n=n)
     out = (out.withColumn("r_score", quartile_score("recency", edges, RECENCY_LABELS, duplicates))

@@ -38,19 +38,21 @@ PRED_COLUMNS = ("customer_id", "segment", "churn_label", "churn_probability", "c
 
 
 def churn_scores(model_base: DataFrame, probability: Column | None = None,
-                 threshold: float = 0.5) -> DataFrame:
+                 threshold: float = 0.5, max_days: int | None = None) -> DataFrame:
     """The scored customer table ``pred``.
 
     Without a model, the deterministic score ``days since last purchase /
     max days since last purchase`` stands in for the probability (it makes
-    every view checkable against SQL).  The base is checkpointed first so
-    the max and the views read it, not its lineage."""
-    base = materialize(model_base)
+    every view checkable against SQL).  The max is a one-row aggregate taken
+    once and used as a literal; unless the caller passes it (taken from an
+    already materialised table), the base is checkpointed first so the max
+    and the views read it, not its lineage."""
+    base = model_base
     if probability is None:
-        # one-row aggregate over one column of the materialised table; a
-        # literal from then on (not a subquery repeated in every filter)
-        mx = base.agg(F.max("days_since_last_purchase")).first()[0]
-        probability = F.col("days_since_last_purchase").cast("double") / F.lit(mx)
+        if max_days is None:
+            base = materialize(model_base)
+            max_days = base.agg(F.max("days_since_last_purchase")).first()[0]
+        probability = F.col("days_since_last_purchase").cast("double") / F.lit(max_days)
     out = base.withColumn("churn_probability", probability)
     return out.select(*PRED_COLUMNS, (F.col("churn_probability") > threshold).cast("int").alias("prediction"))
 

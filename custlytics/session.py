@@ -72,7 +72,8 @@ def materialize_table(df: DataFrame, name: str = "table") -> DataFrame:
     position id keep it (it is data now)."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # the schema is known: no footer/schema-inference pass on read-back
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
