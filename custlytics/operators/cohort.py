@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from custlytics.functions.dates import day, month_key, month_label
 from custlytics.functions.money import from_micros, half_up_div
 from custlytics.operators.rfm import customers_only
+from custlytics.plans.skew import hot_keys_by_count, salted_left_join
+from custlytics.session import materialize
 from custlytics.schemas import TX, TxCols
 
 
@@ -32,16 +34,23 @@ def first_purchase(tx: DataFrame, cols: TxCols = TX) -> DataFrame:
             .withColumn("cohort_month", month_label(month_key("first_purchase_date"))))
 
 
-def cohort_assign(tx: DataFrame, cols: TxCols = TX) -> DataFrame:
+def cohort_assign(tx: DataFrame, cols: TxCols = TX, hot_share: float = 0.01,
+                  hot_min_rows: int = 1_000_000) -> DataFrame:
     """D3: every transaction with its customer's cohort and 1-based month index.
 
-    The per-customer first month is a partial aggregation (skew-safe); the
-    join back is a shuffle join on the customer whose hot partitions AQE
-    splits (the transaction side is the streamed side of the left join)."""
+    The per-customer first month (with the customer's row count) is a
+    partial aggregation, materialised once.  Customers holding at least
+    ``hot_share`` of all rows (and ``hot_min_rows``) -- at most
+    ``1/hot_share`` of them -- have their transactions salted across all
+    shuffle partitions for the join back; everyone else takes the plain
+    shuffle join."""
     t = customers_only(tx, cols)
-    firsts = t.groupBy(F.col(cols.customer).alias("_c")).agg(
-        F.min(month_key(cols.date)).alias("_cohort"))
-    j = t.join(firsts, t[cols.customer] == F.col("_c"), "left")
+    firsts = materialize(t.groupBy(F.col(cols.customer).alias("_c")).agg(
+        F.min(month_key(cols.date)).alias("_cohort"), F.count(F.lit(1)).alias("_n")))
+    hot = hot_keys_by_count(firsts, "_c", "_n", hot_share, hot_min_rows)
+    splits = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = salted_left_join(t, firsts.select("_c", "_cohort"), cols.customer, "_c", hot, splits,
+                         salt_from=[cols.id, cols.date])
     mk = month_key(cols.date)
     return j.select(
         F.col(cols.customer).alias("customer_id"), F.col(cols.id).alias("transaction_id"),

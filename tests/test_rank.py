@@ -69,3 +69,17 @@ def test_no_global_window_in_rank_plan(spark):
     plan_text = global_rank(df, ["monetary", "customer_id"], partitions=20)._jdf \
         .queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan_text
+
+
+def test_salted_join_equals_plain_join(spark):
+    from custlytics.plans.skew import hot_keys_by_count, salted_left_join
+    big = spark.range(6000).select((F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 50))
+                                   .alias("k"), F.col("id").alias("v"))
+    small = spark.range(50).select(F.col("id").alias("sk"), (F.col("id") * 10).alias("w"))
+    counts = big.groupBy(F.col("k").alias("sk")).agg(F.count("*").alias("n"))
+    hot = hot_keys_by_count(counts, "sk", "n", share=0.2, min_rows=1)
+    assert hot == [1]
+    plain = {tuple(r) for r in big.join(small, big.k == small.sk, "left").select("v", "w").collect()}
+    salted = salted_left_join(big, small, "k", "sk", hot, splits=8, salt_from=["v"])
+    assert {tuple(r) for r in salted.select("v", "w").collect()} == plain
+    assert salted.count() == 6000
