@@ -4,7 +4,6 @@ published segment summary (read in place; skipped when absent)."""
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from custlytics.operators import rfm as R
 
