@@ -23,6 +23,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from custlytics.plans.broadcast import broadcast_if_small
 from custlytics.session import materialize_table
 
 POSITION_BITS = 33          # monotonically_increasing_id: record number bits
@@ -154,8 +155,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
 
     Works by a global rank over (by, value, tiebreak) instead of holding a
     group's values in one aggregation buffer, so a hot group is spread over
-    many tasks.  Returns one row per group with columns ``q0, q1, ...``.
-    The number of groups must be small (it sizes a broadcast table)."""
+    many tasks.  Returns one row per group with columns ``q0, q1, ...``."""
     by = list(by)
     order = by + [value] + ([tiebreak] if tiebreak else [])
     base = df.where(F.col(value).isNotNull()).select(*order)
@@ -175,9 +175,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
                                         F.col("_first") + F.col("hi"))).alias("_r"),
                       (F.col("_first") + F.col("lo")).alias("_rlo"))
               .distinct())
-    # one row per group x quantile x {lo, hi}: bounded by the group count
-    picked = ranked.join(F.broadcast(wanted), by + ["_r"]) if by else \
-        ranked.join(F.broadcast(wanted), ["_r"])
+    # one row per group x quantile x {lo, hi}: broadcast while the number of
+    # groups is small (checked), a shuffle join beyond that
+    wanted = broadcast_if_small(wanted, 200_000)
+    picked = ranked.join(wanted, by + ["_r"])
     per_q = picked.groupBy(*by, "qi", "h", "lo", "hi").agg(
         F.max(F.when(F.col("_r") == F.col("_rlo"), F.col(value))).alias("_vlo"),
         F.max(F.col(value)).alias("_vhi"))

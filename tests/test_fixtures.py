@@ -233,3 +233,16 @@ def test_points_sample_only_above_limit(spark):
     assert V.points(df).count() == 1000
     n = V.points(df, max_points=100).count()
     assert 50 < n < 160
+
+
+def test_order_month_and_cohort_filters(spark):
+    tx = make_tx(spark, [("t1", "A", "2024-12-15", 1.0), ("t2", "A", "2025-01-03", 1.0),
+                         ("t3", "B", "2025-02-01", 1.0)])
+    assert sorted(r.order_month for r in C.with_order_month(tx).collect()) == ["2024-12", "2025-01", "2025-02"]
+    ret = C.cohort_retention(tx)
+    assert [r.cohort_month for r in C.cohort_options(ret).collect()] == ["2024-12", "2025-02"]
+    only = C.filter_cohorts(ret, max_index=1, cohorts=["2025-02"]).collect()
+    assert [(r.cohort_month, r.cohort_index) for r in only] == [("2025-02", 1)]
+    latest = C.latest_retention(ret).collect()
+    assert [(r.cohort_month, r.cohort_index) for r in latest] == [("2024-12", 2), ("2025-02", 1)] or \
+        [(r.cohort_month, r.cohort_index) for r in latest] == [("2025-02", 1), ("2024-12", 2)]
