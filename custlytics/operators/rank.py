@@ -175,9 +175,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
                                         F.col("_first") + F.col("hi"))).alias("_r"),
                       (F.col("_first") + F.col("lo")).alias("_rlo"))
               .distinct())
-    # one row per group x quantile x {lo, hi}: broadcast while the number of
-    # groups is small (checked), a shuffle join beyond that
-    wanted = broadcast_if_small(wanted, 200_000)
+    # one row per group x quantile x {lo, hi}: AQE broadcasts it at runtime
+    # while the number of groups is small, a shuffle join beyond that
+    wanted = broadcast_if_small(wanted, 200_000, check=False)
     picked = ranked.join(wanted, by + ["_r"])
     per_q = picked.groupBy(*by, "qi", "h", "lo", "hi").agg(
         F.max(F.when(F.col("_r") == F.col("_rlo"), F.col(value))).alias("_vlo"),

@@ -199,7 +199,7 @@ def box_stats(df: DataFrame, col: str, by: str = "segment", tiebreak: str = "cus
     iqr = F.col("q3") - F.col("q1")
     qs = qs.withColumn("_lo_fence", F.col("q1") - 1.5 * iqr).withColumn("_hi_fence", F.col("q3") + 1.5 * iqr)
     v = F.col(col)
-    joined = df.where(v.isNotNull()).select(by, col).join(broadcast_if_small(qs, 100_000), by)
+    joined = df.where(v.isNotNull()).select(by, col).join(broadcast_if_small(qs, 100_000, check=False), by)
     inside = (v >= F.col("_lo_fence")) & (v <= F.col("_hi_fence"))
     return (joined.groupBy(by, "q1", "median", "q3").agg(
         F.count(F.lit(1)).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),

@@ -13,8 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int, proven: bool = False) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int, proven: bool = False,
+                       check: bool = True) -> DataFrame:
+    """Hint a broadcast only behind a size bound.
+
+    ``proven``: the bound holds by construction (say why at the call site).
+    ``check``: count at most ``max_rows + 1`` rows now -- cheap for a base
+    table, but it would execute a derived table's whole pipeline, so for
+    derived tables pass ``check=False``: no hint, and AQE converts the join
+    to a broadcast at runtime once the materialised side proves small."""
     if proven:
         return F.broadcast(df)
+    if not check:
+        return df
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
