@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "rfm", "rfm_segments", "segment_summary", "dq_suite", "dist_category", "dist_state",
-    "cohort_retention", "cohort_matrix", "customer_churn", "model_base", "kpi_row",
+    "cohort_retention", "cohort_matrix", "cohort_assign", "customer_churn", "model_base", "kpi_row",
     "segment_performance", "box_clv", "top_risk", "stratified_split", "roc_auc",
 ]
 

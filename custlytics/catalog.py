@@ -554,3 +554,9 @@ def q_model_base_join(spark, sf_dir):
     churn = E.customer_churn(tx, sort=False)
     rfm = R.rfm(tx, sort=False)
     return E.model_base(churn, rfm, R.score_customers(rfm))
+
+
+@query("rfm_fixed_as_of")
+def q_rfm_fixed_as_of(spark, sf_dir):
+    # recency anchored to a fixed report date instead of the dataset end
+    return R.rfm(_tx(spark, sf_dir, lines=False), as_of="2002-01-01")

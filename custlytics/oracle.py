@@ -457,3 +457,5 @@ ORACLE["rfm_events"] = with_(EVENTS, RFM) + "SELECT * FROM rfm ORDER BY monetary
 ORACLE["event_churn"] = with_(EVENTS, churn_cte(1)) + "SELECT * FROM churn ORDER BY customer_id"
 ORACLE["dq_suite_events"] = _suite_sql().replace(with_(TX), with_(EVENTS), 1)
 ORACLE["model_base_join"] = ORACLE["model_base"]
+ORACLE["rfm_fixed_as_of"] = with_(TX, RFM.replace(END, "DATE '2002-01-01'")) + \
+    "SELECT * FROM rfm ORDER BY monetary DESC, customer_id"
