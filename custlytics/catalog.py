@@ -245,6 +245,12 @@ def q_customer_churn(spark, sf_dir):
     return _churn(spark, sf_dir, sort=True)
 
 
+@query("customer_churn_unrounded")
+def q_customer_churn_unrounded(spark, sf_dir):
+    # spend, AOV and discount unrounded; CLV from the unrounded AOV
+    return E.customer_churn(_tx(spark, sf_dir), rounded=False, sort=False)
+
+
 @query("customer_base")
 def q_customer_base(spark, sf_dir):
     return E.customer_base(_tx(spark, sf_dir), sort=False)

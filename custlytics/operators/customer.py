@@ -51,8 +51,6 @@ def _base_aggs(tx: DataFrame, cols: TxCols, end: Column, days: int) -> list[Colu
         F.sum(qty).cast("bigint").alias("quantity_total"),
         F.sum(micros(disc)).alias("_disc"),
         F.count(disc).alias("_ndisc"),
-        F.sum(F.col(cols.value)).alias("_raw_sum"),
-        F.avg(disc).alias("_raw_disc"),
         F.count_distinct(month_key(cols.date)).alias("active_months"),
         F.count(F.when(recent, F.col(cols.id))).alias("transactions_last_90_days"),
         F.sum(F.when(recent, cents(cols.value))).alias("_recent_cents"),
@@ -78,9 +76,11 @@ def customer_churn(tx: DataFrame, cols: TxCols = TX, rounded: bool = True, as_of
                       from_micros(half_up_div(F.col("_disc"), F.col("_ndisc") * 100), 10000))
         clv = from_cents(clv_cents(n, aov_c, F.col("active_months")))
     else:
-        spend = F.col("_raw_sum")
-        aov = F.col("_raw_sum") / F.col("_nvalue")
-        disc = F.col("_raw_disc")
+        # unrounded: exact integer sums divided once (a correctly rounded
+        # double, independent of summation order); only CLV is rounded
+        spend = from_cents("_cents")
+        aov = F.col("_cents").cast("double") / (F.col("_nvalue") * 100).cast("double")
+        disc = F.col("_disc").cast("double") / (F.col("_ndisc") * 1000000).cast("double")
         clv = from_cents(half_up_div(F.col("_cents").cast("decimal(38,0)") * n * F.col("active_months"),
                                      F.col("_nvalue") * CLV_MONTHS))
     days_since = F.datediff(end, F.col("last_purchase_date"))
