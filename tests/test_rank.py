@@ -83,3 +83,19 @@ def test_salted_join_equals_plain_join(spark):
     salted = salted_left_join(big, small, "k", "sk", hot, splits=8, salt_from=["v"])
     assert {tuple(r) for r in salted.select("v", "w").collect()} == plain
     assert salted.count() == 6000
+
+
+def test_heavy_hitters_find_a_hot_key(spark):
+    from custlytics.plans.skew import heavy_hitters
+    df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    assert heavy_hitters(df, "k", share=0.05, sample_rows=3000) == [-1]
+    assert heavy_hitters(spark.range(1000).select(F.col("id").alias("k")), "k", share=0.05) == []
+
+
+def test_skew_safe_view_equals_plain_view(spark):
+    from conftest import SF001
+    from custlytics.sources import testdata as TD
+    cols = ["transaction_id", "customer_id", "quantity", "discount_used_pct"]
+    a = {tuple(r) for r in TD.transactions(spark, SF001).select(*cols).collect()}
+    b = {tuple(r) for r in TD.transactions(spark, SF001, skew_safe=True).select(*cols).collect()}
+    assert a == b and len(a) == 1500
