@@ -59,3 +59,18 @@ def test_streaming_ingest_is_exactly_once(spark, tmp_out):
     q = ingest_stream(spark, src, target, ck)   # restart: nothing new
     q.awaitTermination(120)
     assert spark.read.parquet(target).count() == 1500
+
+
+def test_command_line_reports(spark, tmp_out, capsys):
+    from custlytics.__main__ import main
+    src = f"{tmp_out}/raw"
+    S.write_result(_csv_tx(spark).coalesce(2), src, fmt="csv")
+    # 27 orders have no lines at sf0.001: null quantities fail the check
+    assert main(["validate", "--tx", src]) == 1
+    lines = capsys.readouterr().out.splitlines()
+    assert any("null_quantity" in ln and "27" in ln and ln.endswith("FAIL") for ln in lines)
+    assert main(["reports", "--tx", src, "--out", f"{tmp_out}/out"]) == 0
+    for name, n in [("rfm", 150), ("segments", 150), ("segment_summary", 4), ("customer_churn", 150),
+                    ("model_base", 150)]:
+        assert S.read_result(spark, f"{tmp_out}/out/{name}").count() == n
+    assert S.read_result(spark, f"{tmp_out}/out/cohort_retention").count() > 0
