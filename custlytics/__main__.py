@@ -60,7 +60,10 @@ def run_reports(spark, args) -> int:
     if args.model:
         frame = materialize(ml.stratified_split(
             ml.assemble_features(base).join(base.select("customer_id", "segment"), "customer_id")))
-        best, _ = ml.random_search(frame.where("split = 'train'"))
+        grid = ml.PARAM_GRID if not args.quick else {
+            "n_estimators": [10], "max_depth": [3], "learning_rate": [0.1],
+            "subsample": [1.0], "colsample_bytree": [1.0]}
+        best, _ = ml.random_search(frame.where("split = 'train'"), grid, n_iter=args.search_iterations)
         results["churn_predictions"] = ml.churn_predictions(best, base)
         results["attribution_importance"] = attribution_importance(tree_attributions(best, frame))
     for name, df in results.items():
@@ -79,6 +82,8 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("--out", required=True)
             s.add_argument("--out-fmt", default="parquet", choices=["parquet", "csv"])
             s.add_argument("--model", action="store_true", help="also fit the churn model")
+            s.add_argument("--search-iterations", type=int, default=10)
+            s.add_argument("--quick", action="store_true", help="one small model instead of the grid")
     args = p.parse_args(argv)
     spark = _session()
     return run_validate(spark, args) if args.cmd == "validate" else run_reports(spark, args)

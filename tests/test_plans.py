@@ -1,5 +1,7 @@
 """Plan guards: the physical plans we rely on at scale."""
 
+import pytest
+
 from conftest import SF01
 
 import __spark_entry__ as E
@@ -59,3 +61,10 @@ def test_view_filters_push_down(spark):
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     pushed = text.split("PushedFilters: [", 1)[1].split("ReadSchema", 1)[0]
     assert "GreaterThanOrEqual(clv_proxy" in pushed and "In(segment" in pushed
+
+
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+def test_sql_checked_queries_stay_in_the_jvm(spark, name):
+    text = _plan(E.queries()[name](spark, SF01))
+    for marker in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
+        assert marker not in text, (name, marker)

@@ -74,3 +74,13 @@ def test_command_line_reports(spark, tmp_out, capsys):
                     ("model_base", 150)]:
         assert S.read_result(spark, f"{tmp_out}/out/{name}").count() == n
     assert S.read_result(spark, f"{tmp_out}/out/cohort_retention").count() > 0
+
+
+def test_command_line_model_reports(spark, tmp_out):
+    from custlytics.__main__ import main
+    src = f"{tmp_out}/raw"
+    S.write_result(_csv_tx(spark).coalesce(2), src, fmt="csv")
+    assert main(["reports", "--tx", src, "--out", f"{tmp_out}/out", "--model", "--quick",
+                 "--search-iterations", "1"]) == 0
+    assert S.read_result(spark, f"{tmp_out}/out/churn_predictions").count() == 150
+    assert S.read_result(spark, f"{tmp_out}/out/attribution_importance").count() == 12
