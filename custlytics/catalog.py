@@ -116,6 +116,11 @@ def q_dq_line_dups(spark, sf_dir):
     return Q.duplicate_ids(TD.line_transactions(spark, sf_dir), ["order_id", "line_number"])
 
 
+@query("dq_duplicate_preview")
+def q_dq_duplicate_preview(spark, sf_dir):
+    return Q.duplicate_preview(TD.line_transactions(spark, sf_dir), ["order_id", "line_number"])
+
+
 @query("dq_nonpositive_value")
 def q_dq_nonpos_value(spark, sf_dir):
     return Q.nonpositive_rows(_tx(spark, sf_dir, lines=False), "order_value",

@@ -62,6 +62,15 @@ def duplicate_ids(tx: DataFrame, id_cols: str | Sequence[str] | None = None,
             .where(F.col("duplicate_count") > 1))
 
 
+def duplicate_preview(tx: DataFrame, id_cols: str | Sequence[str] | None = None, n: int = 10,
+                      cols: TxCols = TX) -> DataFrame:
+    """The first ``n`` duplicated ids (most repeated first, then by
+    id) -- the bounded preview a validation report prints; a top-N, so it
+    plans as a TakeOrderedAndProject after the partial counts."""
+    ids = [id_cols] if isinstance(id_cols, str) else list(id_cols or [cols.id])
+    return duplicate_ids(tx, ids, cols).orderBy(F.desc("duplicate_count"), *[F.asc(c) for c in ids]).limit(n)
+
+
 def nonpositive_rows(tx: DataFrame, col: str, name: str) -> DataFrame:
     """Rows with ``col <= 0``."""
     return tx.agg(F.count_if(F.col(col) <= 0).alias(name))

@@ -469,3 +469,6 @@ ORACLE["customer_churn_unrounded"] = with_(TX, CHURN) + f"""SELECT c.customer_id
     AS clv_proxy,
   c.transactions_last_90_days, c.spend_last_90_days
 FROM churn c JOIN cbase b ON c.customer_id = b.customer_id"""
+ORACLE["dq_duplicate_preview"] = """SELECT l_orderkey AS order_id, l_linenumber AS line_number,
+  COUNT(*) AS duplicate_count FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1
+  ORDER BY duplicate_count DESC, order_id, line_number LIMIT 10"""
