@@ -148,3 +148,30 @@ def run_validation(tx: DataFrame, cols: TxCols = TX) -> DataFrame:
                       .otherwise("FAIL") if rule == "ZERO" else F.lit("INFO")).alias("status"))
             for no, check, metric, rule in checks]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def validation_checks(tx: DataFrame, cols: TxCols = TX, preview: int | None = 10) -> dict[str, DataFrame]:
+    """B13 by name: the twelve checks as separate DataFrames, row-returning
+    ones cut to ``preview`` rows for display (``None`` keeps them whole).
+    Columns that a table lacks (e.g. no category) skip that check."""
+    def cut(df):
+        return df.limit(preview) if preview is not None else df
+    checks = {
+        "total_transactions": total_transactions(tx),
+        "total_customers": total_customers(tx, cols),
+        "date_range": date_range(tx, cols),
+        "null_counts": null_counts(tx, cols),
+        "duplicate_ids": (duplicate_preview(tx, cols=cols, n=preview) if preview is not None
+                          else duplicate_ids(tx, cols=cols)),
+        "non_positive_order_value": nonpositive_rows(tx, cols.value, "non_positive_order_value_rows"),
+        "one_time_customers": one_time_customers(tx, cols),
+        "repeat_customers": repeat_customers(tx, cols),
+    }
+    if cols.quantity in tx.columns:
+        checks["non_positive_quantity"] = nonpositive_rows(tx, cols.quantity, "non_positive_quantity_rows")
+    for name, col, fn in (("channel_distribution", cols.channel, distribution),
+                          ("category_distribution", cols.category, distribution),
+                          ("state_distribution", cols.state, distinct_distribution)):
+        if col in tx.columns:
+            checks[name] = cut(fn(tx, col) if fn is distribution else fn(tx, col, cols.customer))
+    return checks

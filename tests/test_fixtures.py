@@ -246,3 +246,13 @@ def test_order_month_and_cohort_filters(spark):
     latest = C.latest_retention(ret).collect()
     assert [(r.cohort_month, r.cohort_index) for r in latest] == [("2024-12", 2), ("2025-02", 1)] or \
         [(r.cohort_month, r.cohort_index) for r in latest] == [("2025-02", 1), ("2024-12", 2)]
+
+
+def test_validation_checks_by_name(spark):
+    tx = make_tx(spark, [("t1", "A", "2025-01-01", 5.0, 1, 0.0, "web"), ("t1", "B", "2025-01-02", 5.0, 1, 0.0, "app"),
+                         ("t3", "B", "2025-01-03", 5.0, 1, 0.0, "app")])
+    checks = Q.validation_checks(tx)
+    assert {"total_transactions", "duplicate_ids", "channel_distribution", "non_positive_quantity"} <= set(checks)
+    assert "category_distribution" not in checks            # no such column
+    assert [tuple(r) for r in checks["duplicate_ids"].collect()] == [("t1", 2)]
+    assert [tuple(r) for r in checks["channel_distribution"].collect()] == [("app", 2), ("web", 1)]
