@@ -8,9 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custlytics.operators import attribution as A
+from custlytics.operators import cohort as C
+from custlytics.operators import customer as E
+from custlytics.operators import ml as M
+from custlytics.operators import quality as Q
 from custlytics.operators import rfm as R
+from custlytics.operators import views as V
 from custlytics.operators.rank import global_rank
+from custlytics.plans.pushdown import count_through_dimension, distinct_through_dimension
+from custlytics.session import materialize
 from custlytics.sources import testdata as TD
+from custlytics.sources import transactions as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,9 +91,6 @@ def q_segment_counts(spark, sf_dir):
 
 # ------------------------------------------------------------ quality (B)
 
-from custlytics.operators import quality as Q  # noqa: E402
-from custlytics.plans.pushdown import count_through_dimension, distinct_through_dimension  # noqa: E402
-
 
 @query("dq_total_transactions")
 def q_dq_total(spark, sf_dir):
@@ -184,8 +190,6 @@ def q_dq_suite(spark, sf_dir):
 
 # -------------------------------------------------------------- cohort (D)
 
-from custlytics.operators import cohort as C  # noqa: E402
-
 
 @query("first_purchase")
 def q_first_purchase(spark, sf_dir):
@@ -238,8 +242,6 @@ def q_cohort_matrix(spark, sf_dir):
 
 # ------------------------------------------------------- churn and CLV (E)
 
-from custlytics.operators import customer as E  # noqa: E402
-
 
 def _churn(spark, sf_dir, sort=False):
     return E.customer_churn(_tx(spark, sf_dir), sort=sort)
@@ -289,8 +291,6 @@ def q_model_base(spark, sf_dir):
 
 # ---------------------------------------------------- analyst views (G)
 
-from custlytics.operators import views as V  # noqa: E402
-from custlytics.session import materialize  # noqa: E402
 
 VIEW_FILTER = dict(segments=("High-Value", "At-Risk"), prob=(0.05, 0.95), clv=(100000.0, 3000000.0))
 
@@ -394,9 +394,6 @@ def q_clv_vs_risk(spark, sf_dir):
 
 # ------------------------------------------------------- churn model (F)
 
-from custlytics.operators import ml as M  # noqa: E402
-from custlytics.session import materialize  # noqa: E402
-
 
 def _model_frame(spark, sf_dir):
     """Model base with features, split and fold, checkpointed once."""
@@ -503,8 +500,6 @@ def q_churn_predictions(spark, sf_dir):
 
 # ------------------------------------------------- attributions
 
-from custlytics.operators import attribution as A  # noqa: E402
-
 
 def _attributions(spark, sf_dir):
     frame, model = _fitted(spark, sf_dir)
@@ -528,8 +523,6 @@ def q_attribution_summary(spark, sf_dir):
 
 # ------------------------------------------------------- sources (A)
 
-from custlytics.sources import transactions as S  # noqa: E402
-
 
 @query("tx_scan")
 def q_tx_scan(spark, sf_dir):
