@@ -41,7 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` must point at shared storage and is
     used as is.  Only when nothing is configured *and* the master is local
     (tests, the bench) do we create a private folder."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session: only the configuration
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if conf_dir:
+            return conf_dir
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
     current = sc.getCheckpointDir()
     if current:
         return current
