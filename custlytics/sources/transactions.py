@@ -31,17 +31,29 @@ def parse_transactions(raw: DataFrame, date_format: str | None = None) -> DataFr
     return out
 
 
+BAD_ROW_MODES = {"null": "PERMISSIVE", "drop": "DROPMALFORMED", "fail": "FAILFAST"}
+
+
 def read_transactions(spark: SparkSession, path: str, fmt: str = "csv",
-                      schema: T.StructType = TRANSACTIONS, keep_corrupt: bool = False) -> DataFrame:
-    """A1: raw transactions from CSV (header, explicit schema, permissive:
-    malformed lines keep their text in ``_corrupt_record`` when asked) or
-    from Parquet."""
+                      schema: T.StructType = TRANSACTIONS, bad_rows: str = "null",
+                      keep_corrupt: bool = False) -> DataFrame:
+    """A1: raw transactions from CSV (header, explicit schema) or Parquet.
+
+    ``bad_rows``: ``"null"`` keeps a malformed line with nulls in the fields
+    that do not parse (its text in ``_corrupt_record`` when
+    ``keep_corrupt``), ``"drop"`` skips it, ``"fail"`` stops the job.
+    Unparsable dates become null in every mode and are counted by the
+    quality suite."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    s = T.StructType(list(schema.fields) + ([T.StructField(CORRUPT, T.StringType())] if keep_corrupt else []))
-    raw = (spark.read.schema(s).option("header", True).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-    return parse_transactions(raw)
+    if bad_rows not in BAD_ROW_MODES:
+        raise ValueError(f"bad_rows must be one of {sorted(BAD_ROW_MODES)}")
+    keep = keep_corrupt and bad_rows == "null"
+    s = T.StructType(list(schema.fields) + ([T.StructField(CORRUPT, T.StringType())] if keep else []))
+    r = spark.read.schema(s).option("header", True).option("mode", BAD_ROW_MODES[bad_rows])
+    if keep:
+        r = r.option("columnNameOfCorruptRecord", CORRUPT)
+    return parse_transactions(r.csv(path))
 
 
 def write_transactions(df: DataFrame, target: str, mode: str = "overwrite",

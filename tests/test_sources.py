@@ -84,3 +84,23 @@ def test_command_line_model_reports(spark, tmp_out):
                  "--search-iterations", "1"]) == 0
     assert S.read_result(spark, f"{tmp_out}/out/churn_predictions").count() == 150
     assert S.read_result(spark, f"{tmp_out}/out/attribution_importance").count() == 12
+
+
+def test_bad_rows_modes(spark, tmp_out):
+    import pytest
+    path = f"{tmp_out}/bad.csv"
+    header = ",".join(f.name for f in S.TRANSACTIONS.fields)
+    tail = "cat,card,web,0.1,seg,city,state,2024-01-01"
+    with open(path, "w") as f:
+        f.write(header + "\n")
+        f.write(f"t1,A,2025-01-01,10.5,1,{tail}\n")
+        f.write(f"t2,B,2025-01-02,not-a-number,2,{tail}\n")
+        f.write(f"t3,C,garbage,3.0,3,{tail}\n")
+    keep = S.read_transactions(spark, path, keep_corrupt=True)
+    rows = {r.transaction_id: r for r in keep.collect()}
+    assert rows["t1"]._corrupt_record is None and rows["t1"].order_value == 10.5
+    assert rows["t2"].order_value is None and rows["t2"]._corrupt_record is not None
+    assert rows["t3"].transaction_date is None and rows["t3"]._corrupt_record is None   # bad date -> null
+    assert {r.transaction_id for r in S.read_transactions(spark, path, bad_rows="drop").collect()} == {"t1", "t3"}
+    with pytest.raises(Exception):
+        S.read_transactions(spark, path, bad_rows="fail").collect()
