@@ -72,12 +72,31 @@ def materialize(df: DataFrame) -> DataFrame:
     return materialize_table(df, "stage")
 
 
+_WRITTEN: dict[int, list[str]] = {}
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this session materialised (and only
+    those), e.g. at the end of a long-running job.  DataFrames read from them
+    must not be used afterwards.  Returns the number of folders removed."""
+    paths = _WRITTEN.pop(id(spark), [])
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        if hp.getFileSystem(conf).delete(hp, True):
+            removed += 1
+    return removed
+
+
 def materialize_table(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: lineage is cut, later scans prune columns, and rows computed with a
     position id keep it (it is data now)."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.setdefault(id(df.sparkSession), []).append(path)
     # the schema is known: no footer/schema-inference pass on read-back
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -104,3 +104,15 @@ def test_bad_rows_modes(spark, tmp_out):
     assert {r.transaction_id for r in S.read_transactions(spark, path, bad_rows="drop").collect()} == {"t1", "t3"}
     with pytest.raises(Exception):
         S.read_transactions(spark, path, bad_rows="fail").collect()
+
+
+def test_release_scratch_removes_only_our_tables(spark):
+    import os
+    from custlytics.session import materialize, release_scratch, _WRITTEN
+    release_scratch(spark)                      # start from a clean list
+    df = materialize(spark.range(10))
+    path = _WRITTEN[id(spark)][0].replace("file:", "")
+    assert os.path.isdir(path) and df.count() == 10
+    assert release_scratch(spark) == 1
+    assert not os.path.exists(path)
+    assert release_scratch(spark) == 0
