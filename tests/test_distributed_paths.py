@@ -37,3 +37,38 @@ def test_distributed_rank_path_matches_oracle(spark, con, name, monkeypatch):
     dcols = [d[0] for d in cur.description]
     assert len(srows) == len(drows)
     assert digest(df.columns, srows)[0] == digest(dcols, drows)[0]
+
+
+WINDOWED = ["global_rank", "rfm_segments", "cohort_retention", "cohort_latest", "model_base",
+            "box_clv", "stratified_split", "roc_auc", "classification_report", "kpi_row"]
+
+
+def _windows_over_single_partition(plan: str) -> list[str]:
+    """Window operators whose nearest exchange below is a single partition."""
+    final = plan.split("== Initial Plan ==")[0].splitlines()
+    bad = []
+    for i, ln in enumerate(final):
+        if "Window [" not in ln:
+            continue
+        for below in final[i + 1:]:
+            if "Exchange" in below:
+                if "SinglePartition" in below:
+                    bad.append(ln.strip()[:120])
+                break
+    return bad
+
+
+@pytest.mark.parametrize("name", WINDOWED)
+def test_no_unpartitioned_window_at_scale(spark, name, monkeypatch):
+    monkeypatch.setattr(rank, "SMALL_ROWS", 0)
+    df = E.queries()[name](spark, SF01)
+    df.write.format("noop").mode("overwrite").save()
+    assert _windows_over_single_partition(df._jdf.queryExecution().executedPlan().toString()) == []
+
+
+def test_detector_sees_an_unpartitioned_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    df = spark.range(10).withColumn("r", F.row_number().over(Window.orderBy("id")))
+    df.collect()
+    assert _windows_over_single_partition(df._jdf.queryExecution().executedPlan().toString())
