@@ -46,15 +46,22 @@ def as_of_column(tx: DataFrame, as_of=None, cols: TxCols = TX) -> Column:
     return F.lit(value).cast("date")
 
 
-def on_or_after(df: DataFrame, col: str, start: Column) -> Column:
+def on_or_after(df: DataFrame, col: str, start: Column, month_col: str = "order_month") -> Column:
     """``to_date(col) >= start`` written so it pushes down to the scan when
-    ``col`` is a timestamp (compare the raw value with midnight)."""
+    ``col`` is a timestamp (compare the raw value with midnight).  On a table
+    partitioned by ``order_month`` (as ``write_transactions`` writes it) the
+    implied ``order_month >= 'yyyy-MM'`` is added, so whole month folders
+    are pruned; it never changes the result."""
     dtype = dict(df.dtypes).get(col)
     if dtype == "timestamp_ntz":
-        return F.col(col) >= F.to_timestamp_ntz(F.date_format(start, "yyyy-MM-dd"))
-    if dtype == "timestamp":
-        return F.col(col) >= start.cast("timestamp")
-    return day(col) >= start
+        cond = F.col(col) >= F.to_timestamp_ntz(F.date_format(start, "yyyy-MM-dd"))
+    elif dtype == "timestamp":
+        cond = F.col(col) >= start.cast("timestamp")
+    else:
+        cond = day(col) >= start
+    if month_col in df.columns and dict(df.dtypes).get(month_col) == "string":
+        cond = cond & (F.col(month_col) >= F.date_format(start, "yyyy-MM"))
+    return cond
 
 
 def customers_only(tx: DataFrame, cols: TxCols = TX) -> DataFrame:

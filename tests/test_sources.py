@@ -116,3 +116,15 @@ def test_release_scratch_removes_only_our_tables(spark):
     assert release_scratch(spark) == 1
     assert not os.path.exists(path)
     assert release_scratch(spark) == 0
+
+
+def test_trailing_window_prunes_month_partitions(spark, tmp_out):
+    from custlytics.operators import customer as E
+    tx = TD.transactions(spark, SF001)
+    S.write_transactions(tx, f"{tmp_out}/table")
+    stored = S.load_transactions(spark, f"{tmp_out}/table")
+    got = E.recent_activity(stored)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_month" in text and "order_month#" in text.split("PartitionFilters:")[1][:200]
+    expect = {tuple(r) for r in E.recent_activity(tx).collect()}
+    assert {tuple(r) for r in got.collect()} == expect
