@@ -1,11 +1,10 @@
 """Monthly cohort retention.
 
-Plan: the transactions are first reduced to distinct (customer, month)
-pairs -- partially aggregated before the shuffle, so a customer with a
-third of all rows contributes at most one row per month per task.  The
-cohort of a customer is then a window minimum over that customer's months,
-which is bounded by the number of calendar months, and the cohort cells
-are a count over a table with one row per (customer, active month)."""
+Plan: the transactions are reduced to each customer's set of active
+months in one partially aggregated shuffle (the set is bounded by the
+number of calendar months, so a customer with a third of all rows ships a
+handful of month keys per task); the cohort is the set's minimum, and the
+cohort cells are a count over one row per (customer, active month)."""
 
 from __future__ import annotations
 
@@ -60,11 +59,16 @@ def cohort_assign(tx: DataFrame, cols: TxCols = TX, hot_share: float = 0.01,
 
 
 def customer_months(tx: DataFrame, cols: TxCols = TX) -> DataFrame:
-    """Distinct (customer, month key) with the customer's cohort month key."""
-    cm = (customers_only(tx, cols)
-          .select(F.col(cols.customer).alias("customer_id"), month_key(cols.date).alias("_m"))
-          .distinct())
-    return cm.withColumn("_cohort", F.min("_m").over(Window.partitionBy("customer_id")))
+    """Distinct (customer, month key) with the customer's cohort month key.
+
+    One partially aggregated shuffle on the customer: each customer's set of
+    active months (at most one entry per calendar month, whatever the number
+    of transactions) is built map-side, so a customer with a third of all
+    rows ships a handful of month keys per task; the cohort is the set's
+    minimum."""
+    per = customers_only(tx, cols).groupBy(F.col(cols.customer).alias("customer_id")).agg(
+        F.collect_set(month_key(cols.date)).alias("_ms"))
+    return per.select("customer_id", F.explode("_ms").alias("_m"), F.array_min("_ms").alias("_cohort"))
 
 
 def cohort_counts(tx: DataFrame, cols: TxCols = TX) -> DataFrame:
