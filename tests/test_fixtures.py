@@ -256,3 +256,13 @@ def test_validation_checks_by_name(spark):
     assert "category_distribution" not in checks            # no such column
     assert [tuple(r) for r in checks["duplicate_ids"].collect()] == [("t1", 2)]
     assert [tuple(r) for r in checks["channel_distribution"].collect()] == [("app", 2), ("web", 1)]
+
+
+def test_validation_suite_on_empty_table(spark):
+    tx = spark.createDataFrame([], "transaction_id string, customer_id string, transaction_date timestamp_ntz, "
+                                   "order_value double, quantity bigint")
+    got = {r.metric: (r.value, r.status) for r in Q.run_validation(tx).collect()}
+    assert got["total_transactions"] == ("0", "INFO") and got["total_customers"] == ("0", "INFO")
+    assert got["null_customer_id"] == (None, "PASS")          # SQL SUM over no rows is NULL
+    assert got["non_positive_order_value_rows"] == ("0", "PASS")
+    assert got["duplicate_ids"] == ("0", "PASS") and got["min_transaction_date"] == (None, "INFO")
