@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from custlytics.llm import quality_rules, sentencepiece_bpe, token_orc
+from custlytics.llm import jaccard_trie, line_dedup, quality_rules, sentencepiece_bpe, token_orc
 from custlytics.llm.tables import read_table
 from custlytics.session import scratch_path
 
@@ -16,10 +16,19 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_decode(docs, keep=["doc_id"]))
 
 
+def op4_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_trie.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(read_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return line_dedup.dedup_lines(docs.select("doc_id", "text"))
+
+
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_orc.write_tokens(read_table(spark, sf_dir, "documents"), path)
@@ -28,10 +37,13 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_jaccard_trie": op4_jaccard_trie,
     "op6_quality_rules": op6_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
     "op10_token_orc": op10_token_orc,
 }
 
 ORACLE: dict[str, str] = {
     "op6_quality_rules": quality_rules.duckdb_sql(),
+    "op7_line_dedup": line_dedup.duckdb_sql(),
 }
