@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from custlytics.llm import jaccard_trie, line_dedup, quality_rules, sentencepiece_bpe, token_orc
+from custlytics.llm import (ann, html_crf, jaccard_trie, line_dedup, mixing, quality_rules, sentencepiece_bpe, sharding,
+                            token_orc, toxicity)
 from custlytics.llm.tables import read_table
 from custlytics.session import scratch_path
 
@@ -16,10 +18,25 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_decode(docs, keep=["doc_id"]))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = ann.vectors(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return ann.search(vecs, vecs.where(F.col("vec_id") % 50 == 0))
+
+
+def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return mixing.mix(docs.select("doc_id", "source", "text")).drop("text")
+
+
 def op4_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_trie.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(read_table(spark, sf_dir, "documents"))
 
@@ -29,6 +46,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs.select("doc_id", "text"))
 
 
+def op8_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op9_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return sharding.assign(docs.select("doc_id", "text")).drop("text")
+
+
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_orc.write_tokens(read_table(spark, sf_dir, "documents"), path)
@@ -36,14 +62,13 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_sentencepiece": op1_sentencepiece,
-    "op4_jaccard_trie": op4_jaccard_trie,
-    "op6_quality_rules": op6_quality_rules,
-    "op7_line_dedup": op7_line_dedup,
-    "op10_token_orc": op10_token_orc,
-}
+    f.__name__: f for f in (
+        op1_sentencepiece, op2_ann, op3_temperature_mix, op4_jaccard_trie, op5_toxicity, op6_quality_rules,
+        op7_line_dedup, op8_html_crf, op9_extendible_shards, op10_token_orc)}
 
 ORACLE: dict[str, str] = {
+    "op3_temperature_mix": mixing.duckdb_sql(),
     "op6_quality_rules": quality_rules.duckdb_sql(),
     "op7_line_dedup": line_dedup.duckdb_sql(),
+    "op9_extendible_shards": sharding.duckdb_sql(),
 }
