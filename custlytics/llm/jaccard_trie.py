@@ -5,7 +5,8 @@ in one global order: shingles that a fixed-size count table of the whole
 corpus finds rare come first, ties by hash.  Texts with equal sets collapse
 into one node.  Two sets with Jaccard 0.8 or more share a shingle in their
 ordered prefixes, at positions that leave enough shingles to reach the needed
-overlap; only such pairs are verified.
+overlap, and in all as many prefix shingles as that overlap forces into both;
+only such pairs are verified.
 
 Verification walks a trie.  A probe's candidates, as globally ordered
 sequences, are sorted by Spark, which is the depth-first order of their trie:
@@ -46,8 +47,8 @@ from custlytics.session import materialize_table
 
 #: Shingle length and least similarity in percent (fixed by the contract).
 WIDTH, PERCENT = 5, 80
-#: Counters of the rarity table (1 MB): its size never grows with the corpus.
-SKETCH_BITS, SKETCH_CHUNKS = 18, 16
+#: Counters of the rarity table (16 MB): its size never grows with the corpus.
+SKETCH_BITS, SKETCH_CHUNKS = 22, 64
 #: Count tables added up in one task.
 MERGE_FAN_IN = 64
 #: Ids up to which a set of documents is picked by a broadcast (16 bytes each).
@@ -168,7 +169,10 @@ def _count_table(profile: DataFrame) -> np.ndarray:
         if tasks == 1:
             break
     rows = {r["chunk"]: r["counts"] for r in part.collect()}
-    return np.concatenate([_unpack(rows[c]) for c in range(SKETCH_CHUNKS)]) if rows else np.zeros(1 << SKETCH_BITS, np.int64)
+    if not rows:
+        return np.zeros(1 << SKETCH_BITS, np.int32)
+    most = np.iinfo(np.int32).max                            # the order needs no more than 32 bits
+    return np.concatenate([np.minimum(_unpack(rows[c]), most).astype(np.int32) for c in range(SKETCH_CHUNKS)])
 
 
 def _prefixes(docs: DataFrame, seed: int, counts, percent: int) -> DataFrame:
@@ -309,27 +313,59 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent
         F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     entries = prefix.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
     shared = entries.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("df > 1")
-    shared = materialize_table(shared.select("shingle", "node", "n", "pos"), "shared")
-
-    involved = shared.select("node").distinct().join(nodes, "node").select(F.col("first_id").alias("doc_id"))
-    sets = materialize_table(_sets(_pick(docs, involved), seed, counts).groupBy("node").agg(F.first("seq").alias("seq")), "sets")
-
-    tried = materialize_table(_hub_pairs(shared, percent), "pairs")
-    edges = materialize_table(_verify(tried, sets, percent), "links")
-    labels = components(edges)
-
-    ring = materialize_table(_untried(_ring_pairs(_open(shared, labels), percent), tried), "pairs")
-    edges = materialize_table(edges.union(_verify(ring, sets, percent)), "links")
+    shared = materialize_table(_with_partner(shared.select("shingle", "node", "n", "pos"), percent), "shared")
+    apt = shared.where("partner").drop("partner")
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs that share enough prefix shingles, and those that link."""
+        pairs = materialize_table(_promising(pairs, shared, percent), "pairs")
+        who = pairs.select(F.col("probe").alias("node")).union(pairs.select("cand")).distinct()
+        ids = who.join(nodes, "node").select(F.col("first_id").alias("doc_id"))
+        sets = _sets(_pick(docs, ids), seed, counts).join(who, "node", "left_semi")
+        sets = materialize_table(sets.groupBy("node").agg(F.first("seq").alias("seq")), "sets")
+        return pairs, materialize_table(_verify(pairs, sets, percent), "links")
+
+    tried, edges = verified(_hub_pairs(apt, percent))
     labels = components(edges)
-
-    rest = materialize_table(_untried(_open_pairs(_open(shared, labels), percent), tried, ring), "pairs")
-    more = materialize_table(_verify(rest, sets, percent), "links")
+    ring, more = verified(_untried(_ring_pairs(_open(apt, labels), percent), tried))
+    if more.limit(1).count():
+        edges = edges.union(more)
+        labels = components(edges)
+    rest, more = verified(_untried(_open_pairs(_open(apt, labels), percent), tried, ring))
     if more.limit(1).count():
         edges = edges.union(more)
         labels = components(edges)
     return Links(profile.select("doc_id", "n", "node"), edges, labels, seed)
 
 
+def _with_partner(shared: DataFrame, percent: int) -> DataFrame:
+    """Mark entries for which another node of the shingle is neither too large
+    nor too far from its start: ``cap`` is the largest set that a node can
+    still link with if this is their first common shingle."""
+    e = shared.withColumn("cap", F.floor((F.col("n") - F.col("pos")).cast("long") * (100 + percent) / percent) - F.col("n"))
+    of = Window.partitionBy("shingle")
+    by_cap, by_n = of.orderBy(F.desc("cap"), "node"), of.orderBy("n", "node")
+    e = e.withColumns({
+        "cap_of_others": F.when(F.row_number().over(by_cap) == 1, F.lead("cap").over(by_cap)).otherwise(F.first("cap").over(by_cap)),
+        "n_of_others": F.when(F.row_number().over(by_n) == 1, F.lead("n").over(by_n)).otherwise(F.first("n").over(by_n))})
+    return e.withColumn("partner", (F.col("cap_of_others") >= F.col("n")) & (F.col("n_of_others") <= F.col("cap"))).select(
+        "shingle", "node", "n", "pos", "partner")
+
+
+def _promising(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """The pairs with enough common prefix shingles.  Of sets that overlap in
+    o shingles the k-th common one stands before k + n - o in the order of a
+    set of n, so the first o + 1 - ceil(percent * n / 100) of them, n the
+    larger size, stand in both prefixes."""
+    a = shared.select(F.col("node").alias("probe"), "shingle", F.col("n").alias("np"))
+    b = shared.select(F.col("node").alias("cand"), "shingle", F.col("n").alias("nc"))
+    common = pairs.join(a, "probe").join(b, ["cand", "shingle"]).groupBy("probe", "cand").agg(
+        F.count(F.lit(1)).alias("common"), F.first("np").alias("np"), F.first("nc").alias("nc"))
+    overlap = F.ceil((F.col("np") + F.col("nc")).cast("long") * percent / (100 + percent))
+    least = overlap + 1 - F.ceil(F.greatest("np", "nc").cast("long") * percent / 100)
+    return common.where(F.col("common") >= least).select("probe", "cand")
+
+
 def _untried(pairs: DataFrame, *tried: DataFrame) -> DataFrame:
     """The pairs that were not verified yet, in either direction."""
     for t in tried:
