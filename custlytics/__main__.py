@@ -4,11 +4,14 @@
   python -m custlytics reports  --tx PATH --out DIR [--fmt csv|parquet]
                                 [--out-fmt parquet|csv] [--model]
 
-``reports`` writes rfm, segments, segment_summary, cohort_retention,
-customer_churn and model_base (and with ``--model`` churn_predictions and
-attribution_importance) under DIR, one folder per result.  The session is
-the one spark-submit provides; a local one is created only when run
-directly."""
+``validate`` prints the checks and exits with 1 if one fails.  ``reports``
+writes rfm, segments, segment_summary, cohort_retention, customer_churn and
+model_base under DIR, one folder per result; with ``--model`` also the search
+results, report, confusion matrix, ROC-AUC, churn_predictions and attribution
+tables of the churn model, and the model itself.
+
+The session is the one spark-submit configures (its master included); run
+directly, Spark's own default applies."""
 
 from __future__ import annotations
 
@@ -19,55 +22,102 @@ from pyspark.sql import SparkSession
 
 
 def _session() -> SparkSession:
-    active = SparkSession.getActiveSession()
-    if active is not None:
-        return active
-    from custlytics.session import local_session
-    return local_session()
+    return SparkSession.builder.appName("custlytics").getOrCreate()
 
 
 def _load(spark, path: str, fmt: str):
-    from custlytics.sources.transactions import read_transactions
-    return read_transactions(spark, path, fmt=fmt)
+    """The transactions; a CSV is parsed once and landed as a month-partitioned table."""
+    from custlytics.session import scratch_path, track
+    from custlytics.sources.transactions import load_transactions, read_transactions, write_transactions
+    tx = read_transactions(spark, path, fmt=fmt)
+    if fmt == "parquet":
+        return tx
+    target = scratch_path(spark, "transactions")
+    track(spark, target)
+    write_transactions(tx, target)
+    return load_transactions(spark, target, tx.schema.add("order_month", "string"))
+
+
+def _show(value) -> str:
+    return "-" if value is None else str(value)
 
 
 def run_validate(spark, args) -> int:
-    from custlytics.operators.quality import run_validation
-    rows = run_validation(_load(spark, args.tx, args.fmt)).orderBy("check_no", "metric").collect()
-    for r in rows:
-        print(f"{r.check_no:>2} {r.check_name:<26} {r.metric:<32} {r.value:>14} {r.status}")
-    return 1 if any(r.status == "FAIL" for r in rows) else 0
+    from custlytics.operators.quality import run_checks, run_validation
+    from custlytics.session import release_scratch, scratch_mark
+    mark = scratch_mark(spark)
+    tx = _load(spark, args.tx, args.fmt)
+    failed = False
+    for c in run_checks(tx, preview=args.preview):
+        if c.error:
+            failed = True
+            print(f"[{c.name}] ERROR {c.error}")
+            continue
+        print(f"[{c.name}] {', '.join(c.columns)}")
+        for r in c.rows:
+            print("   " + " | ".join(_show(v) for v in r))
+        if c.total > len(c.rows):
+            print(f"   ... {c.total - len(c.rows)} more of {c.total} rows")
+    for r in run_validation(tx).orderBy("check_no", "metric").collect():
+        failed |= r.status == "FAIL"
+        print(f"{r.check_no:>2} {r.check_name:<26} {r.metric:<32} {_show(r.value):>14} {r.status}")
+    release_scratch(spark, mark)
+    return 1 if failed else 0
+
+
+def _model_results(spark, base, out: str, args) -> dict:
+    from custlytics.operators import ml
+    from custlytics.operators.attribution import attribution_importance, attribution_summary, tree_attributions
+    from custlytics.session import materialize
+    frame = materialize(ml.stratified_split(ml.assemble_features(base, keep=["segment"])))
+    grid = ml.PARAM_GRID if not args.quick else {
+        "n_estimators": [10], "max_depth": [3], "learning_rate": [0.1], "subsample": [1.0], "colsample_bytree": [1.0]}
+    best, tried = ml.random_search(frame.where("split = 'train'"), grid, n_iter=args.search_iterations)
+    print("model ->", ml.save_model(best, f"{out}/model"))
+    rows = [(i, ", ".join(f"{k}={v}" for k, v in sorted(p.items())), float(auc)) for i, (p, auc) in enumerate(tried)]
+    scored = materialize(ml.score(best, frame.where("split = 'test'")))
+    attr = materialize(tree_attributions(best, frame))
+    return {
+        "model_search": spark.createDataFrame(rows, "candidate int, params string, cv_auc double"),
+        "classification_report": ml.classification_report(scored),
+        "confusion_matrix": ml.confusion_matrix(scored),
+        "roc_auc": ml.roc_auc(scored),
+        "churn_predictions": ml.churn_predictions(best, base),
+        "attribution_importance": attribution_importance(attr),
+        "attribution_summary": attribution_summary(attr),
+    }
+
+
+CHURN_COLUMNS = ("customer_id", "first_purchase_date", "last_purchase_date", "total_transactions", "total_spend",
+                 "avg_order_value", "quantity_total", "discount_usage_rate", "active_months", "customer_lifespan_days",
+                 "days_since_last_purchase", "churn_label", "clv_proxy", "transactions_last_90_days", "spend_last_90_days")
 
 
 def run_reports(spark, args) -> int:
-    from custlytics.operators import cohort, customer, ml, rfm
-    from custlytics.operators.attribution import attribution_importance, tree_attributions
-    from custlytics.session import materialize
+    from pyspark.sql import functions as F
+
+    from custlytics.operators import cohort, customer, rfm
+    from custlytics.session import materialize, release_scratch, scratch_mark
     from custlytics.sources.transactions import write_result
+    mark = scratch_mark(spark)
     tx = _load(spark, args.tx, args.fmt)
     out = args.out.rstrip("/")
-    feats = rfm.rfm(tx)
-    segments = materialize(rfm.score_customers(rfm.rfm(tx, sort=False)))
+    # one customer aggregate feeds RFM, segments, churn and the model base
     base = materialize(customer.customer_model_base(tx))
+    segments = base.select("customer_id", "recency", "frequency", "monetary", "r_score", "f_score", "m_score", "rfm_score", "segment")
     results = {
-        "rfm": feats,
+        "rfm": base.select("customer_id", "recency", "frequency", "monetary").orderBy(F.desc("monetary"), "customer_id"),
         "segments": segments,
         "segment_summary": rfm.segment_summary(segments),
         "cohort_retention": cohort.cohort_retention(tx),
-        "customer_churn": customer.customer_churn(tx),
+        "customer_churn": base.select(*CHURN_COLUMNS).orderBy("customer_id"),
         "model_base": base,
     }
     if args.model:
-        frame = materialize(ml.stratified_split(
-            ml.assemble_features(base).join(base.select("customer_id", "segment"), "customer_id")))
-        grid = ml.PARAM_GRID if not args.quick else {
-            "n_estimators": [10], "max_depth": [3], "learning_rate": [0.1],
-            "subsample": [1.0], "colsample_bytree": [1.0]}
-        best, _ = ml.random_search(frame.where("split = 'train'"), grid, n_iter=args.search_iterations)
-        results["churn_predictions"] = ml.churn_predictions(best, base)
-        results["attribution_importance"] = attribution_importance(tree_attributions(best, frame))
+        results.update(_model_results(spark, base, out, args))
     for name, df in results.items():
         print(name, "->", write_result(df, f"{out}/{name}", fmt=args.out_fmt))
+    release_scratch(spark, mark)
     return 0
 
 
@@ -78,6 +128,8 @@ def main(argv: list[str] | None = None) -> int:
         s = sub.add_parser(name)
         s.add_argument("--tx", required=True, help="transaction table (CSV with header, or Parquet)")
         s.add_argument("--fmt", default="csv", choices=["csv", "parquet"])
+        if name == "validate":
+            s.add_argument("--preview", type=int, default=10, help="rows printed of a longer result")
         if name == "reports":
             s.add_argument("--out", required=True)
             s.add_argument("--out-fmt", default="parquet", choices=["parquet", "csv"])

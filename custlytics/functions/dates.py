@@ -32,6 +32,6 @@ def month_key(c) -> Column:
 
 
 def month_label(key) -> Column:
-    """``yyyy-MM`` text of a month key."""
+    """``yyyy-MM`` text of a month key (null for null)."""
     k = _c(key)
-    return F.format_string("%04d-%02d", F.floor(k / 12).cast("int"), (k % 12 + 1).cast("int"))
+    return F.when(k.isNotNull(), F.format_string("%04d-%02d", F.floor(k / 12).cast("int"), (k % 12 + 1).cast("int")))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from custlytics.operators.rank import exact_quantiles
 from custlytics.schemas import FEATURES
-from custlytics.session import scratch_path
+from custlytics.session import scratch_path, track
 
 
 @dataclass
@@ -54,6 +54,7 @@ def tree_leaves(gbt_model, spark=None) -> tuple[list[Leaf], float]:
         from pyspark.sql import SparkSession
         spark = SparkSession.active()
     path = scratch_path(spark, "gbt-nodes")
+    track(spark, path)
     gbt_model.write().overwrite().save(path)
     rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
     weights = list(gbt_model.treeWeights)
@@ -160,7 +161,7 @@ def attribution_importance(attr: DataFrame) -> DataFrame:
             .orderBy(F.desc("mean_abs_attribution"), F.asc("feature")))
 
 
-def attribution_summary(attr: DataFrame, partitions: int | None = None) -> DataFrame:
+def attribution_summary(attr: DataFrame) -> DataFrame:
     """per feature the spread of attributions (exact 5/50/95 % points)
     and how they move with the feature value (correlation) -- the data of a
     summary plot."""
@@ -171,8 +172,7 @@ def attribution_summary(attr: DataFrame, partitions: int | None = None) -> DataF
         # Pearson correlation; null (not an ANSI error) for a constant column
         F.try_divide(F.covar_samp("value", "attribution"),
                      F.stddev_samp("value") * F.stddev_samp("attribution")).alias("value_correlation"))
-    qs = exact_quantiles(attr, "attribution", (0.05, 0.5, 0.95), by=["feature"],
-                         tiebreak="customer_id", partitions=partitions)
+    qs = exact_quantiles(attr, "attribution", (0.05, 0.5, 0.95), by=["feature"])
     qs = qs.select("feature", F.col("q0").alias("p05"), F.col("q1").alias("p50"), F.col("q2").alias("p95"))
     # one row per feature on both sides
     return stats.join(F.broadcast(qs), "feature").orderBy(F.desc("mean_abs_attribution"), F.asc("feature"))

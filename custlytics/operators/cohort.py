@@ -33,20 +33,19 @@ def first_purchase(tx: DataFrame, cols: TxCols = TX) -> DataFrame:
             .withColumn("cohort_month", month_label(month_key("first_purchase_date"))))
 
 
-def cohort_assign(tx: DataFrame, cols: TxCols = TX, hot_share: float = 0.01,
-                  hot_min_rows: int = 1_000_000) -> DataFrame:
+def cohort_assign(tx: DataFrame, cols: TxCols = TX, hot_share: float = 0.01) -> DataFrame:
     """D3: every transaction with its customer's cohort and 1-based month index.
 
     The per-customer first month (with the customer's row count) is a
     partial aggregation, materialised once.  Customers holding at least
-    ``hot_share`` of all rows (and ``hot_min_rows``) -- at most
-    ``1/hot_share`` of them -- have their transactions salted across all
-    shuffle partitions for the join back; everyone else takes the plain
-    shuffle join."""
+    ``hot_share`` of all rows -- at most ``1/hot_share`` of them -- have
+    their transactions salted across all shuffle partitions for the join
+    back; everyone else takes the plain shuffle join.  Rows without a date
+    have no month and no index."""
     t = customers_only(tx, cols)
     firsts = materialize(t.groupBy(F.col(cols.customer).alias("_c")).agg(
         F.min(month_key(cols.date)).alias("_cohort"), F.count(F.lit(1)).alias("_n")))
-    hot = hot_keys_by_count(firsts, "_c", "_n", hot_share, hot_min_rows)
+    hot = hot_keys_by_count(firsts, "_c", "_n", hot_share)
     splits = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     j = salted_left_join(t, firsts.select("_c", "_cohort"), cols.customer, "_c", hot, splits,
                          salt_from=[cols.id, cols.date])
@@ -65,10 +64,13 @@ def customer_months(tx: DataFrame, cols: TxCols = TX) -> DataFrame:
     active months (at most one entry per calendar month, whatever the number
     of transactions) is built map-side, so a customer with a third of all
     rows ships a handful of month keys per task; the cohort is the set's
-    minimum."""
+    minimum.  Activity without a date is one row with a null month, as in
+    ``cohort_assign``."""
+    undated = F.bool_or(day(cols.date).isNull())
     per = customers_only(tx, cols).groupBy(F.col(cols.customer).alias("customer_id")).agg(
-        F.collect_set(month_key(cols.date)).alias("_ms"))
-    return per.select("customer_id", F.explode("_ms").alias("_m"), F.array_min("_ms").alias("_cohort"))
+        F.collect_set(month_key(cols.date)).alias("_ms"), undated.alias("_undated"))
+    months = F.when(F.col("_undated"), F.array_append("_ms", F.lit(None).cast("int"))).otherwise(F.col("_ms"))
+    return per.select("customer_id", F.explode(months).alias("_m"), F.array_min("_ms").alias("_cohort"))
 
 
 def cohort_counts(tx: DataFrame, cols: TxCols = TX) -> DataFrame:

@@ -3,8 +3,8 @@
 ``customer_churn`` is one aggregation per customer: the trailing-window
 activity is a conditional count/sum in the same pass (equivalent to the
 CROSS JOIN + LEFT JOIN + COALESCE formulation), and the dataset end date is
-a scalar subquery.  Money is summed in integer cents and every rounded
-figure is derived half-up from exact integers."""
+a literal.  Money and rates are summed as integers of more decimals than
+they are shown with, and every figure is rounded half-up once, from the sum."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custlytics.functions.dates import day, month_key
-from custlytics.functions.money import cents, from_cents, from_micros, half_up_div, micros
+from custlytics.functions.money import (MONEY_SCALE, RATE_SCALE, from_cents, from_micros, half_up_div, money_units,
+                                        rate_units, units_to_cents)
 from custlytics.operators.rfm import as_of_column, customers_only, on_or_after, score_customers
 from custlytics.schemas import TX, TxCols
 
@@ -22,9 +23,10 @@ CLV_MONTHS = 12
 
 def churn_label(days_since: Column | str = "days_since_last_purchase",
                 days: int = INACTIVITY_DAYS) -> Column:
-    """1 when the customer has been silent for more than ``days``."""
+    """1 when the customer has been silent for more than ``days``, else 0
+    (also when no date of the customer is known)."""
     c = F.col(days_since) if isinstance(days_since, str) else days_since
-    return (c > days).cast("int")
+    return F.when(c > days, 1).otherwise(0)
 
 
 def clv_cents(n: Column, aov_cents: Column, active_months: Column, months: int = CLV_MONTHS) -> Column:
@@ -46,16 +48,16 @@ def _base_aggs(tx: DataFrame, cols: TxCols, end: Column, days: int) -> list[Colu
         F.min(d).alias("first_purchase_date"),
         F.max(d).alias("last_purchase_date"),
         F.count(cols.id).alias("total_transactions"),
-        F.sum(cents(cols.value)).alias("_cents"),
+        F.sum(money_units(cols.value)).alias("_units"),
         F.count(cols.value).alias("_nvalue"),
         F.sum(qty).cast("bigint").alias("quantity_total"),
-        F.sum(micros(disc)).alias("_disc"),
+        F.sum(rate_units(disc)).alias("_disc"),
         F.count(disc).alias("_ndisc"),
         # distinct calendar months: a per-customer set bounded by the number of
         # months, built map-side, so the whole table is one shuffle
         F.size(F.collect_set(month_key(cols.date))).cast("bigint").alias("active_months"),
         F.count(F.when(recent, F.col(cols.id))).alias("transactions_last_90_days"),
-        F.sum(F.when(recent, cents(cols.value))).alias("_recent_cents"),
+        F.sum(F.when(recent, money_units(cols.value))).alias("_recent"),
     ]
 
 
@@ -70,21 +72,22 @@ def customer_churn(tx: DataFrame, cols: TxCols = TX, rounded: bool = True, as_of
     g = customers_only(tx, cols).groupBy(F.col(cols.customer).alias("customer_id")).agg(
         *_base_aggs(tx, cols, end, inactivity_days))
     n = F.col("total_transactions")
-    aov_c = half_up_div(F.col("_cents"), F.col("_nvalue"))
+    money, rate = 10 ** MONEY_SCALE, 10 ** RATE_SCALE
     if rounded:
-        spend = from_cents("_cents")
+        spend = from_cents(units_to_cents("_units"))
+        aov_c = half_up_div("_units", F.col("_nvalue") * (money // 100))
         aov = from_cents(aov_c)
         disc = F.when(F.col("_ndisc") > 0,
-                      from_micros(half_up_div(F.col("_disc"), F.col("_ndisc") * 100), 10000))
+                      from_micros(half_up_div("_disc", F.col("_ndisc") * (rate // 10000)), 10000))
         clv = from_cents(clv_cents(n, aov_c, F.col("active_months")))
     else:
         # unrounded: exact integer sums divided once (a correctly rounded
         # double, independent of summation order); only CLV is rounded
-        spend = from_cents("_cents")
-        aov = F.col("_cents").cast("double") / (F.col("_nvalue") * 100).cast("double")
-        disc = F.col("_disc").cast("double") / (F.col("_ndisc") * 1000000).cast("double")
-        clv = from_cents(half_up_div(F.col("_cents").cast("decimal(38,0)") * n * F.col("active_months"),
-                                     F.col("_nvalue") * CLV_MONTHS))
+        spend = F.col("_units").cast("double") / money
+        aov = F.col("_units").cast("double") / (F.col("_nvalue") * money).cast("double")
+        disc = F.col("_disc").cast("double") / (F.col("_ndisc") * rate).cast("double")
+        clv = from_cents(half_up_div(F.col("_units").cast("decimal(38,0)") * n * F.col("active_months"),
+                                     F.col("_nvalue") * (CLV_MONTHS * money // 100)))
     days_since = F.datediff(end, F.col("last_purchase_date"))
     out = g.select(
         "customer_id", "first_purchase_date", "last_purchase_date", "total_transactions",
@@ -95,7 +98,7 @@ def customer_churn(tx: DataFrame, cols: TxCols = TX, rounded: bool = True, as_of
         churn_label(days_since, inactivity_days).alias("churn_label"),
         clv.alias("clv_proxy"),
         F.col("transactions_last_90_days").cast("bigint").alias("transactions_last_90_days"),
-        from_cents(F.coalesce(F.col("_recent_cents"), F.lit(0))).alias("spend_last_90_days"),
+        from_cents(F.coalesce(units_to_cents("_recent"), F.lit(0))).alias("spend_last_90_days"),
     )
     return out.orderBy("customer_id") if sort else out
 
@@ -115,7 +118,7 @@ def recent_activity(tx: DataFrame, cols: TxCols = TX, days: int = INACTIVITY_DAY
     t = customers_only(tx, cols).where(on_or_after(tx, cols.date, F.date_sub(end, days)))
     return t.groupBy(F.col(cols.customer).alias("customer_id")).agg(
         F.count(cols.id).alias("transactions_last_90_days"),
-        from_cents(F.sum(cents(cols.value))).alias("spend_last_90_days"))
+        from_cents(units_to_cents(F.sum(money_units(cols.value)))).alias("spend_last_90_days"))
 
 
 def model_base(churn: DataFrame, rfm: DataFrame, segments: DataFrame) -> DataFrame:
@@ -125,20 +128,21 @@ def model_base(churn: DataFrame, rfm: DataFrame, segments: DataFrame) -> DataFra
             .join(seg, "customer_id", "left"))
 
 
-def customer_features(tx: DataFrame, cols: TxCols = TX, **kw) -> DataFrame:
-    """The churn table with its RFM columns: with the default ``as_of`` they
-    are the churn table's own (recency = days since last purchase, frequency
-    = transactions, monetary = spend), so one aggregation feeds both."""
+def customer_features(tx: DataFrame, cols: TxCols = TX, rfm_as_of=None, **kw) -> DataFrame:
+    """The churn table with its RFM columns, from one aggregation: frequency
+    and spend are the churn table's own, and recency counts from
+    ``rfm_as_of`` (a fixed report date) or, by default, from the same end."""
     churn = customer_churn(tx, cols, sort=False, **kw)
-    return churn.withColumn("recency", F.col("days_since_last_purchase")) \
-                .withColumn("frequency", F.col("total_transactions")) \
-                .withColumn("monetary", F.col("total_spend"))
+    recency = (F.col("days_since_last_purchase") if rfm_as_of is None
+               else F.datediff(F.lit(rfm_as_of).cast("date"), F.col("last_purchase_date")))
+    return churn.withColumns({"recency": recency, "frequency": F.col("total_transactions"), "monetary": F.col("total_spend")})
 
 
 def customer_model_base(tx: DataFrame, cols: TxCols = TX, features: DataFrame | None = None,
-                        **kw) -> DataFrame:
+                        as_of=None, rfm_as_of=None, **kw) -> DataFrame:
     """E9 (fused form): features plus scores and segment, without a join.
-    Pass ``features`` when they are already materialised."""
+    ``as_of`` anchors churn, ``rfm_as_of`` recency; pass ``features`` when
+    they are already materialised."""
     if features is not None:
         return score_customers(features, materialized=True, **kw)
-    return score_customers(customer_features(tx, cols), **kw)
+    return score_customers(customer_features(tx, cols, rfm_as_of=rfm_as_of, as_of=as_of), **kw)

@@ -7,8 +7,8 @@ learning_rate -> stepSize, subsample -> subsamplingRate, colsample_bytree ->
 featureSubsetStrategy (per node in MLlib), scale_pos_weight -> weightCol.
 
 Evaluation never collects predictions: the confusion counts, the report and
-the ROC-AUC (Mann-Whitney over per-score counts with a bucketed global
-running sum) are DataFrame aggregations."""
+the ROC-AUC (Mann-Whitney over per-score counts with a distributed running
+sum) are DataFrame aggregations."""
 
 from __future__ import annotations
 
@@ -23,11 +23,12 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custlytics.functions.money import from_micros, half_up_div
-from custlytics.operators.rank import global_rank, global_running_sum
+from custlytics.operators.rank import global_running_sum
+from custlytics.operators.select import after, boundaries
 from custlytics.schemas import FEATURES, LABEL
 
 # ---- fixed values (must equal the reference for identical results) --------
@@ -42,13 +43,17 @@ PARAM_GRID = {
     "subsample": [0.8, 1.0],
     "colsample_bytree": [0.8, 1.0],
 }
+# The setting the reference publishes as its search's best.
+BEST_PARAMS = {"n_estimators": 200, "max_depth": 4, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.8}
 # ---------------------------------------------------------------------------
 
 
 def assemble_features(df: DataFrame, cols: Sequence[str] = FEATURES, label: str = LABEL,
-                      id_col: str = "customer_id") -> DataFrame:
-    """id, the non-leaking features (nulls -> 0, as double) and the label."""
-    return df.select(id_col, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols],
+                      id_col: str = "customer_id", keep: Sequence[str] = ()) -> DataFrame:
+    """id, ``keep`` columns as they are, the non-leaking features as
+    double and the label.  A null feature becomes 0: MLlib's trees, unlike the
+    reference's, take no missing values."""
+    return df.select(id_col, *keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols],
                      F.col(label).cast("int").alias(label))
 
 
@@ -65,32 +70,35 @@ def _allocate(counts: Mapping[int, int], test: float) -> dict[int, int]:
     return alloc
 
 
+def _hash48(text: Column) -> Column:
+    """48 bits of an md5: a number that any engine can compute."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("bigint")
+
+
 def stratified_split(df: DataFrame, label: str = LABEL, test: float = TEST_FRACTION,
-                     seed: int = SEED, folds: int = CV_FOLDS, id_col: str = "customer_id",
-                     partitions: int | None = None) -> DataFrame:
-    """exact stratified hold-out plus stratified CV folds.
-
-    Rows are ordered inside their class by ``md5(seed:id)``; the first
-    allocated rows of each class are the test set and the training rows get
-    ``fold = (rank - 1) mod folds``.  Deterministic (hash, not a random
-    stream), reproducible in SQL, and the per-class rank comes from the
-    distributed global rank, so a class holding most rows is not one task."""
-    keyed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))))
-    counts = {int(r[0]): int(r[1]) for r in keyed.groupBy(label).count().collect()}  # one row per class
+                     seed: int = SEED, folds: int = CV_FOLDS, id_col: str = "customer_id") -> DataFrame:
+    """exact stratified hold-out plus CV folds, appended as ``split`` and
+    ``fold``.
+
+    The first allocated rows of each class, by a hash of ``seed:id`` and then
+    the id, are the test set; the last of them is located by counting, so the
+    split is one comparison with a boundary per class: no sort, no write, no
+    join.  Folds come from a second hash.  Rows without a label belong to
+    neither part (null ``split``)."""
+    text = F.col(id_col).cast("string")
+    keyed = df.withColumns({"_h": _hash48(F.concat(F.lit(f"{seed}:"), text)),
+                            "_f": (_hash48(F.concat(F.lit(f"{seed}:fold:"), text)) % folds).cast("int")})
+    counts = {r[0]: int(r[1]) for r in keyed.where(F.col(label).isNotNull()).groupBy(label).count().collect()}  # a row a class
     alloc = _allocate(counts, test)
-    offset, first = 0, {}
-    for c in sorted(counts):
-        first[c] = offset
-        offset += counts[c]
-    ranked = global_rank(keyed, [(label, True), ("_h", True), (id_col, True)], "_r", partitions, n=offset)
-    off = F.element_at(F.create_map(*itertools.chain.from_iterable(
-        (F.lit(c), F.lit(first[c]).cast("bigint")) for c in sorted(counts))), F.col(label))
-    n_test = F.element_at(F.create_map(*itertools.chain.from_iterable(
-        (F.lit(c), F.lit(alloc[c]).cast("bigint")) for c in sorted(counts))), F.col(label))
-    within = F.col("_r") - off
-    return (ranked.withColumn("split", F.when(within <= n_test, F.lit("test")).otherwise(F.lit("train")))
-            .withColumn("fold", F.when(within > n_test, ((within - n_test - 1) % folds).cast("int")))
-            .drop("_h", "_r"))
+    order = [("_h", True), (id_col, True)]
+    last = {(c,): [k - 1] for c, k in alloc.items() if k}
+    found = boundaries(keyed, order, last, {(c,): counts[c] for (c,) in last}, [label]) if last else {}
+    held = F.lit(False)
+    for (group, _), boundary in found.items():
+        held = held | ((F.col(label) == F.lit(group[0])) & ~after(keyed, order, boundary))
+    split = F.when(F.col(label).isNull(), F.lit(None).cast("string")).when(held, "test").otherwise("train")
+    return (keyed.withColumn("split", split)
+            .withColumn("fold", F.when(F.col("split") == "train", F.col("_f"))).drop("_h", "_f"))
 
 
 def class_weight(train: DataFrame, label: str = LABEL) -> DataFrame:
@@ -153,7 +161,7 @@ def random_search(train: DataFrame, grid: Mapping[str, Sequence] = PARAM_GRID,
     for d in draws:
         maps.append({getattr(gbt, k): v for k, v in _gbt_params(d).items()})
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
-                        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
+                        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0),
                         foldCol="fold", numFolds=folds, parallelism=parallelism, seed=seed)
     model = cv.fit(with_weight(train, label))
     return model.bestModel, list(zip(draws, model.avgMetrics))
@@ -176,11 +184,10 @@ def score(model: PipelineModel, df: DataFrame, prob_col: str = "churn_probabilit
 def churn_predictions(model: PipelineModel, base: DataFrame, features: Sequence[str] = FEATURES,
                       label: str = LABEL) -> DataFrame:
     """every customer scored; id, segment, label, probability, CLV and
-    the features (CLV once)."""
-    feats = assemble_features(base, features, label)
-    scored = score(model, feats).select("customer_id", "churn_probability", "prediction")
-    keep = ["customer_id", "segment", label, "clv_proxy"] + [c for c in features if c != "clv_proxy"]
-    return base.select(*keep).join(scored, "customer_id")
+    the features (CLV once).  The columns ride through the model: no join."""
+    feats = assemble_features(base, features, label, keep=["segment"])
+    rest = [c for c in features if c != "clv_proxy"]
+    return score(model, feats).select("customer_id", "segment", label, "clv_proxy", *rest, "churn_probability", "prediction")
 
 
 def save_model(model: PipelineModel, path: str) -> str:
@@ -203,8 +210,9 @@ def confusion_matrix(pred: DataFrame, label: str = LABEL, prediction: str = "pre
                                   f"{label} int, {prediction} int")
     counts = pred.groupBy(F.col(label).cast("int").alias(label),
                           F.col(prediction).cast("int").alias(prediction)).agg(F.count(F.lit(1)).alias("count"))
-    # len(classes)**2 cells: broadcast by construction
-    return (F.broadcast(cells).join(counts, [label, prediction], "left")
+    # at most len(classes)**2 counts: broadcast by construction
+    counts = counts.where(F.col(label).isin(list(classes)) & F.col(prediction).isin(list(classes)))
+    return (cells.join(F.broadcast(counts), [label, prediction], "left")
             .select(label, prediction, F.coalesce("count", F.lit(0)).alias("count"))
             .orderBy(label, prediction))
 
@@ -254,12 +262,19 @@ def roc_auc(pred: DataFrame, label: str = LABEL, score_col: str = "churn_probabi
     is no one-task window and no collect."""
     per = pred.groupBy(F.col(score_col).alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
-    run = global_running_sum(per, ["_s"], {"_below": F.col("_neg")}, inclusive=False,
-                             partitions=partitions)
+    return auc_of_counts(per, "_s", "_pos", "_neg", decimals, partitions)
+
+
+def auc_of_counts(per: DataFrame, score_col: str, pos: str, neg: str, decimals: int = 4,
+                  partitions: int | None = None) -> DataFrame:
+    """F9 from one row a score with its positives and negatives."""
+    per = per.select(F.col(score_col).alias("_s"), F.col(pos).alias("_pos"), F.col(neg).alias("_neg"))
+    run = global_running_sum(per, ["_s"], {"_below": F.col("_neg")}, inclusive=False, partitions=partitions)
     tot = run.agg(
-        F.sum(F.col("_pos").cast("decimal(38,0)") * (2 * F.col("_below") + F.col("_neg"))).alias("_num2"),
+        F.sum(F.col("_pos").cast("decimal(19,0)") * (2 * F.col("_below") + F.col("_neg")).cast("decimal(19,0)")).alias("_num2"),
         F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"))
-    den = (F.col("positives") * F.col("negatives") * 2).cast("decimal(38,0)")
+    # each factor as a decimal: the product of two counts leaves 64 bits
+    den = (F.col("positives").cast("decimal(19,0)") * F.col("negatives").cast("decimal(18,0)") * 2).cast("decimal(38,0)")
     scale = 10 ** decimals
     auc = F.when(den > 0, from_micros(half_up_div(F.col("_num2") * scale, den), scale))
     return tot.select(auc.alias("roc_auc"), F.col("positives").cast("bigint").alias("positives"),

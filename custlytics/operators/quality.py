@@ -6,7 +6,8 @@ into another, and returns them in long form."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,11 +65,14 @@ def duplicate_ids(tx: DataFrame, id_cols: str | Sequence[str] | None = None,
 
 def duplicate_preview(tx: DataFrame, id_cols: str | Sequence[str] | None = None, n: int = 10,
                       cols: TxCols = TX) -> DataFrame:
-    """The first ``n`` duplicated ids (most repeated first, then by
-    id) -- the bounded preview a validation report prints; a top-N, so it
-    plans as a TakeOrderedAndProject after the partial counts."""
+    """The ``n`` most repeated ids (then by id) and, on each row, how
+    many duplicated ids there are in all: what a validation report prints.  A
+    top-N, so it plans as a TakeOrderedAndProject after the partial counts."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols or [cols.id])
-    return duplicate_ids(tx, ids, cols).orderBy(F.desc("duplicate_count"), *[F.asc(c) for c in ids]).limit(n)
+    dups = duplicate_ids(tx, ids, cols)
+    total = dups.agg(F.count(F.lit(1)).alias("duplicate_ids"))              # one row
+    top = dups.orderBy(F.desc("duplicate_count"), *[F.asc(c) for c in ids]).limit(n)
+    return top.crossJoin(F.broadcast(total))
 
 
 def nonpositive_rows(tx: DataFrame, col: str, name: str) -> DataFrame:
@@ -114,8 +118,8 @@ def run_validation(tx: DataFrame, cols: TxCols = TX) -> DataFrame:
     Two aggregations in one plan: one customer-keyed aggregation carrying
     the row-level checks as partial sums (distinct, one-time, repeat, nulls,
     non-positive values, dates) and one id-keyed aggregation (duplicates).
-    ``status`` is PASS/FAIL for checks that should be zero and INFO
-    otherwise."""
+    ``status`` is PASS/FAIL for checks that should be zero (NO DATA where
+    the table is empty) and INFO otherwise."""
     # Every scalar check is additive, so it rides along as a per-customer
     # partial in the one customer-keyed aggregation and is re-aggregated over
     # the (SQL-style, null key included) customer groups: one scan of the
@@ -153,34 +157,50 @@ def run_validation(tx: DataFrame, cols: TxCols = TX) -> DataFrame:
     ]
     rows = [F.struct(F.lit(no).alias("check_no"), F.lit(check).alias("check_name"),
                      F.lit(metric).alias("metric"), F.col(metric).cast("string").alias("value"),
-                     (F.when(F.col(metric).isNull() | (F.col(metric).cast("bigint") == 0), "PASS")
+                     (F.when(F.col(metric).isNull(), "NO DATA").when(F.col(metric).cast("bigint") == 0, "PASS")
                       .otherwise("FAIL") if rule == "ZERO" else F.lit("INFO")).alias("status"))
             for no, check, metric, rule in checks]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def validation_checks(tx: DataFrame, cols: TxCols = TX, preview: int | None = 10) -> dict[str, DataFrame]:
-    """B13 by name: the twelve checks as separate DataFrames, row-returning
-    ones cut to ``preview`` rows for display (``None`` keeps them whole).
-    Columns that a table lacks (e.g. no category) skip that check."""
-    def cut(df):
-        return df.limit(preview) if preview is not None else df
-    checks = {
-        "total_transactions": total_transactions(tx),
-        "total_customers": total_customers(tx, cols),
-        "date_range": date_range(tx, cols),
-        "null_counts": null_counts(tx, cols),
-        "duplicate_ids": (duplicate_preview(tx, cols=cols, n=preview) if preview is not None
-                          else duplicate_ids(tx, cols=cols)),
-        "non_positive_order_value": nonpositive_rows(tx, cols.value, "non_positive_order_value_rows"),
-        "one_time_customers": one_time_customers(tx, cols),
-        "repeat_customers": repeat_customers(tx, cols),
+def validation_checks(tx: DataFrame, cols: TxCols = TX) -> dict[str, Callable[[], DataFrame]]:
+    """B13 by name: the twelve checks, each a function that builds its whole
+    result, so that one which cannot (a missing column) fails alone."""
+    return {
+        "total_transactions": lambda: total_transactions(tx),
+        "total_customers": lambda: total_customers(tx, cols),
+        "date_range": lambda: date_range(tx, cols),
+        "null_counts": lambda: null_counts(tx, cols),
+        "duplicate_ids": lambda: duplicate_ids(tx, cols=cols),
+        "non_positive_order_value": lambda: nonpositive_rows(tx, cols.value, "non_positive_order_value_rows"),
+        "non_positive_quantity": lambda: nonpositive_rows(tx, cols.quantity, "non_positive_quantity_rows"),
+        "one_time_customers": lambda: one_time_customers(tx, cols),
+        "repeat_customers": lambda: repeat_customers(tx, cols),
+        "channel_distribution": lambda: distribution(tx, cols.channel),
+        "category_distribution": lambda: distribution(tx, cols.category),
+        "state_distribution": lambda: distinct_distribution(tx, cols.state, cols.customer),
     }
-    if cols.quantity in tx.columns:
-        checks["non_positive_quantity"] = nonpositive_rows(tx, cols.quantity, "non_positive_quantity_rows")
-    for name, col, fn in (("channel_distribution", cols.channel, distribution),
-                          ("category_distribution", cols.category, distribution),
-                          ("state_distribution", cols.state, distinct_distribution)):
-        if col in tx.columns:
-            checks[name] = cut(fn(tx, col) if fn is distribution else fn(tx, col, cols.customer))
-    return checks
+
+
+@dataclass
+class CheckResult:
+    """Outcome of one check: its rows (the first ``preview``) and how many
+    there are in all, or the error that stopped it."""
+    name: str
+    columns: list[str]
+    rows: list[tuple]
+    total: int
+    error: str | None = None
+
+
+def run_checks(tx: DataFrame, cols: TxCols = TX, preview: int = 10) -> list[CheckResult]:
+    """B13 as the report runs it: every check on its own, errors kept apart."""
+    out = []
+    for name, build in validation_checks(tx, cols).items():
+        try:
+            df = build()
+            rows = [tuple(r) for r in df.limit(preview).collect()]
+            out.append(CheckResult(name, df.columns, rows, len(rows) if len(rows) < preview else df.count()))
+        except Exception as e:  # noqa: BLE001 -- the report goes on with the next check
+            out.append(CheckResult(name, [], [], 0, f"{type(e).__name__}: {str(e).splitlines()[0][:200]}"))
+    return out

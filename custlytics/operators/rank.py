@@ -18,19 +18,17 @@ many partitions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from custlytics.plans.broadcast import broadcast_if_small
+from custlytics.operators.select import locate
 from custlytics.session import materialize_table
 
 POSITION_BITS = 33          # monotonically_increasing_id: record number bits
-# Frames with at most this many rows (a counted bound) are ranked by one
-# ordered window -- one task sorts them in well under a second; larger ones
-# take the distributed sort.
-SMALL_ROWS = 1_000_000
 
 OrderSpec = Sequence["str | tuple[str, bool] | tuple[str, str]"]
 
@@ -82,22 +80,12 @@ def _offsets(s: DataFrame, measures: Mapping[str, Column], dtype: str) -> DataFr
     return F.broadcast(s.sparkSession.createDataFrame(rows, schema))
 
 
-def _small(df: DataFrame, partitions: int | None, n: int | None) -> bool:
-    if partitions is not None:
-        return False
-    return (df.count() if n is None else n) <= SMALL_ROWS
-
-
 def global_rank(df: DataFrame, order: OrderSpec, name: str = "rank",
-                partitions: int | None = None, n: int | None = None) -> DataFrame:
-    """1-based row number over the whole frame in ``order``.
-
-    ``order`` must be total (end with a unique column) for the result to be
-    deterministic.  ``n`` (the row count, if known) picks the path: up to
-    ``SMALL_ROWS`` rows one ordered window, beyond that the distributed sort
-    (also forced by giving ``partitions``)."""
-    if _small(df, partitions, n):
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*sort_columns(order))).cast("bigint"))
+                partitions: int | None = None) -> DataFrame:
+    """1-based row number over the whole frame in ``order``, which must be
+    total (end with a unique column) for the result to be deterministic.
+    The whole frame is sorted and written once: keep it narrow, and use
+    :mod:`custlytics.operators.select` where a few positions are enough."""
     s = sorted_positions(df, order, partitions)
     off = _offsets(s, {}, "bigint")
     return (s.join(off, "__pid").withColumn(name, (F.col("__off_rows") + F.col("__pos") + 1).cast("bigint"))
@@ -106,14 +94,10 @@ def global_rank(df: DataFrame, order: OrderSpec, name: str = "rank",
 
 def global_running_sum(df: DataFrame, order: OrderSpec, measures: Mapping[str, Column],
                        dtype: str = "bigint", inclusive: bool = True,
-                       partitions: int | None = None, n: int | None = None) -> DataFrame:
+                       partitions: int | None = None) -> DataFrame:
     """Add global running sums of each measure in ``order`` (``inclusive``
     of the current row or not)."""
     frame = (Window.unboundedPreceding, 0 if inclusive else -1)
-    if _small(df, partitions, n):
-        w = Window.orderBy(*sort_columns(order)).rowsBetween(*frame)
-        return df.select("*", *[F.coalesce(F.sum(m).over(w), F.lit(0)).cast(dtype).alias(k)
-                                for k, m in measures.items()])
     s = sorted_positions(df, order, partitions)
     off = _offsets(s, measures, dtype)
     w = Window.partitionBy("__pid").orderBy("__pos").rowsBetween(*frame)
@@ -132,10 +116,10 @@ def rank_quantile_edges(n: int, probs: Iterable[float] = (0.25, 0.5, 0.75)) -> l
 
 def score_by_edges(value: Column, edges: Sequence[float], labels: Sequence[int]) -> Column:
     """Label of the right-closed bin holding ``value``: labels[i] for values in
-    (edges[i-1], edges[i]] with the last label past the last edge."""
+    (edges[i-1], edges[i]] with the last label past the last edge; null for null."""
     above = sum(((value > F.lit(e)).cast("int") for e in edges), F.lit(0))
     arr = F.array(*[F.lit(int(x)) for x in labels])
-    return F.element_at(arr, above + 1)
+    return F.when(value.isNotNull(), F.element_at(arr, above + 1))
 
 
 def check_unique_edges(edges: Sequence[float], duplicates: str = "raise") -> list[float]:
@@ -149,43 +133,29 @@ def check_unique_edges(edges: Sequence[float], duplicates: str = "raise") -> lis
     return uniq
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    tiebreak: str | None = None, partitions: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles per group (``by``) of ``value``.
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolation quantiles per group (``by``, null included)
+    of ``value``, as columns ``q0, q1, ...``.
 
-    Works by a global rank over (by, value, tiebreak) instead of holding a
-    group's values in one aggregation buffer, so a hot group is spread over
-    many tasks.  Returns one row per group with columns ``q0, q1, ...``."""
+    The two values around each quantile are found by counting
+    (:mod:`custlytics.operators.select`): no sort, no shuffle of rows, and a
+    hot group costs no more than any other.  Groups are few: one row each is
+    collected."""
     by = list(by)
-    order = by + [value] + ([tiebreak] if tiebreak else [])
-    base = df.where(F.col(value).isNotNull()).select(*order)
-    ranked = global_rank(base, order, "_r", partitions)
-    # Group sizes and first global rank: one row per group.
-    groups = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_first"))
-    pos = []
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        pos.append(F.struct(F.lit(i).alias("qi"), h.alias("h"),
-                            F.floor(h).cast("bigint").alias("lo"),
-                            F.ceil(h).cast("bigint").alias("hi")))
-    wanted = (groups.select(*by, "_first", F.explode(F.array(*pos)).alias("q"))
-              .select(*by, "_first", "q.*")
-              .select(*by, "qi", "h", "lo", "hi",
-                      F.explode(F.array(F.col("_first") + F.col("lo"),
-                                        F.col("_first") + F.col("hi"))).alias("_r"),
-                      (F.col("_first") + F.col("lo")).alias("_rlo"))
-              .distinct())
-    # one row per group x quantile x {lo, hi}: AQE broadcasts it at runtime
-    # while the number of groups is small, a shuffle join beyond that
-    wanted = broadcast_if_small(wanted, 200_000, check=False)
-    picked = ranked.join(wanted, by + ["_r"])
-    per_q = picked.groupBy(*by, "qi", "h", "lo", "hi").agg(
-        F.max(F.when(F.col("_r") == F.col("_rlo"), F.col(value))).alias("_vlo"),
-        F.max(F.col(value)).alias("_vhi"))
-    # (hi - h) * v_lo + (h - lo) * v_hi, the interpolation of Spark's percentile
-    per_q = per_q.withColumn("_v", F.when(F.col("lo") == F.col("hi"), F.col("_vlo")).otherwise(
-        (F.col("hi") - F.col("h")) * F.col("_vlo") + (F.col("h") - F.col("lo")) * F.col("_vhi")))
-    return (per_q.groupBy(*by)
-            .pivot("qi", list(range(len(probs))))
-            .agg(F.first("_v"))
-            .select(*by, *[F.col(str(i)).cast("double").alias(f"q{i}") for i in range(len(probs))]))
+    base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    sizes = {tuple(r[c] for c in by): r["__n"] for r in base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).collect()}
+    sizes = {g: n for g, n in sizes.items() if n}
+    wanted = {g: sorted({at for p in probs for at in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}) for g, n in sizes.items()}
+    found = locate(base, "__v", wanted, sizes, by)
+    rows = []
+    for g, n in sizes.items():
+        qs = []
+        for p in probs:
+            h = (n - 1) * p
+            lo, hi = math.floor(h), math.ceil(h)
+            a, b = found[g, lo][0], found[g, hi][0]
+            # (hi - h) * v_lo + (h - lo) * v_hi, the interpolation of Spark's percentile
+            qs.append(a if lo == hi else (hi - h) * a + (h - lo) * b)
+        rows.append((*g, *qs))
+    fields = [T.StructField(c, df.schema[c].dataType) for c in by] + [T.StructField(f"q{i}", T.DoubleType()) for i in range(len(probs))]
+    return df.sparkSession.createDataFrame(rows, T.StructType(fields))

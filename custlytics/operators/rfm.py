@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custlytics.functions.dates import day
-from custlytics.functions.money import cents, exact_mean
-from custlytics.operators.rank import (check_unique_edges, global_rank, rank_quantile_edges,
-                                       score_by_edges)
+from custlytics.functions.money import cents, exact_mean, from_cents, money_units, units_to_cents
+from custlytics.operators.rank import check_unique_edges, rank_quantile_edges, score_by_edges
+from custlytics.operators.select import after, boundaries
 from custlytics.schemas import TX, TxCols
 from custlytics.session import materialize
 
@@ -71,8 +72,8 @@ def customers_only(tx: DataFrame, cols: TxCols = TX) -> DataFrame:
 
 
 def money_sum(c: str) -> Column:
-    """Exact 2-decimal sum returned as double."""
-    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+    """The sum rounded once, half-up to cents, as double."""
+    return from_cents(units_to_cents(F.sum(money_units(c))))
 
 
 def rfm(tx: DataFrame, as_of=None, cols: TxCols = TX, sort: bool = True) -> DataFrame:
@@ -146,28 +147,34 @@ def rfm_score(r="r_score", f="f_score", m="m_score") -> Column:
     return F.concat(*[F.col(c).cast("string") for c in (r, f, m)])
 
 
-def score_customers(features: DataFrame, duplicates: str = "raise",
-                    materialized: bool = False, partitions: int | None = None) -> DataFrame:
+def quartile_cut(df: DataFrame, order, n: int, labels: Sequence[int] = RANK_LABELS) -> Column:
+    """C3/C4 without ranking: the quartile bin of a row's place in ``order``.
+
+    A rank lies past the edge ``1 + (n-1)p`` exactly when its row comes after
+    the row at position ``floor((n-1)p)``, so three boundary rows are located
+    and every row is compared with them in a projection."""
+    check_unique_edges([1.0, *rank_quantile_edges(n, QUARTILES), float(n)], "raise")
+    places = [math.floor((n - 1) * p) for p in QUARTILES]
+    found = boundaries(df, order, {(): sorted(set(places))}, {(): n})
+    above = sum((after(df, order, found[(), at]).cast("int") for at in places), F.lit(0))
+    return F.element_at(F.array(*[F.lit(int(x)) for x in labels]), above + 1)
+
+
+def score_customers(features: DataFrame, duplicates: str = "raise", materialized: bool = False) -> DataFrame:
     """C2-C7 on a per-customer table with recency, frequency, monetary.
 
-    The table is checkpointed once (it is read by the count, the quartile
-    aggregate and the first sort); each rank is a distributed sort."""
+    The table is written once (the quartile aggregate and the boundary search
+    read its key columns); scores are a projection of it: no sort, no join.
+    ``duplicates`` tells what to do with repeated recency edges."""
     base = features if materialized else materialize(features)
     edges, n = value_quartile_edges(base, "recency", with_count=True)
     if n == 0:
-        return (base.withColumn("r_score", F.lit(None).cast("int"))
-                .withColumn("f_score", F.lit(None).cast("int"))
-                .withColumn("m_score", F.lit(None).cast("int"))
-                .withColumn("rfm_score", F.lit(None).cast("string"))
-                .withColumn("segment", F.lit(None).cast("string")))
-    out = global_rank(global_rank(base, FREQUENCY_ORDER, "_f_rank", partitions, n=n),
-                      MONETARY_ORDER, "_m_rank", partitions, n=n)
-    out = (out.withColumn("r_score", quartile_score("recency", edges, RECENCY_LABELS, duplicates))
-              .withColumn("f_score", rank_quartile_score("_f_rank", n))
-              .withColumn("m_score", rank_quartile_score("_m_rank", n))
-              .drop("_f_rank", "_m_rank"))
-    return (out.withColumn("rfm_score", rfm_score())
-               .withColumn("segment", assign_segment()))
+        empty = {c: F.lit(None).cast("int") for c in ("r_score", "f_score", "m_score")}
+        return base.withColumns({**empty, "rfm_score": F.lit(None).cast("string"), "segment": F.lit(None).cast("string")})
+    r = quartile_score("recency", edges, RECENCY_LABELS, duplicates) if edges else F.lit(None).cast("int")
+    out = base.withColumns({"r_score": r, "f_score": quartile_cut(base, FREQUENCY_ORDER, n),
+                            "m_score": quartile_cut(base, MONETARY_ORDER, n)})
+    return out.withColumns({"rfm_score": rfm_score(), "segment": assign_segment()})
 
 
 def rfm_segments(tx: DataFrame, as_of=None, cols: TxCols = TX, **kw) -> DataFrame:

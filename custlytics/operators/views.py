@@ -3,8 +3,8 @@
 ``pred`` has one row per customer with at least ``customer_id, segment,
 churn_label, churn_probability, clv_proxy, frequency, monetary``.  Every
 view is a DataFrame: filters push down to the scan, top-N lists plan as
-``TakeOrderedAndProject`` (no full sort), quantiles use the distributed global
-rank, and small dimension tables (risk bands) are broadcast by construction.
+``TakeOrderedAndProject`` (no full sort), quantiles are located by counting,
+and small dimension tables (risk bands) are broadcast by construction.
 """
 
 from __future__ import annotations
@@ -124,12 +124,13 @@ def _means(decimals: int | None) -> list[Column]:
 
 
 def kpis(df: DataFrame, decimals: int | None = None) -> DataFrame:
-    """The KPI row in one aggregation."""
+    """The KPI row in one aggregation.  ``pred`` has one row per
+    customer, so the distinct counts are plain counts."""
     m = _means(decimals)
     return df.agg(
-        F.count_distinct(F.col("customer_id")).alias("customers"), m[0], m[1],
-        F.count_distinct(F.when(F.col("churn_probability") >= HIGH_RISK_THRESHOLD,
-                                F.col("customer_id"))).alias("high_risk_customers"),
+        F.count("customer_id").alias("customers"), m[0], m[1],
+        F.count(F.when(F.col("churn_probability") >= HIGH_RISK_THRESHOLD,
+                       F.col("customer_id"))).alias("high_risk_customers"),
         m[2], m[3])
 
 
@@ -155,8 +156,8 @@ def risk_summary(df: DataFrame, decimals: int | None = None) -> DataFrame:
     m = _means(decimals)
     agg = with_risk_band(df).where(F.col("risk_band").isNotNull()).groupBy("risk_band").agg(
         F.count(F.col("customer_id")).alias("customers"), m[0], m[1])
-    # three band labels: broadcast by construction
-    out = broadcast_if_small(bands, len(RISK_LABELS), proven=True).join(agg, "risk_band", "left")
+    # one aggregate row a band: broadcast by construction
+    out = bands.join(broadcast_if_small(agg, len(RISK_LABELS), proven=True), "risk_band", "left")
     return (out.select("risk_band", F.coalesce("customers", F.lit(0)).alias("customers"),
                        "avg_churn_probability", "avg_clv_proxy", "band_order")
             .orderBy("band_order").drop("band_order"))
@@ -176,30 +177,29 @@ def histogram(df: DataFrame, col: str = "churn_probability", bins: int = HISTOGR
                       "customers")
 
 
-def box_stats(df: DataFrame, col: str, by: str = "segment", tiebreak: str = "customer_id",
-              decimals: int | None = None, partitions: int | None = None,
+def box_stats(df: DataFrame, col: str, by: str = "segment", decimals: int | None = None,
               approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Box-plot statistics per group: quartiles (linear), min, max,
-    1.5 IQR whiskers and outlier count.
+    """Box-plot statistics per group (a null group is one): quartiles
+    (linear), min, max, 1.5 IQR whiskers and outlier count.
 
-    Quartiles are exact and distributed (global rank, not a per-group
-    buffer of values); the quartile table has one row per group and is
-    joined back to compute the whiskers in one more aggregation."""
+    Quartiles are exact and located by counting; the quartile table has one
+    row per group and is broadcast behind a count of its rows, so the whiskers
+    take one more aggregation and no shuffle of customers."""
     if approx:
         # one pass, bounded memory per group (a quantile sketch); quartiles
         # are then sample values within 1/accuracy in rank, not interpolated
         qs = df.groupBy(by).agg(F.percentile_approx(col, [0.25, 0.5, 0.75], accuracy).alias("_q")) \
                .select(by, *[F.col("_q")[i].cast("double").alias(f"q{i}") for i in range(3)])
     else:
-        qs = exact_quantiles(df, col, (0.25, 0.5, 0.75), by=[by], tiebreak=tiebreak,
-                             partitions=partitions)
+        qs = exact_quantiles(df, col, (0.25, 0.5, 0.75), by=[by])
     rnd = (lambda c: F.round(c, decimals)) if decimals is not None else (lambda c: c)
     qs = qs.select(by, rnd(F.col("q0")).alias("q1"), rnd(F.col("q1")).alias("median"),
                    rnd(F.col("q2")).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     qs = qs.withColumn("_lo_fence", F.col("q1") - 1.5 * iqr).withColumn("_hi_fence", F.col("q3") + 1.5 * iqr)
     v = F.col(col)
-    joined = df.where(v.isNotNull()).select(by, col).join(broadcast_if_small(qs, 100_000, check=False), by)
+    qs = broadcast_if_small(qs.withColumnRenamed(by, "_by"), 100_000, check=not approx)
+    joined = df.where(v.isNotNull()).select(by, col).join(qs, F.col(by).eqNullSafe(F.col("_by")))
     inside = (v >= F.col("_lo_fence")) & (v <= F.col("_hi_fence"))
     return (joined.groupBy(by, "q1", "median", "q3").agg(
         F.count(F.lit(1)).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
@@ -219,12 +219,6 @@ def top_n(df: DataFrame, col: str, n: int = TOP_N, ascending: bool = False,
 
 
 def points(df: DataFrame, x: str = "clv_proxy", y: str = "churn_probability", by: str = "segment",
-           label: str = "customer_id", max_points: int | None = None, seed: int = 7) -> DataFrame:
-    """The point set of a scatter plot; above ``max_points`` rows a
-    Bernoulli sample of about that size is drawn (sampling is the feature)."""
-    out = df.select(label, by, x, y)
-    if max_points is not None:
-        n = out.count()
-        if n > max_points:
-            out = out.sample(fraction=max_points / n, seed=seed)
-    return out
+           label: str = "customer_id") -> DataFrame:
+    """The point set of a scatter plot, one point a customer."""
+    return df.select(label, by, x, y)

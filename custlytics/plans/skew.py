@@ -17,14 +17,12 @@ from pyspark.sql import functions as F
 SALT = "__salt"
 
 
-def hot_keys_by_count(counts: DataFrame, key: str, count_col: str, share: float = 0.01,
-                      min_rows: int = 1_000_000) -> list:
-    """Keys holding at least ``share`` of all rows (and ``min_rows``), from a
-    table with one row per key and its row count.  At most ``1/share`` keys
-    qualify, so the list is bounded."""
+def hot_keys_by_count(counts: DataFrame, key: str, count_col: str, share: float = 0.01) -> list:
+    """Keys holding at least ``share`` of all rows, from a table with one row
+    per key and its row count.  At most ``1/share`` keys qualify, so the list
+    is bounded."""
     total = counts.agg(F.sum(count_col)).first()[0] or 0
-    threshold = max(min_rows, share * total)
-    return [r[0] for r in counts.where(F.col(count_col) >= threshold).select(key).collect()]
+    return [r[0] for r in counts.where(F.col(count_col) >= share * total).select(key).collect()]
 
 
 def salted_left_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
@@ -41,21 +39,3 @@ def salted_left_join(big: DataFrame, small: DataFrame, big_key: str, small_key:
     j = left.join(right, (left[big_key] == right[small_key]) & (left[SALT] == right[SALT]), "left")
     return j.drop(left[SALT]).drop(right[SALT])
 
-
-def heavy_hitters(df: DataFrame, key: str, share: float = 0.01, sample_rows: int = 200_000,
-                  seed: int = 11) -> list:
-    """Keys that likely hold at least ``share`` of the rows, from a Bernoulli
-    sample of about ``sample_rows`` rows of the key column (a scan of one
-    column, no shuffle of the data).  At most ``1/share`` keys can qualify.
-    A missed key only costs speed; salting never changes results."""
-    n = df.count()
-    if n == 0:
-        return []
-    frac = min(1.0, sample_rows / n)
-    sample = df.select(key).sample(fraction=frac, seed=seed)
-    m = sample.count()
-    if m == 0:
-        return []
-    hits = (sample.groupBy(key).count().where(F.col("count") >= max(2, share * m))
-            .orderBy(F.desc("count")).limit(int(1 / share)))
-    return [r[0] for r in hits.collect()]

@@ -72,14 +72,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return materialize_table(df, "stage")
 
 
-_WRITTEN: dict[int, list[str]] = {}
+#: Scratch folders by application id (a session object's id may be reused).
+_WRITTEN: dict[str, list[str]] = {}
 
 
-def release_scratch(spark: SparkSession) -> int:
-    """Delete the intermediate tables this session materialised (and only
-    those), e.g. at the end of a long-running job.  DataFrames read from them
-    must not be used afterwards.  Returns the number of folders removed."""
-    paths = _WRITTEN.pop(id(spark), [])
+def track(spark: SparkSession, path: str) -> None:
+    """Remember a scratch folder for :func:`release_scratch`."""
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
+def scratch_mark(spark: SparkSession) -> int:
+    """How many scratch folders there are now: what ``release_scratch`` may
+    be told to leave."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def release_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete the scratch folders this application wrote (and only those; from
+    a ``scratch_mark`` on if given), e.g. at the end of a long-running job.
+    DataFrames read from them must not be used afterwards.  Returns the number
+    of folders removed."""
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    _WRITTEN[spark.sparkContext.applicationId], paths = paths[:since], paths[since:]
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     removed = 0
@@ -96,7 +110,7 @@ def materialize_table(df: DataFrame, name: str = "table") -> DataFrame:
     position id keep it (it is data now)."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    _WRITTEN.setdefault(id(df.sparkSession), []).append(path)
+    track(df.sparkSession, path)
     # the schema is known: no footer/schema-inference pass on read-back
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custlytics.plans.broadcast import broadcast_if_small
-from custlytics.plans.skew import heavy_hitters, salted_left_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +36,9 @@ def customer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf_dir: str, *, lines: bool = True,
-                 geo: bool = False, skew_safe: bool = False) -> DataFrame:
-    """Order-grain transactions.  ``skew_safe`` samples the order key for
-    hot values (duplicated ids) and salts the order-line join for them; off
-    by default because the order key is the orders table's primary key."""
+                 geo: bool = False) -> DataFrame:
+    """Order-grain transactions.  An order key that repeats (what the
+    duplicate check looks for) is left to Spark's skew join."""
     o = table(spark, sf_dir, "orders")
     tx = o.select(
         F.col("o_orderkey").alias("transaction_id"),
@@ -54,13 +52,7 @@ def transactions(spark: SparkSession, sf_dir: str, *, lines: bool = True,
         # Both sides end up hash-partitioned on the order key: the line
         # aggregate's own exchange is reused by the join.
         per_order = order_lines(spark, sf_dir)
-        if skew_safe:
-            hot = heavy_hitters(tx, "transaction_id")
-            splits = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            right = per_order.withColumnRenamed("transaction_id", "_k")
-            tx = salted_left_join(tx, right, "transaction_id", "_k", hot, splits).drop("_k")
-        else:
-            tx = tx.join(per_order, "transaction_id", "left")
+        tx = tx.join(per_order, "transaction_id", "left")
     if geo:
         tx = tx.join(customer_states(spark, sf_dir), "customer_id", "left")
     return tx

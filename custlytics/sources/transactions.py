@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from custlytics.functions.dates import month_key, month_label
 from custlytics.schemas import TRANSACTIONS
+from custlytics.session import materialize_table
 
 CORRUPT = "_corrupt_record"
 
@@ -75,12 +76,14 @@ def write_transactions(df: DataFrame, target: str, mode: str = "overwrite",
     if partition_by_month:
         w = w.partitionBy("order_month")
     w.parquet(target)
-    return df.sparkSession.read.parquet(target).count()
+    return df.sparkSession.read.schema(out.schema).parquet(target).count()
 
 
-def load_transactions(spark: SparkSession, target: str) -> DataFrame:
-    """A3: the stored table with the date typed."""
-    df = spark.read.parquet(target)
+def load_transactions(spark: SparkSession, target: str, schema: T.StructType | None = None) -> DataFrame:
+    """A3: the stored table with the date typed.  A partitioned table that
+    was written without rows holds no file to read a schema from: pass the
+    written one's."""
+    df = spark.read.parquet(target) if schema is None else spark.read.schema(schema).parquet(target)
     if dict(df.dtypes).get("transaction_date") == "string":
         df = parse_transactions(df)
     return df
@@ -135,12 +138,15 @@ def export_view(df: DataFrame, path: str) -> str:
 
 def run_reports(spark: SparkSession, tx: DataFrame, out_dir: str,
                 names: list[str] | None = None, fmt: str = "parquet",
-                builders: Mapping[str, object] | None = None) -> dict[str, str]:
+                builders: Mapping[str, object] | None = None, land: bool = True) -> dict[str, str]:
     """Build and write a batch of named reports, one write per report.
 
-    The transaction table is not cached: each report reads only the columns
-    it needs, which at scale is cheaper than materialising the whole table."""
+    The table is landed once as Parquet in the scratch folder, so a text
+    source is parsed once and every report reads only the columns it needs;
+    pass ``land=False`` for a table that is columnar already."""
     from custlytics.operators import cohort, customer, rfm
+    if land:
+        tx = materialize_table(tx, "landed")
     jobs = dict(builders or {
         "rfm_output": lambda t: rfm.rfm(t),
         "cohort_output": lambda t: cohort.cohort_retention(t),

@@ -1,5 +1,5 @@
-"""The rank-based queries give the oracle's answer on the distributed path
-too (sorted, materialised positions instead of one ordered window)."""
+"""Rank-based queries equal the oracle at any partitioning, and no plan has a
+window over all rows in one task."""
 
 import os
 
@@ -9,7 +9,6 @@ import pytest
 from conftest import SF01
 
 import __spark_entry__ as E
-from custlytics.operators import rank
 from tools.oracle_check import TABLES, digest
 
 RANKED = ["global_rank", "score_frequency", "rfm_segments", "segment_summary", "model_base",
@@ -28,8 +27,15 @@ def con():
 
 
 @pytest.mark.parametrize("name", RANKED)
-def test_distributed_rank_path_matches_oracle(spark, con, name, monkeypatch):
-    monkeypatch.setattr(rank, "SMALL_ROWS", 0)
+def test_many_partitions_match_oracle(spark, con, name):
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        _equals_oracle(spark, con, name)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def _equals_oracle(spark, con, name):
     df = E.queries()[name](spark, SF01)
     srows = [tuple(r) for r in df.collect()]
     cur = con.execute(E.oracle_sql()[name])
@@ -59,8 +65,7 @@ def _windows_over_single_partition(plan: str) -> list[str]:
 
 
 @pytest.mark.parametrize("name", WINDOWED)
-def test_no_unpartitioned_window_at_scale(spark, name, monkeypatch):
-    monkeypatch.setattr(rank, "SMALL_ROWS", 0)
+def test_no_unpartitioned_window(spark, name):
     df = E.queries()[name](spark, SF01)
     df.write.format("noop").mode("overwrite").save()
     assert _windows_over_single_partition(df._jdf.queryExecution().executedPlan().toString()) == []

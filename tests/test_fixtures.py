@@ -15,6 +15,7 @@ from custlytics.operators import ml as M
 from custlytics.operators import quality as Q
 from custlytics.operators import rfm as R
 from custlytics.operators import views as V
+from custlytics.operators.rank import global_rank
 from custlytics.operators.attribution import Leaf, attributions_matrix
 
 
@@ -38,7 +39,7 @@ def test_tied_frequency_bigger_spender_ranks_first(spark):
     rows = [("a1", "A", "2025-01-01", 100.0), ("a2", "A", "2025-01-02", 100.0),
             ("b1", "B", "2025-01-01", 10.0), ("b2", "B", "2025-01-02", 10.0)]
     feats = R.rfm(make_tx(spark, rows), sort=False)
-    ranks = {r.customer_id: r.rank for r in R.global_rank(feats, R.FREQUENCY_ORDER).collect()}
+    ranks = {r.customer_id: r.rank for r in global_rank(feats, R.FREQUENCY_ORDER).collect()}
     assert ranks == {"A": 1, "B": 2}
 
 
@@ -167,7 +168,7 @@ def test_auc_rank_sum_matches_evaluator(spark):
 
 def test_split_is_disjoint_cover_and_stratified(spark):
     df = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1000)], "customer_id long, churn_label int")
-    s = M.stratified_split(df, partitions=16).toPandas()
+    s = M.stratified_split(df).toPandas()
     assert len(s) == 1000 and s.customer_id.is_unique
     test = s[s.split == "test"]
     assert len(test) == 200 and (test.churn_label == 1).sum() == 40
@@ -227,12 +228,10 @@ def test_require_rows(spark):
         V.require_rows(df)
 
 
-def test_points_sample_only_above_limit(spark):
+def test_points_are_all_customers(spark):
     df = spark.range(1000).select(F.col("id").alias("customer_id"), F.lit("s").alias("segment"),
                                   F.rand(1).alias("clv_proxy"), F.rand(2).alias("churn_probability"))
     assert V.points(df).count() == 1000
-    n = V.points(df, max_points=100).count()
-    assert 50 < n < 160
 
 
 def test_order_month_and_cohort_filters(spark):
@@ -251,11 +250,13 @@ def test_order_month_and_cohort_filters(spark):
 def test_validation_checks_by_name(spark):
     tx = make_tx(spark, [("t1", "A", "2025-01-01", 5.0, 1, 0.0, "web"), ("t1", "B", "2025-01-02", 5.0, 1, 0.0, "app"),
                          ("t3", "B", "2025-01-03", 5.0, 1, 0.0, "app")])
-    checks = Q.validation_checks(tx)
-    assert {"total_transactions", "duplicate_ids", "channel_distribution", "non_positive_quantity"} <= set(checks)
-    assert "category_distribution" not in checks            # no such column
-    assert [tuple(r) for r in checks["duplicate_ids"].collect()] == [("t1", 2)]
-    assert [tuple(r) for r in checks["channel_distribution"].collect()] == [("app", 2), ("web", 1)]
+    checks = {c.name: c for c in Q.run_checks(tx, preview=1)}
+    assert len(checks) == 12
+    assert checks["category_distribution"].error and checks["state_distribution"].error      # no such columns: only these fail
+    assert sum(c.error is None for c in checks.values()) == 10
+    assert checks["duplicate_ids"].rows == [("t1", 2)] and checks["duplicate_ids"].total == 1
+    assert checks["channel_distribution"].rows == [("app", 2)] and checks["channel_distribution"].total == 2
+    assert [tuple(r) for r in Q.validation_checks(tx)["channel_distribution"]().collect()] == [("app", 2), ("web", 1)]
 
 
 def test_validation_suite_on_empty_table(spark):
@@ -263,6 +264,6 @@ def test_validation_suite_on_empty_table(spark):
                                    "order_value double, quantity bigint")
     got = {r.metric: (r.value, r.status) for r in Q.run_validation(tx).collect()}
     assert got["total_transactions"] == ("0", "INFO") and got["total_customers"] == ("0", "INFO")
-    assert got["null_customer_id"] == (None, "PASS")          # SQL SUM over no rows is NULL
+    assert got["null_customer_id"] == (None, "NO DATA")       # SQL SUM over no rows is NULL
     assert got["non_positive_order_value_rows"] == ("0", "PASS")
     assert got["duplicate_ids"] == ("0", "PASS") and got["min_transaction_date"] == (None, "INFO")

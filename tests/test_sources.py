@@ -84,6 +84,30 @@ def test_command_line_model_reports(spark, tmp_out):
                  "--search-iterations", "1"]) == 0
     assert S.read_result(spark, f"{tmp_out}/out/churn_predictions").count() == 150
     assert S.read_result(spark, f"{tmp_out}/out/attribution_importance").count() == 12
+    for name, n in [("model_search", 1), ("classification_report", 5), ("confusion_matrix", 4), ("roc_auc", 1), ("attribution_summary", 12)]:
+        assert S.read_result(spark, f"{tmp_out}/out/{name}").count() == n
+    from custlytics.operators.ml import load_model
+    assert load_model(f"{tmp_out}/out/model").stages
+
+
+def test_command_line_on_an_empty_table(spark, tmp_out, capsys):
+    from custlytics.__main__ import main
+    src = f"{tmp_out}/raw"
+    S.write_result(_csv_tx(spark).limit(0).coalesce(1), src, fmt="csv")
+    assert main(["validate", "--tx", src]) == 0
+    assert "NO DATA" in capsys.readouterr().out
+
+
+def test_command_line_keeps_the_submitted_master(tmp_path):
+    """A fresh process, as spark-submit starts one, keeps its master."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import custlytics.__main__ as m; print('MASTER', m._session().sparkContext.master)"
+    env = {**os.environ, "PYTHONPATH": root, "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.ui.enabled=false pyspark-shell"}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120, cwd=tmp_path)
+    assert "MASTER local[2]" in out.stdout, out.stderr[-500:]
 
 
 def test_bad_rows_modes(spark, tmp_out):
@@ -108,14 +132,14 @@ def test_bad_rows_modes(spark, tmp_out):
 
 def test_release_scratch_removes_only_our_tables(spark):
     import os
-    from custlytics.session import materialize, release_scratch, _WRITTEN
-    release_scratch(spark)                      # start from a clean list
+    from custlytics.session import _WRITTEN, materialize, release_scratch, scratch_mark
+    mark = scratch_mark(spark)                  # other tests' tables stay
     df = materialize(spark.range(10))
-    path = _WRITTEN[id(spark)][0].replace("file:", "")
+    path = _WRITTEN[spark.sparkContext.applicationId][mark].replace("file:", "")
     assert os.path.isdir(path) and df.count() == 10
-    assert release_scratch(spark) == 1
+    assert release_scratch(spark, mark) == 1
     assert not os.path.exists(path)
-    assert release_scratch(spark) == 0
+    assert release_scratch(spark, mark) == 0 and scratch_mark(spark) == mark
 
 
 def test_trailing_window_prunes_month_partitions(spark, tmp_out):
