@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from custlytics.llm.word_cache import WordCache, from_bytes, list_array, slices, to_bytes
+
 SPACE = "▁"
 NO_RANK = np.iinfo(np.int32).max
-#: Characters of text encoded at once, and words whose ids a task remembers.
-SLICE_CHARS, CACHE_WORDS = 1 << 21, 1 << 19
 #: Words of more symbols than this use an agenda of merges, one at a time.
 LONG_WORD = 4096
 
@@ -87,7 +87,6 @@ class PieceModel:
             raise ValueError("the model has no byte fallback")
         if any(SPACE in self.pieces[i].lstrip(SPACE) for i in normal):
             raise ValueError("a piece holds a space after another character")
-        self.ints = list(range(n))                           # one object an id, shared by all lists
         self.eos = sp.eos_id()
         self.unk = sp.unk_id()
         self.control = {i for i in range(n) if sp.is_control(i)}
@@ -175,8 +174,8 @@ class PieceModel:
         table = np.array([self.char_id.get(chr(c), -1 - int(c)) for c in uniq], np.int64)
         return table[where], np.fromiter(map(len, words), np.int64, len(words))
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Piece ids of each word (escaped text), by merge rounds."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Piece ids of each word (escaped text), by merge rounds, as bytes."""
         if not words:
             return []
         sym, lengths = self._symbols(words)
@@ -266,7 +265,7 @@ class PieceModel:
                     heapq.heappush(heap, (int(self.rank[q]), x, sym[x], sym[after[x]], q))
         return np.array([s for s, ok in zip(sym, alive, strict=True) if ok], np.int64)
 
-    def _with_bytes(self, sym: np.ndarray, word: np.ndarray, n: int) -> list[list[int]]:
+    def _with_bytes(self, sym: np.ndarray, word: np.ndarray, n: int) -> list[bytes]:
         """Replace characters outside the vocabulary by byte pieces; split by word."""
         if (sym < 0).any():
             reps = np.ones(len(sym), np.int64)
@@ -276,9 +275,9 @@ class PieceModel:
             out, word = np.repeat(sym, reps), np.repeat(word, reps)
             out[np.repeat(sym < 0, reps)] = np.concatenate(raw)
             sym = out
-        flat = list(map(self.ints.__getitem__, sym.tolist()))
-        ends = np.searchsorted(word, np.arange(1, n + 1)).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        raw = sym.astype("<i4").tobytes()
+        ends = (4 * np.searchsorted(word, np.arange(1, n + 1))).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     # -- decoding ---------------------------------------------------------
     def decode(self, ids: list[int]) -> str:
@@ -328,47 +327,29 @@ def load_encoder(path: str, add_eos: bool) -> Encoder:
 class Encoder:
     """Encodes texts with a bounded cache of word -> ids."""
 
-    def __init__(self, model: PieceModel, add_eos: bool = True, cache_words: int = CACHE_WORDS):
-        self.model, self.tail, self.limit = model, [model.eos] if add_eos else [], cache_words
-        self.cache: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        split, fresh = [], {}
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        cache = self.cache
-        for t in texts:
-            words = self.words(t) if t else []
-            split.append(words)
-            fresh.update((w, None) for w in words if w not in cache)
-        fresh = list(fresh)
-        for w, ids in zip(fresh, self.model.encode_words(fresh), strict=True):
-            cache[w] = ids
-        return [[i for w in words for i in cache[w]] + self.tail for words in split]
+    def __init__(self, model: PieceModel, add_eos: bool = True):
+        self.model, self.tail = model, to_bytes([model.eos]) if add_eos else b""
+        self.cache = WordCache(lambda words: model.encode_words([SPACE + w.replace(" ", SPACE) for w in words]))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as 32-bit integers."""
+        return self.cache.documents([self.words(t) if t else [] for t in texts], self.tail)
 
     @staticmethod
     def words(text: str) -> list[str]:
-        """Escaped words of a text: runs of spaces stay with what follows."""
+        """Words of a text without their leading space; of a run of spaces all
+        but the first stay in front of what follows."""
         parts = text.replace(SPACE, " ").split(" ")
         if "" not in parts:
-            return [SPACE + p for p in parts]
+            return parts
         out, run = [], ""
         for p in parts:
-            run += SPACE
             if p:
                 out.append(run + p)
                 run = ""
-        return out + [run] if run else out
-
-
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Row ranges of about SLICE_CHARS of text."""
-    import pyarrow.compute as pc
-    sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_CHARS)) + 1
-    for a, b in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):
-        if b > a:
-            yield batch.slice(int(a), int(b - a))
+            else:
+                run += " "
+        return out + [run[1:]] if run else out
 
 
 def _model_path(path: str | None) -> str:
@@ -393,11 +374,11 @@ def encode_decode(df: DataFrame, *, text: str = "text", keep: list[str] | None =
         encoder = load_encoder(_model_path(model_path), add_eos)
         for batch in batches:
             last = batch.num_columns - 1
-            for part in _slices(batch, last):
+            for part in slices(batch, last):
                 ids = encoder.encode(part.column(last).to_pylist())
-                arrays = part.columns[:last] + [pa.array(ids, pa.list_(pa.int32()))]
+                arrays = part.columns[:last] + [list_array(ids)]
                 if decode:
-                    arrays.append(pa.array(map(encoder.model.decode, ids), pa.string()))
+                    arrays.append(pa.array([encoder.model.decode(from_bytes(i).tolist()) for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names=out.fieldNames())
 
     return carried.mapInArrow(run, out)

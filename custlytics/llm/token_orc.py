@@ -8,7 +8,7 @@ a read splits by stripe, and a lookup of an id skips files and stripes by
 their minimum, maximum and Bloom filter.
 
 Columns written: ``doc_id``, ``part`` (position of the file in the order),
-``pos`` (position in the part), ``ids``.  Offsets of documents in the whole
+``pos`` (position in the part), ``n_tokens``, ``ids``.  Offsets of documents in the whole
 token sequence come from the files: token counts by part, a running sum over
 the parts (one row a part) and a running sum inside each part.
 
@@ -29,14 +29,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from custlytics.llm.tables import parallelism
+from custlytics.llm.word_cache import WordCache, list_array, slices, to_bytes
 
 STRIPE_BYTES, ROW_INDEX_STRIDE, BLOOM_FPP = 16 << 20, 1000, 0.01
-SLICE_CHARS, CACHE_WORDS = 1 << 21, 1 << 19
 END_ID = 1
+#: Words encoded in one call of the library.
+JOINED_WORDS = 256
 
 STORED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()),
-    T.StructField("pos", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    T.StructField("pos", T.LongType()), T.StructField("n_tokens", T.IntegerType()),
+    T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
 class WordTokenizer:
@@ -44,9 +47,10 @@ class WordTokenizer:
     piece with a bounded cache.
 
     The tokenizer drops white space and never joins across it, and neither
-    Unicode composition nor its split pattern looks past an ASCII space, so a
-    text's ids are those of its pieces in order.  The constructor refuses a
-    file whose parts differ from that."""
+    Unicode composition nor its split pattern looks past an ASCII space or
+    line end, so a text's ids are those of its pieces in order.  The
+    constructor refuses a file whose parts differ from that.  New pieces are
+    encoded together, joined by spaces again, and told apart by offsets."""
 
     def __init__(self, path: str):
         import json
@@ -60,19 +64,22 @@ class WordTokenizer:
                 " " in t["content"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("not a tokenizer that works piece by piece")
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, list[int]] = {}
+        self.cache = WordCache(self.encode_words)
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        split = [t.split(" ") if t else [] for t in texts]
-        fresh = list({w: None for words in split for w in words if w not in cache})
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at:at + 20_000]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[w] = e.ids
-        return [[i for w in words for i in cache[w]] for words in split]
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), JOINED_WORDS):
+            some = words[at:at + JOINED_WORDS]
+            found = self.tok.encode(" ".join(some), add_special_tokens=False)
+            raw = to_bytes(found.ids)
+            ends = np.cumsum([len(w) + 1 for w in some])     # a token of a word starts before its end
+            cuts = (4 * np.searchsorted([a for a, _ in found.offsets], ends)).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        return out
+
+    def encode(self, texts: list[str | None], tail: bytes = b"") -> list[bytes]:
+        """Ids of each text as 32-bit integers."""
+        return self.cache.documents([t.replace("\n", " ").split(" ") if t else [] for t in texts], tail)
 
 
 @functools.lru_cache(maxsize=2)
@@ -99,17 +106,15 @@ def encode_sorted(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     rows = rows.select("doc_id", F.spark_partition_id().alias("part"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, pos = load_tokenizer(_path(tokenizer_path)), 0
+        tok, pos, end = load_tokenizer(_path(tokenizer_path)), 0, to_bytes([END_ID])
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            cuts = np.flatnonzero(np.diff(np.cumsum([len(t or "") for t in texts]) // SLICE_CHARS)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
-                ids = [[*x, END_ID] for x in tok.encode(texts[a:b])]
+            for part in slices(batch, 2):
+                ids = tok.encode(part.column(2).to_pylist(), end)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                     pa.array(range(pos, pos + b - a), pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
+                    [part.column(0), part.column(1), pa.array(range(pos, pos + len(ids)), pa.int64()),
+                     pa.array([len(i) // 4 for i in ids], pa.int32()), list_array(ids)],
                     names=STORED.fieldNames())
-                pos += b - a
+                pos += len(ids)
 
     return rows.mapInArrow(run, STORED)
 
@@ -135,7 +140,7 @@ def offsets(spark: SparkSession, path: str) -> DataFrame:
 
     def checksum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(4)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
             ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
             starts = np.r_[0, ends[:-1]].astype(np.int64)
@@ -145,7 +150,7 @@ def offsets(spark: SparkSession, path: str) -> DataFrame:
 
     docs = read_tokens(spark, path).mapInArrow(checksum, schema)
     # one row a part: a task of the write, so at most the partitions asked for
-    parts = read_tokens(spark, path).groupBy("part").agg(F.sum(F.size("ids")).cast("long").alias("tokens"))
+    parts = read_tokens(spark, path).groupBy("part").agg(F.sum("n_tokens").cast("long").alias("tokens"))
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("part", before.alias("before"))
     inside = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
