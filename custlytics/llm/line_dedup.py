@@ -13,8 +13,11 @@ themselves.  Shorter lines always stay.
    (length, segment number, segment) of a line; probe rows carry the
    substrings of a line, for each length up to ``max_edits`` shorter and each
    segment, whose shift the remaining edits allow.
-3. Lines that meet on a key are compared by Spark's banded ``levenshtein``
-   with a threshold (a bit-parallel kernel has no column expression).
+3. Lines that meet on a key join only if their counts of some letters allow
+   that few edits (an edit moves two counts by one at most), so lines that
+   share a segment and differ elsewhere make no rows; the rest are compared by
+   Spark's banded ``levenshtein`` with a threshold (a bit-parallel kernel has
+   no column expression).
 4. Each document is joined with the numbers of its surviving first
    occurrences and rebuilt from them.
 
@@ -31,6 +34,8 @@ from custlytics.llm.quality_rules import SPACES
 from custlytics.session import materialize_table
 
 MAX_EDITS, MIN_CHARS = 1, 30
+#: Letters counted for the letter filter (any would do), bits of a count.
+LETTERS, COUNT_BITS = "eantor", 10
 #: Documents up to which the texts to verify are picked by a broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -76,6 +81,23 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return keys
 
 
+def _letters(line: Column) -> Column:
+    """Counts of some letters, packed; each modulo 2 ** COUNT_BITS."""
+    packed = F.lit(0).cast("long")
+    for k, x in enumerate(LETTERS):
+        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit("")))).cast("long")
+        packed = packed.bitwiseOR(F.shiftleft(count.bitwiseAND((1 << COUNT_BITS) - 1), COUNT_BITS * k))
+    return packed
+
+
+def _letters_allow(a: Column, b: Column, edits: int) -> Column:
+    total = F.lit(0).cast("long")
+    for k in range(len(LETTERS)):
+        x, y = (F.shiftright(c, COUNT_BITS * k).bitwiseAND((1 << COUNT_BITS) - 1) for c in (a, b))
+        total = total + F.least(F.abs(x - y), F.lit(1 << COUNT_BITS) - F.abs(x - y))
+    return total <= 2 * edits
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, rid, ln, line of the lines that take part."""
     rows = docs.select("doc_id", _row_id().alias("rid"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
@@ -90,16 +112,17 @@ def _near(first: DataFrame, docs: DataFrame, edits: int) -> DataFrame:
     lines = lines.select(F.explode(F.transform("lns", lambda i: F.get("lines", i))).alias("line"))
     lines = lines.select(_trim(F.col("line")).alias("line")).withColumn("len", F.length("line"))
     line, length = F.col("line"), F.col("len")
-    keyed = lines.select(F.xxhash64("line").alias("h"),
+    keyed = lines.select(F.xxhash64("line").alias("h"), _letters(line).alias("letters"),
                          F.array(*index_keys(line, length, edits)).alias("idx"),
                          F.array_distinct(F.array_compact(F.array(*probe_keys(line, length, edits)))).alias("probe"))
-    rows = keyed.select("h", F.explode(F.concat(
+    rows = keyed.select("h", "letters", F.explode(F.concat(
         F.transform("idx", lambda k: F.struct(k.alias("key"), F.lit(True).alias("indexed"))),
         F.transform("probe", lambda k: F.struct(k.alias("key"), F.lit(False).alias("indexed"))))).alias("e"))
-    rows = materialize_table(rows.select("h", "e.key", "e.indexed"), "segments")
-    left = rows.where("indexed").select(F.col("h").alias("ha"), "key")
-    right = rows.where("NOT indexed").select(F.col("h").alias("hb"), F.col("key").alias("k"))
-    pairs = left.join(right, (F.col("key") == F.col("k")) & (F.col("ha") != F.col("hb"))).select(
+    rows = materialize_table(rows.select("h", "letters", "e.key", "e.indexed"), "segments")
+    left = rows.where("indexed").select(F.col("h").alias("ha"), "key", F.col("letters").alias("la"))
+    right = rows.where("NOT indexed").select(F.col("h").alias("hb"), F.col("key").alias("k"), F.col("letters").alias("lb"))
+    pairs = left.join(right, (F.col("key") == F.col("k")) & (F.col("ha") != F.col("hb")) & _letters_allow(
+        F.col("la"), F.col("lb"), edits)).select(
         F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct()
     pairs = materialize_table(pairs, "pairs")
 
