@@ -134,7 +134,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     break
         elif tag == "br":
             buffer.append(" ")
-        if tag not in VOID_TAGS and not attributes.endswith("/"):
+        if tag not in VOID_TAGS:
             stack.append(_Open(tag, attributes))
             links += tag == "a"
     text(page[at:])
