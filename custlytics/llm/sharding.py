@@ -62,7 +62,8 @@ def directory(cells: DataFrame, start: int, finest: int, limit: int) -> DataFram
 
 
 def _place(rows: DataFrame, found: DataFrame, depth: int) -> DataFrame:
-    return rows.join(_small(found), F.substring("__bits", 1, depth) == F.col("cell")).drop("cell")
+    found = found.withColumnRenamed("cell", "__cell")        # rows carry the caller's columns
+    return rows.join(_small(found), F.substring("__bits", 1, depth) == F.col("__cell")).drop("__cell")
 
 
 def _overflow(rows: DataFrame, found: DataFrame, limit: int) -> DataFrame:
@@ -100,17 +101,17 @@ def assign(docs: DataFrame, limit: int = LIMIT_BYTES, *, doc_id: str = "doc_id",
         cells = materialize_table(_cells(rows, depth), "cells")
     found = directory(cells, start, depth, limit)
     over = (F.length("shard") == depth) & (F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)
-    full = found.where(over).select("cell")
+    full = found.where(over).select(F.col("cell").alias("__cell"))
     placed = [_place(rows, found.where(~over), depth)]
     if full.limit(1).count():
-        more = rows.join(_small(full), F.substring("__bits", 1, depth) == F.col("cell"), "left_semi").withColumn(
+        more = rows.join(_small(full), F.substring("__bits", 1, depth) == F.col("__cell"), "left_semi").withColumn(
             "__bits", F.concat("__bits", _bits(F.coalesce(body, F.lit("")))))
         found = directory(_cells(more, ALL_BITS), depth, ALL_BITS, limit)
         over = (F.length("shard") == ALL_BITS) & (F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)
         placed.append(_place(more, found.where(~over), ALL_BITS))
         full = found.where(over)
         if full.limit(1).count():
-            equal = more.join(_small(full.select("cell")), F.col("__bits") == F.col("cell"), "left_semi")
+            equal = more.join(_small(full.select(F.col("cell").alias("__cell"))), F.col("__bits") == F.col("__cell"), "left_semi")
             placed.append(_overflow(equal, full, limit))
     pick = [*[F.col(f"`{c}`") for c in names], "shard", F.length(F.split_part("shard", F.lit("."), F.lit(1))).alias("depth"),
             F.col("__bytes").alias("doc_bytes"), "shard_bytes", "shard_docs"]
