@@ -37,7 +37,7 @@ from custlytics.session import materialize_table
 #: of the classifier, voters of the label model, lengths of word beginnings.
 SAMPLE_ROWS, FEATURES, VOTERS, STEMS = 20_000, 1_024, 64, (4, 5, 6)
 #: Least texts a feature occurs in, and least ratio of its class rates.
-SUPPORT, LIFT = 5, 3.0
+SUPPORT, LIFT = 3, 3.0
 #: Correlation from which voters share a vote.
 SHARED = 0.5
 FOLDS = 5
@@ -161,7 +161,7 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 15) -> tuple
     return post, (hi, lo, share)
 
 
-def linear(x: np.ndarray, target: np.ndarray, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def linear(x: np.ndarray, target: np.ndarray, rounds: int = 800, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels, by Adam over the whole sample."""
     w, b = np.zeros(x.shape[1], np.float32), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     m, s = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
