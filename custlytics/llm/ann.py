@@ -6,7 +6,9 @@ centroid and, where it lies near a boundary, to the lists of others whose
 distance is within ``BOUNDARY`` of the nearest, unless a kept centroid lies
 within half that distance of it.  A query finds its lists by
 best-first search in an in-memory graph of centroids and takes all whose
-distance is within ``RATIO`` of the nearest.
+distance is within ``RATIO`` of the nearest.  The nearest list is scanned
+first; its last rank bounds what the others may add, so they send only rows
+that could enter the result.
 
 Lists are scanned in blocks: (list, block of vectors, block of queries) is one
 group of bounded size however many vectors or queries a list draws, so a
@@ -136,7 +138,7 @@ class Centroids:
                 if not patience:
                     break
             look(self.links[j])
-        return [j for d, j in found if d <= (1 + ratio) * best + 1e-12]
+        return [j for d, j in sorted(found) if d <= (1 + ratio) * best + 1e-12]
 
     def lists(self, x: np.ndarray, slack: float) -> list[list[int]]:
         """Lists of each vector: the nearest, and boundary replicas."""
@@ -168,7 +170,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _route(df: DataFrame, index, choose) -> DataFrame:
-    """(list, id, vec): a row for each list that ``choose`` names."""
+    """(list, place, id, vec): a row for each list that ``choose`` names,
+    nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = index.value
@@ -180,14 +183,16 @@ def _route(df: DataFrame, index, choose) -> DataFrame:
                 lists = choose(centroids, _unit(_matrix(part.column(1))))
                 rows = np.repeat(np.arange(part.num_rows), [len(x) for x in lists])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([j for x in lists for j in x], pa.int32()), part.column(0).take(pa.array(rows)),
-                     part.column(1).take(pa.array(rows))], names=["list", "id", "vec"])
+                    [pa.array([j for x in lists for j in x], pa.int32()), pa.array([k for x in lists for k in range(len(x))], pa.int32()),
+                     part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))], names=["list", "place", "id", "vec"])
 
-    return df.mapInArrow(run, "list int, id bigint, vec array<double>")
+    return df.mapInArrow(run, "list int, place int, id bigint, vec array<double>")
 
 
-def _best(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, top: int) -> tuple[list, list, list]:
-    """The ``top`` rows of each query in one group, by exact score and id."""
+def _best(queries: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, rows: np.ndarray, ids: np.ndarray,
+          top: int) -> tuple[list, list, list]:
+    """The ``top`` rows of each query in one group, by exact score and id, as
+    far as they reach its floor."""
     out_q, out_v, out_s = [], [], []
     queries, rows = _scaled(queries), _scaled(rows)
     q_norm, r_norm = (np.sqrt((x * x).sum(axis=1)) for x in (queries, rows))
@@ -195,11 +200,12 @@ def _best(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndar
     rough[q_ids[:, None] == ids[None, :]] = -np.inf
     for i in range(len(queries)):
         r = rough[i]
-        near = np.flatnonzero(np.isfinite(r))
+        near = np.flatnonzero(r >= floors[i] - NEAR)
         if len(near) > top:
             near = near[r[near] >= np.partition(r[near], -top)[-top] - NEAR]
         exact = (queries[i] * rows[near]).sum(axis=1) / (q_norm[i] * r_norm[near])
         order = np.lexsort((ids[near], -exact))[:top]
+        order = order[exact[order] >= floors[i]]
         out_q += [q_ids[i]] * len(order)
         out_v += ids[near][order].tolist()
         out_s += exact[order].tolist()
@@ -225,19 +231,27 @@ def search(vecs: DataFrame, queries: DataFrame, top: int = TOP, *, ratio: float
 
     def dealt(df: DataFrame, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
         df = df.join(blocks, "list").withColumn(own, F.pmod(F.xxhash64("id"), F.col(n_own)).cast("int"))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).select("list", "vb", "qb", "id", "vec")
-
-    left = dealt(posted, "vb", "qb", "nv", "nq")
-    right = dealt(probes, "qb", "vb", "nq", "nv")
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("nv", "nq", "place")
 
     def scan(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, v, s = _best(np.stack(asked["vec"].to_numpy()), asked["id"].to_numpy(), np.stack(rows["vec"].to_numpy()), rows["id"].to_numpy(), top)
+        q, v, s = _best(np.stack(asked["vec"].to_numpy()), asked["id"].to_numpy(), asked["floor"].to_numpy(),
+                        np.stack(rows["vec"].to_numpy()), rows["id"].to_numpy(), top)
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
 
     key = ["list", "vb", "qb"]
-    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(scan, "query_id bigint, vec_id bigint, score double")
-    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+
+    def scanned(asked: DataFrame) -> DataFrame:
+        left, right = dealt(posted, "vb", "qb", "nv", "nq"), dealt(asked, "qb", "vb", "nq", "nv")
+        near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(scan, "query_id bigint, vec_id bigint, score double")
+        return near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    first = materialize_table(scanned(probes.where("place = 0").withColumn("floor", F.lit(-2.0))).withColumn(
+        "rank", F.row_number().over(by_score)).where(F.col("rank") <= top), "nearest")
+    floors = first.where(F.col("rank") == top).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    rest = probes.where("place > 0").join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    near = scanned(rest).unionByName(first.drop("rank")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(by_score)
     return near.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
