@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custlytics.llm.quality_rules import SPACES
+from custlytics.llm.tables import settled
 from custlytics.session import materialize_table
 
 MAX_EDITS, MIN_CHARS = 1, 30
@@ -192,7 +193,7 @@ def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     text = options.get("text", "text")
     out = dedup_lines(docs, **options)
     left = (F.col("n_removed") == 0) | (_trim(F.col(f"`{text}`")) != "")
-    return out.where(left).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return settled(out, docs.columns, "__left", left).where("__left").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def duckdb_sql(table: str = "documents", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> str:

@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from custlytics.llm.tables import settled
+
 #: Word separators (fixed values): the six ASCII white-space characters.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -157,8 +159,9 @@ def measure(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass, with their own columns."""
-    out = with_counts(df, text)
-    return out.where(~base_failed() & (F.size(verdicts(rules)) == 0)).select(*[F.col(f"`{c}`") for c in df.columns])
+    good = ~base_failed() & (F.size(verdicts(rules)) == 0)
+    return settled(with_counts(df, text), df.columns, P + "good", good).where(P + "good").select(
+        *[F.col(f"`{c}`") for c in df.columns])
 
 
 def duckdb_sql(table: str = "documents") -> str:
