@@ -315,10 +315,11 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent
     shared = entries.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("df > 1")
     shared = materialize_table(_with_partner(shared.select("shingle", "node", "n", "pos"), percent), "shared")
     apt = shared.where("partner").drop("partner")
+    held = materialize_table(shared.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("shingle").alias("held")), "held")
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The pairs that share enough prefix shingles, and those that link."""
-        pairs = materialize_table(_promising(pairs, shared, percent), "pairs")
+        pairs = materialize_table(_promising(pairs, held, percent), "pairs")
         who = pairs.select(F.col("probe").alias("node")).union(pairs.select("cand")).distinct()
         ids = who.join(nodes, "node").select(F.col("first_id").alias("doc_id"))
         sets = _sets(_pick(docs, ids), seed, counts).join(who, "node", "left_semi")
@@ -352,15 +353,14 @@ def _with_partner(shared: DataFrame, percent: int) -> DataFrame:
         "shingle", "node", "n", "pos", "partner")
 
 
-def _promising(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+def _promising(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The pairs with enough common prefix shingles.  Of sets that overlap in
     o shingles the k-th common one stands before k + n - o in the order of a
     set of n, so the first o + 1 - ceil(percent * n / 100) of them, n the
     larger size, stand in both prefixes."""
-    a = shared.select(F.col("node").alias("probe"), "shingle", F.col("n").alias("np"))
-    b = shared.select(F.col("node").alias("cand"), "shingle", F.col("n").alias("nc"))
-    common = pairs.join(a, "probe").join(b, ["cand", "shingle"]).groupBy("probe", "cand").agg(
-        F.count(F.lit(1)).alias("common"), F.first("np").alias("np"), F.first("nc").alias("nc"))
+    a = held.select(F.col("node").alias("probe"), F.col("n").alias("np"), F.col("held").alias("hp"))
+    b = held.select(F.col("node").alias("cand"), F.col("n").alias("nc"), F.col("held").alias("hc"))
+    common = pairs.join(a, "probe").join(b, "cand").withColumn("common", F.size(F.array_intersect("hp", "hc")))
     overlap = F.ceil((F.col("np") + F.col("nc")).cast("long") * percent / (100 + percent))
     least = overlap + 1 - F.ceil(F.greatest("np", "nc").cast("long") * percent / 100)
     return common.where(F.col("common") >= least).select("probe", "cand")
