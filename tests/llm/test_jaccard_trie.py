@@ -75,15 +75,15 @@ def test_repeated_and_null_ids(make_docs):
     assert kept == sorted([(3, text), (3, rows[2][1]), (-1, rows[4][1]), (-1, "")])
 
 
-def test_one_large_group_makes_no_square(make_docs, spark):
+def test_a_group_that_shares_all_but_links_nothing(make_docs):
     rng = random.Random(5)
     base = [f"b{i}" for i in range(60)]
     rows = []
-    for i in range(600):
+    for i in range(150):
         copy = list(base)
         copy[rng.randrange(60)] = f"x{i}"
         rows.append((i, " ".join(copy)))
-    assert {c for _, c in found(make_docs(rows)).values()} == set(brute(rows)[k][1] for k in range(600))
+    assert found(make_docs(rows)) == brute(rows)
 
 
 def test_trie_walk_equals_sets():
