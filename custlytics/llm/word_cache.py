@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Words whose ids a worker process remembers; characters of text handled at once.
-CACHE_WORDS, SLICE_CHARS = 1 << 19, 1 << 21
+CACHE_WORDS, SLICE_CHARS = 1 << 20, 1 << 22
 
 
 class WordCache:
