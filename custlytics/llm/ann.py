@@ -159,7 +159,7 @@ def fit(vecs: DataFrame, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_R
     n = vecs.count()
     if not n:
         return None
-    rows = vecs.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vec").toArrow()
+    rows = vecs.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample_rows).select("vec").toArrow()
     flat = rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     sample = _unit(flat.reshape(len(rows), -1))
     return Centroids(sample, max(1, min(MOST_CENTROIDS, n // list_rows)))
@@ -191,9 +191,13 @@ def _route(df: DataFrame, index, choose) -> DataFrame:
 
 def _best(queries: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, rows: np.ndarray, ids: np.ndarray,
           top: int) -> tuple[list, list, list]:
-    """The ``top`` rows of each query in one group, by exact score and id, as
-    far as they reach its floor."""
+    """The ``top`` ids of each query in one group, each at its best row, by
+    exact score and id, as far as they reach its floor."""
     out_q, out_v, out_s = [], [], []
+    order = np.argsort(ids, kind="stable")
+    rows, ids = rows[order], ids[order]
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])    # first row of each id
+    repeated = len(starts) < len(ids)
     queries, rows = _scaled(queries), _scaled(rows)
     q_norm, r_norm = (np.sqrt((x * x).sum(axis=1)) for x in (queries, rows))
     rough = (queries / q_norm[:, None]) @ (rows / r_norm[:, None]).T
@@ -202,9 +206,14 @@ def _best(queries: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, rows: np.n
         r = rough[i]
         near = np.flatnonzero(r >= floors[i] - NEAR)
         if len(near) > top:
-            near = near[r[near] >= np.partition(r[near], -top)[-top] - NEAR]
+            best = np.maximum.reduceat(r, starts) if repeated else r[near]
+            if len(best) > top:
+                near = near[r[near] >= np.partition(best, -top)[-top] - NEAR]
         exact = (queries[i] * rows[near]).sum(axis=1) / (q_norm[i] * r_norm[near])
-        order = np.lexsort((ids[near], -exact))[:top]
+        order = np.lexsort((ids[near], -exact))
+        if repeated:
+            order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])]
+        order = order[:top]
         order = order[exact[order] >= floors[i]]
         out_q += [q_ids[i]] * len(order)
         out_v += ids[near][order].tolist()
@@ -217,6 +226,8 @@ def search(vecs: DataFrame, queries: DataFrame, top: int = TOP, *, ratio: float
     """query_id, rank, vec_id, score: the ``top`` rows of ``vecs`` nearest to
     each row of ``queries`` (both ``vec_id``, ``vec``), other ids only."""
     spark = vecs.sparkSession
+    vecs = materialize_table(vecs.dropDuplicates(["vec_id", "vec"]), "vectors")
+    queries = materialize_table(queries.dropDuplicates(["vec_id", "vec"]), "queries")
     centroids = fit(vecs, sample_rows, list_rows)
     if centroids is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")

@@ -87,3 +87,23 @@ def test_boundary_vectors_are_replicated():
     c = A.Centroids(x, 10)
     lists = c.lists(x, 0.1)
     assert all(p[0] == int(np.argmin(A._distances(v[None], c.c)[0])) for p, v in zip(lists, x)) and sum(len(p) > 1 for p in lists) > 50
+
+
+def test_repeated_rows_do_not_crowd_out_other_ids(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)]
+    once = answers(spark, rows, list_rows=200)
+    near = [(7, list(rows[0][1]))] * 6                       # one id fills a whole cut
+    assert answers(spark, rows * 2, list_rows=400) == answers(spark, rows, list_rows=400) and all(len(x) == 5 for x in once.values())
+    got = answers(spark, [r for r in rows if r[0] != 7] + near, list_rows=400)
+    assert got[0] == answers(spark, [r for r in rows if r[0] != 7] + near[:1], list_rows=400)[0] and len(got[0]) == 5
+
+
+def test_an_id_of_several_vectors_takes_one_place():
+    rng = np.random.default_rng(5)
+    q, others = np.array([[1.0, 0.0, 0.0]]), rng.normal(size=(20, 3))
+    many = np.array([[1.0, 0.001 * k, 0.0] for k in range(8)])
+    ids = np.r_[np.full(8, 100), np.arange(1, 21)]
+    _, got, scores = A._best(q, np.array([0]), np.array([-2.0]), np.concatenate([many, others]), ids, 5)
+    want = sorted([(-1.0, 100)] + [(-cosine(q[0], x), i) for i, x in enumerate(others.tolist(), 1)])[:5]
+    assert got == [i for _, i in want] and scores == pytest.approx([-s for s, _ in want], abs=1e-12)
