@@ -8,7 +8,9 @@ within half that distance of it.  A query finds its lists by
 best-first search in an in-memory graph of centroids and takes all whose
 distance is within ``RATIO`` of the nearest.  The nearest list is scanned
 first; its last rank bounds what the others may add, so they send only rows
-that could enter the result.
+that could enter the result.  Queries that have found fewer than ``top`` ids
+then go to the next nearest lists, ``WIDEN`` times as many each round, until
+they have them or all lists are scanned.
 
 Lists are scanned in blocks: (list, block of vectors, block of queries) is one
 group of bounded size however many vectors or queries a list draws, so a
@@ -42,6 +44,10 @@ BOUNDARY, RATIO, DEGREE = 0.05, 0.25, 16
 #: Vectors and queries of one group.
 VECTOR_BLOCK, QUERY_BLOCK = 512, 1_024
 TOP = 5
+#: Lists of the first round for queries short of results, and the factor of the later ones.
+FIRST_LISTS, WIDEN = 8, 4
+#: Vectors that are routed at once, and most rows these become.
+ROUTE_BLOCK, ROUTE_ROWS = 1_024, 65_536
 NEAR = 1e-9
 
 
@@ -140,6 +146,10 @@ class Centroids:
             look(self.links[j])
         return [j for d, j in sorted(found) if d <= (1 + ratio) * best + 1e-12]
 
+    def nearest(self, x: np.ndarray, start: int, stop: int) -> list[list[int]]:
+        """Lists of each vector from place ``start`` to before ``stop``, by distance."""
+        return np.argsort(_distances(x, self.c), axis=1, kind="stable")[:, start:stop].tolist()
+
     def lists(self, x: np.ndarray, slack: float) -> list[list[int]]:
         """Lists of each vector: the nearest, and boundary replicas."""
         d = _distances(x, self.c)
@@ -169,17 +179,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _route(df: DataFrame, index, choose) -> DataFrame:
+def _route(df: DataFrame, index, choose, step: int = ROUTE_BLOCK) -> DataFrame:
     """(list, place, id, vec): a row for each list that ``choose`` names,
-    nearest first."""
+    nearest first; ``step`` vectors at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = index.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 lists = choose(centroids, _unit(_matrix(part.column(1))))
                 rows = np.repeat(np.arange(part.num_rows), [len(x) for x in lists])
                 yield pa.RecordBatch.from_arrays(
@@ -236,11 +246,13 @@ def search(vecs: DataFrame, queries: DataFrame, top: int = TOP, *, ratio: float
     probes = materialize_table(_route(queries, index, lambda c, x: [c.search(q, ratio) for q in x]), "probes")
 
     # a row a list: into how many blocks its vectors and its queries fall
-    blocks = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / VECTOR_BLOCK).cast("int").alias("nv")).join(
-        probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("nq")), "list")
-    blocks = F.broadcast(materialize_table(blocks, "lists"))
+    sizes = materialize_table(posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / VECTOR_BLOCK).cast("int").alias("nv")), "sizes")
+
+    def blocks_for(probes: DataFrame) -> DataFrame:
+        asked = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("nq"))
+        return F.broadcast(materialize_table(sizes.join(asked, "list"), "lists"))
 
-    def dealt(df: DataFrame, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
+    def dealt(df: DataFrame, blocks: DataFrame, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
         df = df.join(blocks, "list").withColumn(own, F.pmod(F.xxhash64("id"), F.col(n_own)).cast("int"))
         return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("nv", "nq", "place")
 
@@ -253,16 +265,36 @@ def search(vecs: DataFrame, queries: DataFrame, top: int = TOP, *, ratio: float
 
     key = ["list", "vb", "qb"]
 
-    def scanned(asked: DataFrame) -> DataFrame:
-        left, right = dealt(posted, "vb", "qb", "nv", "nq"), dealt(asked, "qb", "vb", "nq", "nv")
+    def scanned(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+        left, right = dealt(posted, blocks, "vb", "qb", "nv", "nq"), dealt(asked, blocks, "qb", "vb", "nq", "nv")
         near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(scan, "query_id bigint, vec_id bigint, score double")
         return near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = materialize_table(scanned(probes.where("place = 0").withColumn("floor", F.lit(-2.0))).withColumn(
-        "rank", F.row_number().over(by_score)).where(F.col("rank") <= top), "nearest")
+
+    def ranked(near: DataFrame) -> DataFrame:
+        return near.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= top)
+
+    def merged(near: DataFrame, found: DataFrame) -> DataFrame:
+        near = near.unionByName(found.drop("rank")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return ranked(near)
+
+    blocks = blocks_for(probes)
+    first = materialize_table(ranked(scanned(probes.where("place = 0").withColumn("floor", F.lit(-2.0)), blocks)), "nearest")
     floors = first.where(F.col("rank") == top).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
     rest = probes.where("place > 0").join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
-    near = scanned(rest).unionByName(first.drop("rank")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(by_score)
-    return near.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    found = materialize_table(merged(scanned(rest, blocks), first), "found")
+
+    # queries short of results go to the next nearest lists, if there are more
+    start, stop, n_lists = 0, FIRST_LISTS, len(centroids.c)
+    while 1 < n_lists and start < n_lists:
+        full = found.where(F.col("rank") == top).select(F.col("query_id").alias("vec_id"))
+        short = materialize_table(queries.join(full, "vec_id", "left_anti"), "short")
+        if short.isEmpty():
+            break
+        step = max(1, min(ROUTE_BLOCK, ROUTE_ROWS // (min(stop, n_lists) - start)))
+        wider = materialize_table(_route(short, index, lambda c, x, a=start, b=stop: c.nearest(x, a, b), step), "wider")
+        asked = wider.withColumn("floor", F.lit(-2.0))
+        found = materialize_table(merged(scanned(asked, blocks_for(wider)), found), "found")
+        start, stop = stop, stop * WIDEN
+    return found.select("query_id", "rank", "vec_id", "score")

@@ -107,3 +107,24 @@ def test_an_id_of_several_vectors_takes_one_place():
     _, got, scores = A._best(q, np.array([0]), np.array([-2.0]), np.concatenate([many, others]), ids, 5)
     want = sorted([(-1.0, 100)] + [(-cosine(q[0], x), i) for i, x in enumerate(others.tolist(), 1)])[:5]
     assert got == [i for _, i in want] and scores == pytest.approx([-s for s, _ in want], abs=1e-12)
+
+
+def test_short_queries_go_to_the_next_lists(spark):
+    rng = random.Random(6)
+    hot = [rng.gauss(0, 1) for _ in range(8)]
+    rows = [(i, list(hot)) for i in range(1, 1500) if i % 50]
+    rows += [(50 * i, [x + rng.gauss(0, 0.01) for x in hot]) for i in range(8)]          # distinct neighbours of the hot vector
+    rows += [(2000 + i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(600)]
+    got = answers(spark, rows, list_rows=50)
+    assert set(got) == {i for i, _ in rows if i % 50 == 0}
+    assert all([r for r, _, _ in x] == [1, 2, 3, 4, 5] for x in got.values())
+
+
+def test_every_list_is_scanned_before_a_query_stays_short(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(0, 60)]
+    alone = answers(spark, rows, list_rows=1, boundary=0.0)  # a list a vector
+    assert set(alone) == {0, 50} and all(len(x) == 5 for x in alone.values())
+    got = answers(spark, rows, list_rows=1, boundary=0.0, top=100)
+    for q, x in got.items():
+        assert [v for _, v, _ in x] == [i for i, _ in sorted(rows, key=lambda r: -cosine(r[1], rows[q][1])) if i != q]
