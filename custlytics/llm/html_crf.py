@@ -10,11 +10,13 @@ is a few hundred weights and is sent to the tasks.
 
 Character references are decoded, white space inside a block becomes one
 space, blocks are joined by one space; comments, scripts, styles and the head
-are never text.
+are never text.  A head without end tag ends at the first tag (or, if no end
+tag follows, text) that cannot stand in it.
 
 Defined results: null and empty pages, and pages without a main block, give an
 empty text; broken markup (unclosed tags, comments or scripts, stray end tags)
-is read to its end; repeated rows are extracted each; other columns are not
+is read to its end: an unclosed script, style or textarea takes the rest of
+the page, other unclosed elements are ordinary tags; repeated rows are extracted each; other columns are not
 read."""
 
 from __future__ import annotations
@@ -44,9 +46,17 @@ ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table"
 FURNITURE = frozenset("""copyright cookie cookies privacy subscribe newsletter comment comments reply share login sign
 password search menu advertisement sponsored terms rights reserved follow email""".split())
 
+#: Elements whose content is not text; without an end tag the first take the rest of the page (fixed values).
+RAW_TAGS = frozenset("script style textarea".split())
+DROPPED_TAGS = RAW_TAGS | frozenset("noscript template svg iframe object title".split())
+#: Elements that can stand in a head (fixed values).
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+END_TAG = {t: re.compile(rf"</{t}\s*>", re.I) for t in (*DROPPED_TAGS, "head")}
+#: Attributes of a start tag that closes itself: the slash is not part of an unquoted value.
+SELF_CLOSED = re.compile(r"(?:[\s/]*+[^\s=/>\"']++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']++))?+)*+\s*+/\s*+\Z")
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|head|iframe|object)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>"
     r"|<[!?/][^>]*+>", re.S | re.I)
@@ -103,16 +113,29 @@ def leaf_blocks(page: str | None) -> list[Block]:
         del stack[at:]
 
     at, page = 0, page or ""
-    for m in TOKEN.finditer(page):
-        text(page[at:m.start()])
-        at = m.end()
-        tag = m[3] or m[6]
-        if tag is None:                                      # comment, raw text, declaration
-            if m[1] and m[1].lower() in BLOCK_TAGS:
-                flush()
+    missing: set[str] = set()                                # no end tag of these follows
+    in_head = in_title = False
+
+    def end_of(tag: str) -> int | None:
+        if tag not in missing:
+            if end := END_TAG[tag].search(page, at):
+                return end.end()
+            missing.add(tag)
+        return len(page) if tag in RAW_TAGS else None
+
+    while m := TOKEN.search(page, at):
+        raw, at = page[at:m.start()], m.end()
+        if in_head and not in_title and raw.strip() and "head" in missing:
+            in_head = False
+        if not in_head:
+            text(raw)
+        tag = m[2] or m[5]
+        if tag is None:                                      # comment, declaration
             continue
         tag = tag.lower()
-        if m[2] or m[5]:                                     # an end tag
+        in_title = False
+        if m[1] or m[4]:                                     # an end tag
+            in_head = in_head and tag in HEAD_TAGS and tag not in ("head", "html")
             if tag in BLOCK_TAGS:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
@@ -122,7 +145,23 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 if tag not in BLOCK_TAGS and stack[k].tag in BLOCK_TAGS:
                     break                                    # a stray inline end tag
             continue
-        attributes = m[4] if m[4] is not None else m[7] or ""
+        if m[2] and tag in DROPPED_TAGS:
+            end = at if tag == "svg" and SELF_CLOSED.match(m[3]) else end_of(tag)
+            if end is not None:
+                if tag in BLOCK_TAGS:
+                    flush()
+                in_head = in_head and tag in HEAD_TAGS
+                at = end
+                continue
+        if tag == "head":
+            in_head = True
+            end_of(tag)
+            continue
+        in_head = in_head and tag in HEAD_TAGS
+        if in_head:
+            in_title = tag == "title"
+            continue
+        attributes = m[3] if m[3] is not None else m[6] or ""
         if tag in BLOCK_TAGS:
             flush()
             until = ENDS.get(tag)
@@ -137,7 +176,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag not in VOID_TAGS:
             stack.append(_Open(tag, attributes))
             links += tag == "a"
-    text(page[at:])
+    if not in_head or "head" in missing and not in_title:
+        text(page[at:])
     flush()
     return blocks
 

@@ -88,3 +88,30 @@ def test_viterbi_is_the_best_sequence(chain):
             return sum(e[i, s] for i, s in enumerate(path)) + chain.first[path[0]] + chain.last[path[-1]] + sum(
                 chain.move[a, b] for a, b in zip(path, path[1:]))
         assert [int(x) for x in chain.viterbi(e)] == list(max(itertools.product((0, 1), repeat=6), key=value))
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>T</title><body><p>Body.</p>", ["Body."]),
+    ("<head><meta charset=utf-8><style>p{}</style><link rel=x><script>'<body>'</script><article>Body.</article>", ["Body."]),
+    ("<head><title>T</title>Body.", ["Body."]),
+    ("<head>left out<title>T</title></head><p>Body.</p>", ["Body."]),
+    ("<head><title>T</title><body><p>Body.</p><script>'</head>'</script><p>More.</p>", ["Body.", "More."]),
+    ("<p>One.<svg class=\"i\"/> Two.</p><p>Three.</p>", ["One. Two.", "Three."]),
+    ("<p>One.<svg/> Two.<svg hidden /> Three.<svg><text>no</text></svg> Four.</p>", ["One. Two. Three. Four."]),
+    ("<p>One.<svg class=i/><text>no</text></svg> Two.</p>", ["One. Two."]),
+    ("<p>One.</p><noscript><p>Two.</p>", ["One.", "Two."]),
+    ("<p>One.</p><template><p>Two.</p><object data=x><p>Three.</p>", ["One.", "Two.", "Three."]),
+    ("<p>One.</p><iframe src=x><p>Two.</p>", ["One.", "Two."]),
+    ("<p>One.</p><iframe>no</iframe><noscript>no</noscript><object>no</object><template>no</template><p>Two.</p>", ["One.", "Two."]),
+    ("<p>One.</p><script>x = '<p>no</p>'", ["One."]),
+    ("<p>One.</p><style>no<p>no</p>", ["One."]),
+])
+def test_elements_without_end_tag_leave_the_rest_of_the_page(page, want):
+    assert [b.text for b in H.leaf_blocks(page)] == want
+
+
+def test_minified_pages_are_extracted(spark, chain):
+    pages = [f"<html><head><title>T</title><body><article><p>{ARTICLE}</p></article>",
+             f"<html><head><title>T</title></head><body><article><svg class=\"i\"/><p>{ARTICLE}</p></article></body></html>"]
+    got = H.extract(spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], PAGES)).collect()
+    assert len(got) == 2 and all(len(value) > 50 for r in got for value in r if isinstance(value, str) and value != "u")
