@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custlytics.llm import (ann, html_crf, jaccard_trie, line_dedup, mixing, quality_rules, sentencepiece_bpe, sharding,
-                            token_orc, toxicity)
+from custlytics.llm import (ann, burst_trie, html_crf, jaccard_trie, line_dedup, merkle, mixing, quality_rules,
+                            sentencepiece_bpe, sharding, token_orc, toxicity, url_filter)
 from custlytics.llm.tables import read_table
-from custlytics.session import scratch_path
+from custlytics.session import materialize_table, scratch_path
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,14 +61,31 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.offsets(spark, path)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = burst_trie.conversations(read_table(spark, sf_dir, "conversations"))
+    return burst_trie.trie(burst_trie.rebuild(materialize_table(convs, "conversations")))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sentencepiece, op2_ann, op3_temperature_mix, op4_jaccard_trie, op5_toxicity, op6_quality_rules,
-        op7_line_dedup, op8_html_crf, op9_extendible_shards, op10_token_orc)}
+        op7_line_dedup, op8_html_crf, op9_extendible_shards, op10_token_orc, op11_merkle_manifest,
+        op12_conversation_trie, op13_url_filter)}
 
 ORACLE: dict[str, str] = {
     "op3_temperature_mix": mixing.duckdb_sql(),
     "op6_quality_rules": quality_rules.duckdb_sql(),
     "op7_line_dedup": line_dedup.duckdb_sql(),
     "op9_extendible_shards": sharding.duckdb_sql(),
+    "op11_merkle_manifest": merkle.duckdb_sql(),
+    "op12_conversation_trie": burst_trie.duckdb_sql(),
+    "op13_url_filter": url_filter.duckdb_sql(),
 }
