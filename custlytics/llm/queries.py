@@ -71,7 +71,7 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return url_filter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
