@@ -114,7 +114,8 @@ def attach(tree: Tree, tops: DataFrame) -> DataFrame:
             step = F.struct(_joined(left).alias("left"), _joined(right).alias("right"))
             found = found.unionByName(node.join(up, inside).select(
                 *[F.col(f"node.{c}") for c in level.columns], F.concat(F.array(step), F.col("up_path")).alias("path"), *more))
-        above = found
+        # a level a job: its plan holds two joins, whatever the height of the tree
+        above = materialize_table(found, "merkle-paths") if height else found
     return above
 
 
@@ -189,7 +190,7 @@ def prove(spark: SparkSession, signed: Manifest) -> DataFrame:
         leaves = signed.sources.levels[0].withColumns({"path": F.expr("cast(null AS array<struct<left: string, right: string>>)"),
                                                        "subroot": F.lit(None).cast("string")})
     else:
-        none = spark.range(1).select(F.lit(0).cast("long").alias("tree"), F.expr("cast(array() AS array<struct<left: string, right: string>>)").alias("path"))
+        none = spark.range(1).select(F.col("id").alias("tree"), F.expr("cast(array() AS array<struct<left: string, right: string>>)").alias("path"))
         up = attach(signed.top, none).select(F.col("lo").alias("tree"), F.col("digest").alias("subroot"), "path")
         leaves = attach(signed.sources, up)
     root = F.lit(signed.root).cast("string")
