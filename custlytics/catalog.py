@@ -19,7 +19,7 @@ from custlytics.operators import views as V
 from custlytics.operators.rank import global_rank
 from custlytics.plans.pushdown import count_through_dimension, distinct_through_dimension
 from custlytics.schemas import TRANSACTIONS
-from custlytics.session import materialize, scratch_path, track
+from custlytics.session import ON_RELEASE, materialize, scratch_path, track
 from custlytics.sources import testdata as TD
 from custlytics.sources import transactions as S
 
@@ -300,11 +300,11 @@ VIEW_FILTER = dict(segments=("High-Value", "At-Risk"), prob=(0.05, 0.95), clv=(1
 
 
 def _pred(spark, sf_dir):
-    # materialised once: every view's filters then push down to its scan
+    # the customer table is written once: scores are a projection of it, and
+    # the views' filters push down to its scan
     base = materialize(E.customer_features(_tx(spark, sf_dir)))
     most = base.agg(F.max("days_since_last_purchase")).first()[0]
-    scored = E.customer_model_base(None, features=base)
-    return materialize(V.churn_scores(scored, max_days=most))
+    return V.churn_scores(E.customer_model_base(None, features=base), max_days=most)
 
 
 @query("segment_options")
@@ -411,7 +411,8 @@ def _model_frame(spark, sf_dir):
 def _eval_frame(spark, sf_dir):
     """Hold-out rows with a deterministic, non-leaking score (1 - lifespan /
     max lifespan) so the evaluation operators are checkable in SQL."""
-    base = materialize(E.customer_model_base(_tx(spark, sf_dir)))
+    base = materialize(E.customer_churn(_tx(spark, sf_dir, lines=False), sort=False).select(
+        "customer_id", "churn_label", "customer_lifespan_days"))
     mx = base.agg(F.max("customer_lifespan_days")).first()[0]
     score = F.lit(1.0) - F.col("customer_lifespan_days").cast("double") / F.lit(mx)
     split = M.stratified_split(base.select("customer_id", "churn_label", score.alias("churn_probability")))
@@ -464,6 +465,7 @@ def q_roc_auc(spark, sf_dir):
 SEARCH_GRID = {"n_estimators": [5, 10], "max_depth": [2, 3], "learning_rate": [0.1],
                "subsample": [1.0], "colsample_bytree": [1.0]}
 _FITTED: dict[tuple[str, str], tuple] = {}
+ON_RELEASE.append(_FITTED.clear)                             # its frame is a scratch folder
 
 
 def _fitted(spark, sf_dir):

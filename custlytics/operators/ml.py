@@ -7,8 +7,8 @@ learning_rate -> stepSize, subsample -> subsamplingRate, colsample_bytree ->
 featureSubsetStrategy (per node in MLlib), scale_pos_weight -> weightCol.
 
 Evaluation never collects predictions: the confusion counts, the report and
-the ROC-AUC (Mann-Whitney over per-score counts with a distributed running
-sum) are DataFrame aggregations."""
+the ROC-AUC (Mann-Whitney over per-score counts, bucket by bucket) are
+DataFrame aggregations."""
 
 from __future__ import annotations
 
@@ -23,11 +23,10 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from custlytics.functions.money import from_micros, half_up_div
-from custlytics.operators.rank import global_running_sum
 from custlytics.operators.select import after, boundaries
 from custlytics.schemas import FEATURES, LABEL
 
@@ -257,22 +256,65 @@ def roc_auc(pred: DataFrame, label: str = LABEL, score_col: str = "churn_probabi
     """ROC-AUC as the Mann-Whitney statistic (ties count one half),
     rounded half-up from exact integers.
 
-    Scores are first reduced to (score, positives, negatives); the count of
-    negatives below each score is a distributed global running sum, so there
-    is no one-task window and no collect."""
+    Scores are reduced to (score, positives, negatives) and dealt to buckets
+    of ascending scores.  Negatives below a score are those of earlier buckets
+    (one small table) and those below it in its own bucket: no sort of all
+    scores, nothing written, nothing collected but the buckets' bounds."""
     per = pred.groupBy(F.col(score_col).alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
-    return auc_of_counts(per, "_s", "_pos", "_neg", decimals, partitions)
+    return auc_of_counts(per, "_s", "_pos", "_neg", decimals, partitions, _bounds(pred, score_col))
+
+
+#: Buckets of scores: AUC_BUCKETS groups of AUC_BUCKETS each.
+AUC_BUCKETS = 16
+
+
+def _bounds(df: DataFrame, score_col: str) -> list[float]:
+    """Approximate quantiles of the scores, ascending (one aggregate)."""
+    n = AUC_BUCKETS * AUC_BUCKETS
+    shares = ", ".join(f"{i / n}D" for i in range(1, n))
+    got = df.select(F.col(score_col).cast("double").alias("s")).agg(F.expr(f"percentile_approx(s, array({shares}), {10 * n})")).first()[0]
+    return sorted(x for x in got or [] if not math.isnan(x))
+
+
+def _bucket(score: Column, bounds: Sequence[float]) -> Column:
+    """How many of the ascending bounds lie below a score (null: none), by
+    comparison with every AUC_BUCKETS-th first and then with those between."""
+    if not bounds:
+        return F.lit(0)
+    groups = [bounds[at:at + AUC_BUCKETS] for at in range(0, len(bounds), AUC_BUCKETS)]
+
+    def listed(xs):
+        return "array(" + ", ".join(f"CAST('{x}' AS DOUBLE)" for x in xs) + ")"
+
+    first, every = listed([g[0] for g in groups[1:]]) if groups[1:] else "array(CAST('Infinity' AS DOUBLE))", ", ".join(listed(g) for g in groups)
+    past = F.size(F.filter(F.expr(first), lambda b: score > b))
+    fine = F.size(F.filter(F.element_at(F.expr(f"array({every})"), past + 1), lambda b: score > b))
+    return past * AUC_BUCKETS + fine
 
 
 def auc_of_counts(per: DataFrame, score_col: str, pos: str, neg: str, decimals: int = 4,
-                  partitions: int | None = None) -> DataFrame:
-    """F9 from one row a score with its positives and negatives."""
-    per = per.select(F.col(score_col).alias("_s"), F.col(pos).alias("_pos"), F.col(neg).alias("_neg"))
-    run = global_running_sum(per, ["_s"], {"_below": F.col("_neg")}, inclusive=False, partitions=partitions)
-    tot = run.agg(
-        F.sum(F.col("_pos").cast("decimal(19,0)") * (2 * F.col("_below") + F.col("_neg")).cast("decimal(19,0)")).alias("_num2"),
-        F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"))
+                  partitions: int | None = None, bounds: Sequence[float] | None = None) -> DataFrame:
+    """F9 from one row a score with its positives and negatives;
+    ``partitions`` fixes the tasks that the buckets are dealt over."""
+    bounds = _bounds(per, score_col) if bounds is None else bounds
+    per = per.select(F.col(score_col).alias("_s"), F.col(pos).alias("_pos"), F.col(neg).alias("_neg"),
+                     _bucket(F.col(score_col).cast("double"), bounds).alias("_bucket"))
+    per = per.repartition(partitions, "_bucket") if partitions else per
+    inside = Window.partitionBy("_bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_within", F.coalesce(F.sum("_neg").over(inside), F.lit(0)))
+    # one row a bucket: its negatives, and twice the pairs of its positives with negatives of its own
+    dec = lambda c: c.cast("decimal(19,0)")
+    buckets = per.groupBy("_bucket").agg(
+        F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"), F.sum(dec(F.col("_pos")) * dec(2 * F.col("_within") + F.col("_neg"))).alias("_own"))
+    whole = buckets.agg(F.sort_array(F.collect_list(F.struct("_bucket", "_p", "_n", "_own"))).alias("_b"))   # AUC_BUCKETS^2 + 1 rows at most
+    wide = "decimal(38,0)"
+    step = lambda a, b: F.struct(                            # noqa: E731
+        (a["below"] + b["_n"]).cast(wide).alias("below"), (a["pos"] + b["_p"]).cast(wide).alias("pos"),
+        (a["num2"] + b["_own"] + 2 * dec(b["_p"]) * dec(a["below"])).cast(wide).alias("num2"))
+    start = F.struct(*[F.lit(0).cast(wide).alias(c) for c in ("below", "pos", "num2")])
+    tot = whole.select(F.aggregate("_b", start, step).alias("t")).select(
+        F.col("t.pos").alias("positives"), F.col("t.below").alias("negatives"), F.col("t.num2").alias("_num2"))
     # each factor as a decimal: the product of two counts leaves 64 bits
     den = (F.col("positives").cast("decimal(19,0)") * F.col("negatives").cast("decimal(18,0)") * 2).cast("decimal(38,0)")
     scale = 10 ** decimals

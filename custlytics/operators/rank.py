@@ -29,6 +29,8 @@ from custlytics.operators.select import locate
 from custlytics.session import materialize_table
 
 POSITION_BITS = 33          # monotonically_increasing_id: record number bits
+#: Groups of which quantiles are located on the driver.
+MOST_GROUPS = 1_000
 
 OrderSpec = Sequence["str | tuple[str, bool] | tuple[str, str]"]
 
@@ -139,12 +141,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
 
     The two values around each quantile are found by counting
     (:mod:`custlytics.operators.select`): no sort, no shuffle of rows, and a
-    hot group costs no more than any other.  Groups are few: one row each is
-    collected."""
+    hot group costs no more than any other.  That takes a few collected rows a
+    group; beyond ``MOST_GROUPS`` groups each is aggregated by Spark's own
+    ``percentile``, which counts a group's distinct values."""
     by = list(by)
     base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
-    sizes = {tuple(r[c] for c in by): r["__n"] for r in base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).collect()}
-    sizes = {g: n for g, n in sizes.items() if n}
+    counted = base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).limit(MOST_GROUPS + 1).collect()
+    if len(counted) > MOST_GROUPS:
+        return base.groupBy(*by).agg(*[F.percentile("__v", float(p)).alias(f"q{i}") for i, p in enumerate(probs)])
+    sizes = {tuple(r[c] for c in by): r["__n"] for r in counted if r["__n"]}
     wanted = {g: sorted({at for p in probs for at in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}) for g, n in sizes.items()}
     found = locate(base, "__v", wanted, sizes, by)
     rows = []

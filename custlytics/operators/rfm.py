@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from custlytics.functions.dates import day
 from custlytics.functions.money import cents, exact_mean, from_cents, money_units, units_to_cents
 from custlytics.operators.rank import check_unique_edges, rank_quantile_edges, score_by_edges
-from custlytics.operators.select import after, boundaries
+from custlytics.operators.select import after, find
 from custlytics.schemas import TX, TxCols
 from custlytics.session import materialize
 
@@ -147,17 +147,24 @@ def rfm_score(r="r_score", f="f_score", m="m_score") -> Column:
     return F.concat(*[F.col(c).cast("string") for c in (r, f, m)])
 
 
-def quartile_cut(df: DataFrame, order, n: int, labels: Sequence[int] = RANK_LABELS) -> Column:
-    """C3/C4 without ranking: the quartile bin of a row's place in ``order``.
+def quartile_cuts(df: DataFrame, orders, n: int, labels: Sequence[int] = RANK_LABELS) -> list[Column]:
+    """C3/C4 without ranking: for each order the quartile bin of a row's place.
 
     A rank lies past the edge ``1 + (n-1)p`` exactly when its row comes after
-    the row at position ``floor((n-1)p)``, so three boundary rows are located
-    and every row is compared with them in a projection."""
+    the row at position ``floor((n-1)p)``, so three boundary rows an order are
+    located, all in the same jobs, and every row is compared with them in a
+    projection."""
     check_unique_edges([1.0, *rank_quantile_edges(n, QUARTILES), float(n)], "raise")
     places = [math.floor((n - 1) * p) for p in QUARTILES]
-    found = boundaries(df, order, {(): sorted(set(places))}, {(): n})
-    above = sum((after(df, order, found[(), at]).cast("int") for at in places), F.lit(0))
-    return F.element_at(F.array(*[F.lit(int(x)) for x in labels]), above + 1)
+    named = {str(i): order for i, order in enumerate(orders)}
+    found = find(df, named, {o: {(): sorted(set(places))} for o in named}, {(): n})
+    above = [sum((after(df, order, found[o, (), at][0]).cast("int") for at in places), F.lit(0)) for o, order in named.items()]
+    return [F.element_at(F.array(*[F.lit(int(x)) for x in labels]), a + 1) for a in above]
+
+
+def quartile_cut(df: DataFrame, order, n: int, labels: Sequence[int] = RANK_LABELS) -> Column:
+    """C3/C4 of one order."""
+    return quartile_cuts(df, [order], n, labels)[0]
 
 
 def score_customers(features: DataFrame, duplicates: str = "raise", materialized: bool = False) -> DataFrame:
@@ -172,8 +179,8 @@ def score_customers(features: DataFrame, duplicates: str = "raise", materialized
         empty = {c: F.lit(None).cast("int") for c in ("r_score", "f_score", "m_score")}
         return base.withColumns({**empty, "rfm_score": F.lit(None).cast("string"), "segment": F.lit(None).cast("string")})
     r = quartile_score("recency", edges, RECENCY_LABELS, duplicates) if edges else F.lit(None).cast("int")
-    out = base.withColumns({"r_score": r, "f_score": quartile_cut(base, FREQUENCY_ORDER, n),
-                            "m_score": quartile_cut(base, MONETARY_ORDER, n)})
+    f, m = quartile_cuts(base, [FREQUENCY_ORDER, MONETARY_ORDER], n)
+    out = base.withColumns({"r_score": r, "f_score": f, "m_score": m})
     return out.withColumns({"rfm_score": rfm_score(), "segment": assign_segment()})
 
 

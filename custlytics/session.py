@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,11 +88,17 @@ def scratch_mark(spark: SparkSession) -> int:
     return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
 
 
+#: Called before scratch folders go: holders of frames read from them let go.
+ON_RELEASE: list[Callable[[], None]] = []
+
+
 def release_scratch(spark: SparkSession, since: int = 0) -> int:
     """Delete the scratch folders this application wrote (and only those; from
     a ``scratch_mark`` on if given), e.g. at the end of a long-running job.
     DataFrames read from them must not be used afterwards.  Returns the number
     of folders removed."""
+    for forget in ON_RELEASE:
+        forget()
     paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
     _WRITTEN[spark.sparkContext.applicationId], paths = paths[:since], paths[since:]
     jvm = spark.sparkContext._jvm
