@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from custlytics.operators.boosting import BoostedTrees
 from custlytics.operators.rank import exact_quantiles
 from custlytics.schemas import FEATURES
 from custlytics.session import scratch_path, track
@@ -92,6 +93,27 @@ def tree_leaves(gbt_model, spark=None) -> tuple[list[Leaf], float]:
     return leaves, expected
 
 
+def boosted_leaves(model: BoostedTrees) -> tuple[list[Leaf], float]:
+    """The same of second-order trees; cover is a node's hessian."""
+    trees: dict[int, dict[int, tuple]] = {}
+    for t, k, f, limit, value, cover in model.nodes():
+        trees.setdefault(t, {})[k] = (f, limit, value, cover)
+    leaves: list[Leaf] = []
+    for nodes in trees.values():
+        def walk(k, per, share):
+            f, limit, value, cover = nodes[k]
+            if f < 0:
+                leaves.append(Leaf(value, list(per), [per[x][0] for x in per], [per[x][1] for x in per], share))
+                return
+            for child, left in ((2 * k + 1, True), (2 * k + 2, False)):
+                ratio = nodes[child][3] / cover
+                tests, z = per.get(f, ([], 1.0))
+                walk(child, {**per, f: (tests + [(limit, left)], z * ratio)}, share * ratio)
+
+        walk(0, {}, 1.0)
+    return leaves, sum(leaf.value * leaf.cover for leaf in leaves)
+
+
 def _shapley_weights(p: int) -> np.ndarray:
     return np.array([math.factorial(s) * math.factorial(p - s - 1) / math.factorial(p) for s in range(p)])
 
@@ -130,10 +152,12 @@ def attributions_matrix(x: np.ndarray, leaves: Sequence[Leaf], n_features: int)
 def tree_attributions(model, df: DataFrame, features: Sequence[str] = FEATURES,
                       id_col: str = "customer_id") -> DataFrame:
     """long table (id, feature, value, attribution) for every row of
-    ``df``.  ``model`` is a fitted PipelineModel whose last stage is the GBT
-    (or the GBT model itself)."""
-    gbt = model.stages[-1] if hasattr(model, "stages") else model
-    leaves, expected = tree_leaves(gbt, df.sparkSession)
+    ``df``.  ``model`` holds second-order trees, or is a fitted PipelineModel
+    whose last stage is the GBT (or the GBT model itself)."""
+    if isinstance(model, BoostedTrees):
+        leaves, expected = boosted_leaves(model)
+    else:
+        leaves, expected = tree_leaves(model.stages[-1] if hasattr(model, "stages") else model, df.sparkSession)
     feats = list(features)
 
     def run(batches):

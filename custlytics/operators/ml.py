@@ -1,10 +1,13 @@
 """Churn model: features, stratified split, class weight, boosted trees with
 random search, scoring and evaluation (F1-F11).
 
-The learner is MLlib's ``GBTClassifier`` (logistic loss); the reference's
-parameter names map as n_estimators -> maxIter, max_depth -> maxDepth,
-learning_rate -> stepSize, subsample -> subsamplingRate, colsample_bytree ->
-featureSubsetStrategy (per node in MLlib), scale_pos_weight -> weightCol.
+Two learners: second-order boosted trees (:mod:`custlytics.operators.boosting`),
+which grow all candidates of a search side by side, and MLlib's
+``GBTClassifier`` (logistic loss), where the parameter names map as
+n_estimators -> maxIter, max_depth -> maxDepth, learning_rate -> stepSize,
+subsample -> subsamplingRate, colsample_bytree -> featureSubsetStrategy (per
+node in MLlib), scale_pos_weight -> weightCol.  Both score, save and load
+through the same functions.
 
 Evaluation never collects predictions: the confusion counts, the report and
 the ROC-AUC (Mann-Whitney over per-score counts, bucket by bucket) are
@@ -16,19 +19,21 @@ import itertools
 import math
 import random
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from custlytics.functions.money import from_micros, half_up_div
+from custlytics.operators.boosting import BoostedTrees, Setting, fit_many, held_out_margins
 from custlytics.operators.select import after, boundaries
 from custlytics.schemas import FEATURES, LABEL
+from custlytics.session import materialize_table
 
 # ---- fixed values (must equal the reference for identical results) --------
 TEST_FRACTION = 0.2
@@ -148,22 +153,58 @@ def sample_param_grid(grid: Mapping[str, Sequence] = PARAM_GRID, n_iter: int = S
     return rng.sample(combos, min(n_iter, len(combos)))
 
 
-def random_search(train: DataFrame, grid: Mapping[str, Sequence] = PARAM_GRID,
-                  n_iter: int = SEARCH_ITERATIONS, folds: int = CV_FOLDS, seed: int = SEED,
-                  parallelism: int = 2, features: Sequence[str] = FEATURES, label: str = LABEL):
+@dataclass
+class Search:
+    """A finished random search: the best setting's model fitted on all
+    training rows, (setting, mean AUC) of every draw, and each training row's
+    margin under the models that did not see it (model, label, margin; model =
+    draw * folds + fold)."""
+    best: BoostedTrees
+    tried: list[tuple[dict, float]]
+    held_out: DataFrame
+
+
+def search(train: DataFrame, grid: Mapping[str, Sequence] = PARAM_GRID, n_iter: int = SEARCH_ITERATIONS,
+           folds: int = CV_FOLDS, seed: int = SEED, features: Sequence[str] = FEATURES, label: str = LABEL,
+           id_col: str = "customer_id") -> Search:
     """random search over the grid with stratified folds (``fold`` from
-    ``stratified_split``), scored by ROC-AUC; the best setting is refitted on
-    all training rows.  Returns (best PipelineModel, list of (params, auc))."""
-    pipe, gbt = churn_classifier(features, label, seed=seed)
+    ``stratified_split``), scored by ROC-AUC.
+
+    The models of all draws and folds and a refit of every draw on all rows
+    are grown in the same passes; the held-out scores come from the margins
+    that growing kept.  Ties go to the earlier draw."""
     draws = sample_param_grid(grid, n_iter, seed)
-    maps = []
-    for d in draws:
-        maps.append({getattr(gbt, k): v for k, v in _gbt_params(d).items()})
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
-                        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0),
-                        foldCol="fold", numFolds=folds, parallelism=parallelism, seed=seed)
-    model = cv.fit(with_weight(train, label))
-    return model.bestModel, list(zip(draws, model.avgMetrics))
+    settings = [Setting(**d, fold=f, seed=seed) for d in draws for f in range(folds)]
+    ratio = class_weight(train, label).first()["scale_pos_weight"]
+    weight = F.when(F.col(label) == 1, F.lit(1.0 if ratio is None else ratio)).otherwise(F.lit(1.0))
+    refits = [Setting(**d, seed=seed) for d in draws]
+    models, state = fit_many(train, settings + refits, features=features, label=label, id_col=id_col, weight=weight)
+    held = materialize_table(held_out_margins(state, settings), "held-out")
+    per = held.groupBy("model", "margin").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    aucs = {r["model"]: r["roc_auc"] for r in auc_of_counts(
+        per, "margin", "pos", "neg", 6, bounds=_bounds(held, "margin"), by=["model"]).collect()}   # a row a model
+    tried = []
+    for i, d in enumerate(draws):
+        mine = [a for f in range(folds) if (a := aucs.get(i * folds + f)) is not None]
+        tried.append((d, sum(mine) / len(mine) if mine else 0.0))
+    best = max(range(len(draws)), key=lambda i: (tried[i][1], -i))
+    return Search(models[len(settings) + best], tried, held)
+
+
+def random_search(train: DataFrame, grid: Mapping[str, Sequence] = PARAM_GRID, n_iter: int = SEARCH_ITERATIONS, **options):
+    """(best model, list of (setting, mean AUC))."""
+    done = search(train, grid, n_iter, **options)
+    return done.best, done.tried
+
+
+def fit_boosted_trees(train: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL, seed: int = SEED,
+                      id_col: str = "customer_id", **params) -> BoostedTrees:
+    """one second-order model, classes weighted by their ratio."""
+    ratio = class_weight(train, label).first()["scale_pos_weight"]
+    weight = F.when(F.col(label) == 1, F.lit(1.0 if ratio is None else ratio)).otherwise(F.lit(1.0))
+    train = train if "fold" in train.columns else train.withColumn("fold", F.lit(None).cast("int"))
+    models, _ = fit_many(train, [Setting(**params, seed=seed)], features=features, label=label, id_col=id_col, weight=weight)
+    return models[0]
 
 
 def fit_churn_model(train: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL,
@@ -172,15 +213,17 @@ def fit_churn_model(train: DataFrame, features: Sequence[str] = FEATURES, label:
     return pipe.fit(with_weight(train, label))
 
 
-def score(model: PipelineModel, df: DataFrame, prob_col: str = "churn_probability") -> DataFrame:
+def score(model: PipelineModel | BoostedTrees, df: DataFrame, prob_col: str = "churn_probability") -> DataFrame:
     """predicted class and positive-class probability."""
+    if isinstance(model, BoostedTrees):
+        return model.transform(df, prob_col)
     out = model.transform(df)
     return (out.withColumn(prob_col, vector_to_array(F.col("probability"))[1])
             .withColumn("prediction", F.col("prediction").cast("int"))
             .drop("features", "rawPrediction", "probability"))
 
 
-def churn_predictions(model: PipelineModel, base: DataFrame, features: Sequence[str] = FEATURES,
+def churn_predictions(model: PipelineModel | BoostedTrees, base: DataFrame, features: Sequence[str] = FEATURES,
                       label: str = LABEL) -> DataFrame:
     """every customer scored; id, segment, label, probability, CLV and
     the features (CLV once).  The columns ride through the model: no join."""
@@ -189,14 +232,21 @@ def churn_predictions(model: PipelineModel, base: DataFrame, features: Sequence[
     return score(model, feats).select("customer_id", "segment", label, "clv_proxy", *rest, "churn_probability", "prediction")
 
 
-def save_model(model: PipelineModel, path: str) -> str:
+def save_model(model: PipelineModel | BoostedTrees, path: str) -> str:
     """F11"""
+    if isinstance(model, BoostedTrees):
+        return model.save(SparkSession.active(), path)
     model.write().overwrite().save(path)
     return path
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> PipelineModel | BoostedTrees:
+    """either learner's model; MLlib's folders hold ``metadata``."""
+    spark = SparkSession.active()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return PipelineModel.load(path)
+    return BoostedTrees.load(spark, path)
 
 
 # -------------------------------------------------------------- evaluation
@@ -294,32 +344,32 @@ def _bucket(score: Column, bounds: Sequence[float]) -> Column:
 
 
 def auc_of_counts(per: DataFrame, score_col: str, pos: str, neg: str, decimals: int = 4,
-                  partitions: int | None = None, bounds: Sequence[float] | None = None) -> DataFrame:
-    """F9 from one row a score with its positives and negatives;
-    ``partitions`` fixes the tasks that the buckets are dealt over."""
+                  partitions: int | None = None, bounds: Sequence[float] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """F9 from one row a score with its positives and negatives, for each group
+    of ``by``; ``partitions`` fixes the tasks that the buckets are dealt over."""
     bounds = _bounds(per, score_col) if bounds is None else bounds
-    per = per.select(F.col(score_col).alias("_s"), F.col(pos).alias("_pos"), F.col(neg).alias("_neg"),
+    per = per.select(*by, F.col(score_col).alias("_s"), F.col(pos).alias("_pos"), F.col(neg).alias("_neg"),
                      _bucket(F.col(score_col).cast("double"), bounds).alias("_bucket"))
-    per = per.repartition(partitions, "_bucket") if partitions else per
-    inside = Window.partitionBy("_bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.repartition(partitions, *by, "_bucket") if partitions else per
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_within", F.coalesce(F.sum("_neg").over(inside), F.lit(0)))
     # one row a bucket: its negatives, and twice the pairs of its positives with negatives of its own
     dec = lambda c: c.cast("decimal(19,0)")
-    buckets = per.groupBy("_bucket").agg(
+    buckets = per.groupBy(*by, "_bucket").agg(
         F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"), F.sum(dec(F.col("_pos")) * dec(2 * F.col("_within") + F.col("_neg"))).alias("_own"))
-    whole = buckets.agg(F.sort_array(F.collect_list(F.struct("_bucket", "_p", "_n", "_own"))).alias("_b"))   # AUC_BUCKETS^2 + 1 rows at most
+    whole = buckets.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_bucket", "_p", "_n", "_own"))).alias("_b"))   # AUC_BUCKETS^2 + 1 rows at most
     wide = "decimal(38,0)"
     step = lambda a, b: F.struct(                            # noqa: E731
         (a["below"] + b["_n"]).cast(wide).alias("below"), (a["pos"] + b["_p"]).cast(wide).alias("pos"),
         (a["num2"] + b["_own"] + 2 * dec(b["_p"]) * dec(a["below"])).cast(wide).alias("num2"))
     start = F.struct(*[F.lit(0).cast(wide).alias(c) for c in ("below", "pos", "num2")])
-    tot = whole.select(F.aggregate("_b", start, step).alias("t")).select(
-        F.col("t.pos").alias("positives"), F.col("t.below").alias("negatives"), F.col("t.num2").alias("_num2"))
+    tot = whole.select(*by, F.aggregate("_b", start, step).alias("t")).select(
+        *by, F.col("t.pos").alias("positives"), F.col("t.below").alias("negatives"), F.col("t.num2").alias("_num2"))
     # each factor as a decimal: the product of two counts leaves 64 bits
     den = (F.col("positives").cast("decimal(19,0)") * F.col("negatives").cast("decimal(18,0)") * 2).cast("decimal(38,0)")
     scale = 10 ** decimals
     auc = F.when(den > 0, from_micros(half_up_div(F.col("_num2") * scale, den), scale))
-    return tot.select(auc.alias("roc_auc"), F.col("positives").cast("bigint").alias("positives"),
+    return tot.select(*by, auc.alias("roc_auc"), F.col("positives").cast("bigint").alias("positives"),
                       F.col("negatives").cast("bigint").alias("negatives"))
 
 

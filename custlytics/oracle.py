@@ -5,6 +5,7 @@ derivation from the raw test tables."""
 
 from __future__ import annotations
 
+from custlytics.operators.ml import sample_param_grid
 from custlytics.schemas import FEATURES
 
 ORACLE: dict[str, str] = {}
@@ -486,3 +487,8 @@ ORACLE["tree_attributions_check"] = with_(TX, CHURN) + \
     "SELECT COUNT(*) AS customers, 0::BIGINT AS bad_sum, 0::BIGINT AS bad_features FROM churn"
 ORACLE["attribution_summary_check"] = "SELECT unnest([" + ", ".join(f"'{f}'" for f in FEATURES) + \
     "]) AS feature, true AS ordered, true AS same_mean"
+ORACLE["churn_model_search_check"] = with_(TX, CHURN, SPLIT) + "SELECT candidate, params, (SELECT COUNT(*) FROM split WHERE split = 'train') AS rows, true AS same_auc FROM (VALUES " + \
+    ", ".join(f"({i}, '{', '.join(f'{k}={v}' for k, v in sorted(p.items()))}')" for i, p in enumerate(sample_param_grid())) + ") AS c(candidate, params)"
+ORACLE["boosted_model_roundtrip"] = with_(TX, CHURN) + \
+    "SELECT COUNT(*) AS customers, 0::BIGINT AS other_score, 0::BIGINT AS bad_sum, 0::BIGINT AS bad_probability FROM churn"
+ORACLE["churn_model_roundtrip"] = with_(TX, CHURN) + "SELECT COUNT(*) AS customers, 0::BIGINT AS other_score FROM churn"

@@ -87,7 +87,7 @@ def test_command_line_model_reports(spark, tmp_out):
     for name, n in [("model_search", 1), ("classification_report", 5), ("confusion_matrix", 4), ("roc_auc", 1), ("attribution_summary", 12)]:
         assert S.read_result(spark, f"{tmp_out}/out/{name}").count() == n
     from custlytics.operators.ml import load_model
-    assert load_model(f"{tmp_out}/out/model").stages
+    assert len(load_model(f"{tmp_out}/out/model").trees.feature) == 10
 
 
 def test_command_line_on_an_empty_table(spark, tmp_out, capsys):
