@@ -43,12 +43,18 @@ def _show(value) -> str:
 
 
 def run_validate(spark, args) -> int:
-    from custlytics.operators.quality import run_checks, run_validation
     from custlytics.session import release_scratch, scratch_mark
     mark = scratch_mark(spark)
-    tx = _load(spark, args.tx, args.fmt)
+    try:
+        return _validate(_load(spark, args.tx, args.fmt), args.preview)
+    finally:
+        release_scratch(spark, mark)
+
+
+def _validate(tx, preview: int) -> int:
+    from custlytics.operators.quality import run_checks, run_validation
     failed = False
-    for c in run_checks(tx, preview=args.preview):
+    for c in run_checks(tx, preview=preview):
         if c.error:
             failed = True
             print(f"[{c.name}] ERROR {c.error}")
@@ -58,10 +64,14 @@ def run_validate(spark, args) -> int:
             print("   " + " | ".join(_show(v) for v in r))
         if c.total > len(c.rows):
             print(f"   ... {c.total - len(c.rows)} more of {c.total} rows")
-    for r in run_validation(tx).orderBy("check_no", "metric").collect():
+    try:
+        summary = run_validation(tx).orderBy("check_no", "metric").collect()
+    except Exception as e:  # noqa: BLE001 -- the checks above stand without the summary
+        print(f"[summary] ERROR {type(e).__name__}: {str(e).splitlines()[0][:200]}")
+        return 1
+    for r in summary:
         failed |= r.status == "FAIL"
         print(f"{r.check_no:>2} {r.check_name:<26} {r.metric:<32} {_show(r.value):>14} {r.status}")
-    release_scratch(spark, mark)
     return 1 if failed else 0
 
 
@@ -88,18 +98,21 @@ def _model_results(spark, base, out: str, args) -> dict:
     }
 
 
-CHURN_COLUMNS = ("customer_id", "first_purchase_date", "last_purchase_date", "total_transactions", "total_spend",
-                 "avg_order_value", "quantity_total", "discount_usage_rate", "active_months", "customer_lifespan_days",
-                 "days_since_last_purchase", "churn_label", "clv_proxy", "transactions_last_90_days", "spend_last_90_days")
+def run_reports(spark, args) -> int:
+    from custlytics.session import release_scratch, scratch_mark
+    mark = scratch_mark(spark)
+    try:
+        return _reports(spark, args)
+    finally:
+        release_scratch(spark, mark)
 
 
-def run_reports(spark, args) -> int:
+def _reports(spark, args) -> int:
     from pyspark.sql import functions as F
 
     from custlytics.operators import cohort, customer, rfm
-    from custlytics.session import materialize, release_scratch, scratch_mark
+    from custlytics.session import materialize
     from custlytics.sources.transactions import write_result
-    mark = scratch_mark(spark)
     tx = _load(spark, args.tx, args.fmt)
     out = args.out.rstrip("/")
     # one customer aggregate feeds RFM, segments, churn and the model base
@@ -110,14 +123,13 @@ def run_reports(spark, args) -> int:
         "segments": segments,
         "segment_summary": rfm.segment_summary(segments),
         "cohort_retention": cohort.cohort_retention(tx),
-        "customer_churn": base.select(*CHURN_COLUMNS).orderBy("customer_id"),
+        "customer_churn": base.drop(*customer.SCORE_COLUMNS).orderBy("customer_id"),
         "model_base": base,
     }
     if args.model:
         results.update(_model_results(spark, base, out, args))
     for name, df in results.items():
         print(name, "->", write_result(df, f"{out}/{name}", fmt=args.out_fmt))
-    release_scratch(spark, mark)
     return 0
 
 

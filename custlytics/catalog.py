@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
@@ -20,6 +21,7 @@ from custlytics.operators.rank import global_rank
 from custlytics.plans.pushdown import count_through_dimension, distinct_through_dimension
 from custlytics.schemas import TRANSACTIONS
 from custlytics.session import ON_RELEASE, materialize, scratch_path, track
+from custlytics.sources import tables as TB
 from custlytics.sources import testdata as TD
 from custlytics.sources import transactions as S
 
@@ -664,6 +666,46 @@ def q_table_roundtrip(spark, sf_dir):
     return S.load_transactions(spark, path)
 
 
+@query("replaced_table")
+def q_replaced_table(spark, sf_dir):
+    """A2-A4: a table replaced twice; what the writing job counted and what the current version holds."""
+    path, tx = _scratch(spark, "replaced"), _tx(spark, sf_dir)
+    TB.replace_table(tx.where(F.col("channel").isNull()), path)
+    told = TB.replace_table(tx, path)
+    now = TB.load_table(spark, path)
+    return now.agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(told.rows).cast("bigint").alias("written"),
+        F.lit(told.nulls["quantity"]).cast("bigint").alias("null_quantity"), F.lit(told.nulls["customer_id"]).cast("bigint").alias("null_customer"),
+        F.lit(told.non_positive["order_value"]).cast("bigint").alias("low_value"), F.lit(told.first).alias("first"), F.lit(told.last).alias("last"))
+
+
+@query("bucketed_rfm")
+def q_bucketed_rfm(spark, sf_dir):
+    """RFM over a table bucketed by customer, without an exchange."""
+    name = f"custlytics_tx_{uuid.uuid4().hex[:8]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return R.rfm(TB.write_by_customer(_tx(spark, sf_dir), name, buckets, _scratch(spark, "bucketed")), sort=False)
+
+
+MONTH_RANGES = ((None, None), ("1996-01", "1996-12"), ("1995-03", "1998-02"), ("2001-08", "2001-08"))
+
+
+@query("customers_by_range")
+def q_customers_by_range(spark, sf_dir):
+    """Distinct customers of month ranges from monthly sketches, against the exact count."""
+    tx = _tx(spark, sf_dir, lines=False)
+    sketches = materialize(TB.customer_sketches(tx))
+    month = F.date_format("transaction_date", "yyyy-MM")
+    out = None
+    for i, (first, last) in enumerate(MONTH_RANGES):
+        inside = (month >= first if first else F.lit(True)) & (month <= last if last else F.lit(True))
+        exact = tx.where(inside).agg(F.count_distinct("customer_id").alias("exact"))
+        one = exact.join(F.broadcast(TB.customers_between(sketches, first, last)), F.lit(True)).select(   # one row each
+            F.lit(i).alias("range"), "exact", "rows", TB.within_error(F.col("customers"), F.col("exact")).alias("within_error"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("result_roundtrip")
 def q_result_roundtrip(spark, sf_dir):
     """A result as CSV, reloaded with its types."""
@@ -673,15 +715,22 @@ def q_result_roundtrip(spark, sf_dir):
 
 @query("report_batch")
 def q_report_batch(spark, sf_dir):
-    """Rows of every report of a batch, counted from what was written."""
+    """Every row of every report of a batch, as text, from what was written."""
     paths = S.run_reports(spark, _tx(spark, sf_dir), _scratch(spark, "reports"))
     out = None
     for name, path in paths.items():
-        one = S.read_result(spark, path).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("report"), "rows")
+        df = S.read_result(spark, path)
+        cells = F.concat_ws("|", *[F.coalesce(_as_text(F.col(c), t), F.lit("-")) for c, t in df.dtypes])
+        one = df.select(F.lit(name).alias("report"), cells.alias("row"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def _as_text(c, kind):
+    """A value as text that every engine writes alike: numbers with six decimals."""
+    return (c.cast("decimal(30,6)") if kind in ("double", "float") else c).cast("string")
+
+
 @query("view_export_roundtrip")
 def q_view_export_roundtrip(spark, sf_dir):
     """The filtered customers, guarded against an empty selection, as CSV and back."""

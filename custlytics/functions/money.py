@@ -1,9 +1,9 @@
 """Exact money arithmetic.
 
-Money is summed as integers of MONEY_SCALE decimals and rates of RATE_SCALE
-decimals, finer than the figures they feed, and rounded half-up once, at the
-end: the sum is the same in any order and on any engine.  Sums are 64-bit
-(an overflow is an error in Spark, not a wrong number): 9e14 units of money."""
+Money and rates are summed as decimals of SCALE decimals, which hold every
+amount in use exactly, and rounded half-up once, from the sum: the sum is the
+same in any order and on any engine.  Sums reach 10^21 (an overflow is an error
+in Spark, not a wrong number)."""
 
 from __future__ import annotations
 
@@ -11,27 +11,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-#: Decimals kept of a single amount and of a single rate.
-MONEY_SCALE, RATE_SCALE = 4, 8
+#: Decimals of a single amount or rate.
+SCALE = 8
 
 
 def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
-def money_units(c) -> Column:
-    """An amount as integer units of 10**-MONEY_SCALE."""
-    return F.round(_c(c) * 10 ** MONEY_SCALE).cast("bigint")
-
-
-def rate_units(c) -> Column:
-    """A rate as integer units of 10**-RATE_SCALE."""
-    return F.round(_c(c) * 10 ** RATE_SCALE).cast("bigint")
+def total_units(c) -> Column:
+    """The sum of amounts or rates as an integer number of units of 10**-SCALE."""
+    total = F.sum(_c(c).cast(f"decimal(28,{SCALE})")).cast(f"decimal(29,{SCALE})")
+    return (total * F.lit(10 ** SCALE).cast("decimal(9,0)")).cast("decimal(38,0)")
 
 
 def units_to_cents(c) -> Column:
     """Units of money as integer cents, rounded half-up."""
-    return half_up_div(c, F.lit(10 ** (MONEY_SCALE - 2)))
+    return half_up_div(c, F.lit(10 ** (SCALE - 2)), "decimal(38,0)")
 
 
 def cents(c) -> Column:
@@ -39,18 +35,18 @@ def cents(c) -> Column:
     return F.round(_c(c) * 100).cast("bigint")
 
 
-def int_div(num, den) -> Column:
+def int_div(num, den, kind: str = "bigint") -> Column:
     """Exact floor division of non-negative integers (decimal arithmetic, so
     no double rounding even past 2**53)."""
     a = _c(num).cast("decimal(38,0)")
     b = _c(den).cast("decimal(38,0)")
-    return ((a - F.pmod(a, b)) / b).cast("bigint")
+    return ((a - F.pmod(a, b)) / b).cast(kind)
 
 
-def half_up_div(num, den) -> Column:
+def half_up_div(num, den, kind: str = "bigint") -> Column:
     """Integer ``num / den`` rounded half away from zero (``den`` > 0)."""
     n, d = _c(num), _c(den)
-    return F.signum(n).cast("bigint") * int_div(F.abs(n) * 2 + d, d * 2)
+    return (F.signum(n).cast("bigint") * int_div(F.abs(n) * 2 + d, d * 2, kind)).cast(kind)
 
 
 def from_cents(c) -> Column:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from custlytics.functions.dates import day, month_key, month_label
 from custlytics.functions.money import from_micros, half_up_div
-from custlytics.operators.rfm import customers_only
+from custlytics.operators.customer import month_aggs, month_list
+from custlytics.operators.rfm import customers_only, dataset_span
 from custlytics.plans.skew import hot_keys_by_count, salted_left_join
 from custlytics.session import materialize
 from custlytics.schemas import TX, TxCols
@@ -60,15 +61,15 @@ def cohort_assign(tx: DataFrame, cols: TxCols = TX, hot_share: float = 0.01) ->
 def customer_months(tx: DataFrame, cols: TxCols = TX) -> DataFrame:
     """Distinct (customer, month key) with the customer's cohort month key.
 
-    One partially aggregated shuffle on the customer: each customer's set of
-    active months (at most one entry per calendar month, whatever the number
-    of transactions) is built map-side, so a customer with a third of all
-    rows ships a handful of month keys per task; the cohort is the set's
-    minimum.  Activity without a date is one row with a null month, as in
-    ``cohort_assign``."""
+    One partially aggregated shuffle on the customer: a customer's active
+    months are bits of one integer or a few, whatever the number of
+    transactions, so a customer with a third of all rows ships a few bytes a
+    task; the cohort is the first bit.  Activity without a date is one row
+    with a null month, as in ``cohort_assign``."""
     undated = F.bool_or(day(cols.date).isNull())
+    lo, hi = dataset_span(tx, cols)
     per = customers_only(tx, cols).groupBy(F.col(cols.customer).alias("customer_id")).agg(
-        F.collect_set(month_key(cols.date)).alias("_ms"), undated.alias("_undated"))
+        *month_aggs(cols.date, lo, hi), undated.alias("_undated")).select("customer_id", "_undated", month_list(lo, hi).alias("_ms"))
     months = F.when(F.col("_undated"), F.array_append("_ms", F.lit(None).cast("int"))).otherwise(F.col("_ms"))
     return per.select("customer_id", F.explode(months).alias("_m"), F.array_min("_ms").alias("_cohort"))
 

@@ -3,22 +3,23 @@
 ``customer_churn`` is one aggregation per customer: the trailing-window
 activity is a conditional count/sum in the same pass (equivalent to the
 CROSS JOIN + LEFT JOIN + COALESCE formulation), and the dataset end date is
-a literal.  Money and rates are summed as integers of more decimals than
-they are shown with, and every figure is rounded half-up once, from the sum."""
+a literal.  Money and rates are summed exactly, and every figure is rounded
+half-up once, from the sum.  Active months are bits of one integer or a few."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custlytics.functions.dates import day, month_key
-from custlytics.functions.money import (MONEY_SCALE, RATE_SCALE, from_cents, from_micros, half_up_div, money_units,
-                                        rate_units, units_to_cents)
-from custlytics.operators.rfm import as_of_column, customers_only, on_or_after, score_customers
+from custlytics.functions.dates import MOST_WORDS, WORD_MONTHS, count_months, day, month_key, month_words, months_of
+from custlytics.functions.money import SCALE, from_cents, from_micros, half_up_div, total_units, units_to_cents
+from custlytics.operators.rfm import as_of_column, customers_only, dataset_span, on_or_after, score_customers
 from custlytics.schemas import TX, TxCols
 
 INACTIVITY_DAYS = 90
 CLV_MONTHS = 12
+#: What the model base adds to the churn table.
+SCORE_COLUMNS = ("recency", "frequency", "monetary", "r_score", "f_score", "m_score", "rfm_score", "segment")
 
 
 def churn_label(days_since: Column | str = "days_since_last_purchase",
@@ -39,7 +40,38 @@ def _role(tx: DataFrame, name: str, dtype: str) -> Column:
     return F.col(name) if name in tx.columns else F.lit(None).cast(dtype)
 
 
-def _base_aggs(tx: DataFrame, cols: TxCols, end: Column, days: int) -> list[Column]:
+def month_range(lo, hi) -> tuple[int, int]:
+    """Month keys of two dates (of none: an empty year)."""
+    return (0, 0) if lo is None else (lo.year * 12 + lo.month - 1, hi.year * 12 + hi.month - 1)
+
+
+def month_aggs(date: str, lo, hi) -> list[Column]:
+    """The aggregates from which :func:`active_months` counts months.
+
+    Bits of 64-bit integers, one for every 63 months of the data; dates that
+    span more than MOST_WORDS such integers (two centuries: a mistyped year)
+    are collected as a set of month keys instead."""
+    first, last = month_range(lo, hi)
+    if (last - first) // WORD_MONTHS < MOST_WORDS:
+        return [w.alias(f"_months{i}") for i, w in enumerate(month_words(date, first, last))]
+    return [F.collect_set(month_key(date)).alias("_months")]
+
+
+def active_months(lo, hi) -> Column:
+    """Distinct calendar months, from :func:`month_aggs`."""
+    first, last = month_range(lo, hi)
+    words = (last - first) // WORD_MONTHS + 1
+    return count_months([F.col(f"_months{i}") for i in range(words)]) if words <= MOST_WORDS else F.size("_months")
+
+
+def month_list(lo, hi) -> Column:
+    """The month keys themselves, from :func:`month_aggs`."""
+    first, last = month_range(lo, hi)
+    words = (last - first) // WORD_MONTHS + 1
+    return months_of([F.col(f"_months{i}") for i in range(words)], first, last) if words <= MOST_WORDS else F.col("_months")
+
+
+def _base_aggs(tx: DataFrame, cols: TxCols, end: Column, days: int, lo, hi) -> list[Column]:
     d = day(cols.date)
     recent = d >= F.date_sub(end, days)
     qty = _role(tx, cols.quantity, "bigint")
@@ -48,16 +80,14 @@ def _base_aggs(tx: DataFrame, cols: TxCols, end: Column, days: int) -> list[Colu
         F.min(d).alias("first_purchase_date"),
         F.max(d).alias("last_purchase_date"),
         F.count(cols.id).alias("total_transactions"),
-        F.sum(money_units(cols.value)).alias("_units"),
+        total_units(cols.value).alias("_units"),
         F.count(cols.value).alias("_nvalue"),
         F.sum(qty).cast("bigint").alias("quantity_total"),
-        F.sum(rate_units(disc)).alias("_disc"),
+        total_units(disc).alias("_disc"),
         F.count(disc).alias("_ndisc"),
-        # distinct calendar months: a per-customer set bounded by the number of
-        # months, built map-side, so the whole table is one shuffle
-        F.size(F.collect_set(month_key(cols.date))).cast("bigint").alias("active_months"),
+        *month_aggs(cols.date, lo, hi),
         F.count(F.when(recent, F.col(cols.id))).alias("transactions_last_90_days"),
-        F.sum(F.when(recent, money_units(cols.value))).alias("_recent"),
+        total_units(F.when(recent, F.col(cols.value))).alias("_recent"),
     ]
 
 
@@ -68,26 +98,27 @@ def customer_churn(tx: DataFrame, cols: TxCols = TX, rounded: bool = True, as_of
     ``rounded=True`` rounds spend, AOV and discount first and derives CLV from
     the rounded AOV; ``rounded=False`` keeps them unrounded and only rounds
     CLV (the two formulations of the reference)."""
-    end = as_of_column(tx, as_of, cols)
+    lo, hi = dataset_span(tx, cols)
+    end = F.lit(hi if as_of is None else as_of).cast("date")
     g = customers_only(tx, cols).groupBy(F.col(cols.customer).alias("customer_id")).agg(
-        *_base_aggs(tx, cols, end, inactivity_days))
+        *_base_aggs(tx, cols, end, inactivity_days, lo, hi)).withColumn("active_months", active_months(lo, hi).cast("bigint"))
     n = F.col("total_transactions")
-    money, rate = 10 ** MONEY_SCALE, 10 ** RATE_SCALE
+    unit = 10 ** SCALE
     if rounded:
         spend = from_cents(units_to_cents("_units"))
-        aov_c = half_up_div("_units", F.col("_nvalue") * (money // 100))
+        aov_c = half_up_div("_units", F.col("_nvalue").cast("decimal(20,0)") * (unit // 100))
         aov = from_cents(aov_c)
         disc = F.when(F.col("_ndisc") > 0,
-                      from_micros(half_up_div("_disc", F.col("_ndisc") * (rate // 10000)), 10000))
+                      from_micros(half_up_div("_disc", F.col("_ndisc").cast("decimal(20,0)") * (unit // 10000)), 10000))
         clv = from_cents(clv_cents(n, aov_c, F.col("active_months")))
     else:
         # unrounded: exact integer sums divided once (a correctly rounded
         # double, independent of summation order); only CLV is rounded
-        spend = F.col("_units").cast("double") / money
-        aov = F.col("_units").cast("double") / (F.col("_nvalue") * money).cast("double")
-        disc = F.col("_disc").cast("double") / (F.col("_ndisc") * rate).cast("double")
-        clv = from_cents(half_up_div(F.col("_units").cast("decimal(38,0)") * n * F.col("active_months"),
-                                     F.col("_nvalue") * (CLV_MONTHS * money // 100)))
+        spend = F.col("_units").cast("double") / unit
+        aov = F.col("_units").cast("double") / (F.col("_nvalue").cast("decimal(20,0)") * unit).cast("double")
+        disc = F.col("_disc").cast("double") / (F.col("_ndisc").cast("decimal(20,0)") * unit).cast("double")
+        clv = from_cents(half_up_div(F.col("_units") * n * F.col("active_months"),
+                                     F.col("_nvalue").cast("decimal(20,0)") * (CLV_MONTHS * unit // 100)))
     days_since = F.datediff(end, F.col("last_purchase_date"))
     out = g.select(
         "customer_id", "first_purchase_date", "last_purchase_date", "total_transactions",
@@ -118,7 +149,7 @@ def recent_activity(tx: DataFrame, cols: TxCols = TX, days: int = INACTIVITY_DAY
     t = customers_only(tx, cols).where(on_or_after(tx, cols.date, F.date_sub(end, days)))
     return t.groupBy(F.col(cols.customer).alias("customer_id")).agg(
         F.count(cols.id).alias("transactions_last_90_days"),
-        from_cents(units_to_cents(F.sum(money_units(cols.value)))).alias("spend_last_90_days"))
+        from_cents(units_to_cents(total_units(cols.value))).alias("spend_last_90_days"))
 
 
 def model_base(churn: DataFrame, rfm: DataFrame, segments: DataFrame) -> DataFrame:

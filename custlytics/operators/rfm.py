@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custlytics.functions.dates import day
-from custlytics.functions.money import cents, exact_mean, from_cents, money_units, units_to_cents
+from custlytics.functions.money import cents, exact_mean, from_cents, total_units, units_to_cents
 from custlytics.operators.rank import check_unique_edges, rank_quantile_edges, score_by_edges
 from custlytics.operators.select import after, find
 from custlytics.schemas import TX, TxCols
@@ -42,6 +42,11 @@ def dataset_end(tx: DataFrame, cols: TxCols = TX):
     return tx.select(F.max(day(cols.date))).first()[0]
 
 
+def dataset_span(tx: DataFrame, cols: TxCols = TX):
+    """Earliest and latest transaction date, by one one-row aggregate."""
+    return tuple(tx.select(F.min(day(cols.date)), F.max(day(cols.date))).first())
+
+
 def as_of_column(tx: DataFrame, as_of=None, cols: TxCols = TX) -> Column:
     value = as_of if as_of is not None else dataset_end(tx, cols)
     return F.lit(value).cast("date")
@@ -73,7 +78,7 @@ def customers_only(tx: DataFrame, cols: TxCols = TX) -> DataFrame:
 
 def money_sum(c: str) -> Column:
     """The sum rounded once, half-up to cents, as double."""
-    return from_cents(units_to_cents(F.sum(money_units(c))))
+    return from_cents(units_to_cents(total_units(c)))
 
 
 def rfm(tx: DataFrame, as_of=None, cols: TxCols = TX, sort: bool = True) -> DataFrame:

@@ -26,7 +26,7 @@ RFM = f"""rfm AS (
   SELECT customer_id,
          CAST({END} - MAX(CAST(transaction_date AS DATE)) AS INTEGER) AS recency,
          COUNT(transaction_id) AS frequency,
-         CAST(ROUND(SUM(CAST(order_value AS DECIMAL(18,4))), 2) AS DOUBLE) AS monetary
+         CAST(ROUND(SUM(CAST(order_value AS DECIMAL(28,8))), 2) AS DOUBLE) AS monetary
   FROM tx WHERE customer_id IS NOT NULL GROUP BY customer_id)"""
 
 SCORED = """e AS (
@@ -215,29 +215,30 @@ def hud(num: str, den: str) -> str:
 
 
 def churn_cte(days: int = 90) -> str:
-    """One grouped pass; the trailing window is a filtered aggregate.  Sums are
-    of money in 1/10000 and rates in 1/10**8, rounded half-up once."""
+    """One grouped pass; the trailing window is a filtered aggregate.  Figures
+    are the rounded sums, and ratios of the sums in units of 10^-8."""
     last = "MAX(day) OVER ()"
     return f"""dated AS (SELECT *, CAST(transaction_date AS DATE) AS day FROM tx),
 lines AS (SELECT *, {last} AS end_day, day >= {last} - {days} AS recent FROM dated),
 sums AS (
   SELECT customer_id, ANY_VALUE(end_day) AS end_day, MIN(day) AS lo, MAX(day) AS hi, COUNT(transaction_id) AS n,
-         SUM(CAST(ROUND(order_value * 10000) AS HUGEINT)) AS su, COUNT(order_value) AS nv,
-         CAST(SUM(quantity) AS BIGINT) AS qty, SUM(CAST(ROUND(discount_used_pct * 100000000) AS HUGEINT)) AS sd,
+         SUM(CAST(order_value AS DECIMAL(28,8))) AS spend, CAST(SUM(CAST(order_value AS DECIMAL(28,8))) * 100000000 AS HUGEINT) AS su,
+         COUNT(order_value) AS nv, CAST(SUM(quantity) AS BIGINT) AS qty,
+         CAST(SUM(CAST(discount_used_pct AS DECIMAL(28,8))) * 100000000 AS HUGEINT) AS sd,
          COUNT(discount_used_pct) AS nd, COUNT(DISTINCT date_trunc('month', day)) AS months,
          COUNT(transaction_id) FILTER (recent) AS rn, COUNT(*) FILTER (recent) AS rrows,
-         SUM(CAST(ROUND(order_value * 10000) AS HUGEINT)) FILTER (recent) AS ru
+         SUM(CAST(order_value AS DECIMAL(28,8))) FILTER (recent) AS ru
   FROM lines WHERE customer_id IS NOT NULL GROUP BY customer_id),
-cents AS (SELECT *, {hud("su", "nv * 100")} AS aov_c FROM sums),
+cents AS (SELECT *, {hud("su", "nv * 1000000")} AS aov_c FROM sums),
 churn AS (
   SELECT customer_id, lo AS first_purchase_date, hi AS last_purchase_date, n AS total_transactions,
-    CAST({hud("su", "100")} AS DOUBLE) / 100 AS total_spend, CAST(aov_c AS DOUBLE) / 100 AS avg_order_value,
+    CAST(ROUND(spend, 2) AS DOUBLE) AS total_spend, CAST(aov_c AS DOUBLE) / 100 AS avg_order_value,
     qty AS quantity_total, CASE WHEN nd > 0 THEN CAST({hud("sd", "nd * 10000")} AS DOUBLE) / 10000 END AS discount_usage_rate,
     months AS active_months, CAST(hi - lo AS INTEGER) AS customer_lifespan_days,
     CAST(end_day - hi AS INTEGER) AS days_since_last_purchase,
     CAST(COALESCE(end_day - hi > {days}, false) AS INTEGER) AS churn_label,
     CAST({hud("n * aov_c * months", "12")} AS DOUBLE) / 100 AS clv_proxy,
-    rn AS transactions_last_90_days, CAST(COALESCE({hud("ru", "100")}, 0) AS DOUBLE) / 100 AS spend_last_90_days
+    rn AS transactions_last_90_days, CAST(COALESCE(ROUND(ru, 2), 0) AS DOUBLE) AS spend_last_90_days
   FROM cents)"""
 
 
@@ -450,11 +451,11 @@ ORACLE["rfm_fixed_as_of"] = with_(TX, RFM.replace(END, "DATE '2002-01-01'")) + \
     "SELECT * FROM rfm ORDER BY monetary DESC, customer_id"
 
 ORACLE["customer_churn_unrounded"] = with_(TX, CHURN) + f"""SELECT c.customer_id, c.first_purchase_date,
-  c.last_purchase_date, c.total_transactions, CAST(s.su AS DOUBLE) / 10000 AS total_spend,
-  CAST(s.su AS DOUBLE) / CAST(s.nv * 10000 AS DOUBLE) AS avg_order_value, c.quantity_total,
+  c.last_purchase_date, c.total_transactions, CAST(s.su AS DOUBLE) / 100000000 AS total_spend,
+  CAST(s.su AS DOUBLE) / CAST(s.nv * 100000000 AS DOUBLE) AS avg_order_value, c.quantity_total,
   CAST(s.sd AS DOUBLE) / CAST(s.nd * 100000000 AS DOUBLE) AS discount_usage_rate, c.active_months,
   c.customer_lifespan_days, c.days_since_last_purchase, c.churn_label,
-  CAST({hud("s.su * s.n * s.months", "s.nv * 1200")} AS DOUBLE) / 100 AS clv_proxy,
+  CAST({hud("s.su * s.n * s.months", "s.nv * 12000000")} AS DOUBLE) / 100 AS clv_proxy,
   c.transactions_last_90_days, c.spend_last_90_days
 FROM churn c JOIN sums s ON c.customer_id = s.customer_id"""
 ORACLE["dq_duplicate_preview"] = """SELECT l_orderkey AS order_id, l_linenumber AS line_number,
@@ -467,8 +468,25 @@ ORACLE["csv_roundtrip"] = with_(TX) + """SELECT CAST(transaction_id AS VARCHAR)
   CAST(customer_id AS VARCHAR) AS customer_id, transaction_date, order_value, quantity, channel, discount_used_pct FROM tx"""
 ORACLE["table_roundtrip"] = with_(TX) + "SELECT *, strftime(transaction_date, '%Y-%m') AS order_month FROM tx"
 ORACLE["result_roundtrip"] = with_(TX, RFM) + "SELECT * FROM rfm"
-ORACLE["report_batch"] = with_(TX, CHURN, COHORT) + """SELECT 'rfm_output' AS report, COUNT(*) AS rows FROM churn
-UNION ALL SELECT 'cohort_output', COUNT(*) FROM ret UNION ALL SELECT 'churn_output', COUNT(*) FROM churn"""
+def _cells(columns: str, table: str) -> str:
+    """Rows of a report as text, decimals for the columns marked with ``~``."""
+    parts = ", ".join(f"COALESCE(CAST({f'CAST({c[1:]} AS DECIMAL(30,6))' if c.startswith('~') else c} AS VARCHAR), '-')" for c in columns.split())
+    return f"SELECT '{{}}' AS report, concat_ws('|', {parts}) AS row FROM {table}"
+
+
+ORACLE["report_batch"] = with_(TX, RFM, CHURN, COHORT) + "\nUNION ALL ".join([
+    _cells("customer_id recency frequency ~monetary", "rfm").format("rfm_output"),
+    _cells("cohort_month cohort_index customers cohort_size ~retention_rate", "ret").format("cohort_output"),
+    _cells("customer_id first_purchase_date last_purchase_date total_transactions ~total_spend ~avg_order_value quantity_total "
+           "~discount_usage_rate active_months customer_lifespan_days days_since_last_purchase churn_label ~clv_proxy "
+           "transactions_last_90_days ~spend_last_90_days", "churn").format("churn_output")])
+ORACLE["replaced_table"] = with_(TX) + """SELECT COUNT(*) AS rows, COUNT(*) AS written, COUNT(*) FILTER (quantity IS NULL) AS null_quantity,
+  COUNT(*) FILTER (customer_id IS NULL) AS null_customer, COUNT(*) FILTER (order_value <= 0) AS low_value,
+  CAST(CAST(MIN(transaction_date) AS DATE) AS VARCHAR) AS first, CAST(CAST(MAX(transaction_date) AS DATE) AS VARCHAR) AS last FROM tx"""
+ORACLE["bucketed_rfm"] = with_(TX, RFM) + "SELECT * FROM rfm"
+ORACLE["customers_by_range"] = with_(TX) + """SELECT r.i AS range, COUNT(DISTINCT customer_id) AS exact, COUNT(*) AS rows, true AS within_error
+  FROM (VALUES (0, '0000-00', '9999-99'), (1, '1996-01', '1996-12'), (2, '1995-03', '1998-02'), (3, '2001-08', '2001-08')) AS r(i, lo, hi)
+  JOIN tx ON strftime(transaction_date, '%Y-%m') BETWEEN r.lo AND r.hi GROUP BY r.i"""
 ORACLE["view_export_roundtrip"] = ORACLE["filtered_customers"]
 
 # --------------------------------------------- invariants of the churn model

@@ -130,3 +130,41 @@ def test_auc_of_counts_past_64_bits(spark):
     df = spark.createDataFrame([(0.9, 3_000_000_000, 0), (0.1, 0, 3_000_000_000)], "s double, p long, n long")
     out = M.auc_of_counts(df, "s", "p", "n").first()
     assert out.roc_auc == 1.0 and out.positives == out.negatives == 3_000_000_000
+
+
+def test_money_is_rounded_from_the_true_sum(spark):
+    """Amounts of six decimals against ROUND(SUM(x), 2)."""
+    rng = random.Random(3)
+    rows = [(i, i % 7, dt.datetime(2024, 1 + i % 5, 3), amount, 1, 0.1) for i, amount in enumerate(
+        [0.00004] * 700 + [rng.choice([0.000049, 1.234567, 123456.789012, 0.005, 1e-6]) for _ in range(700)])]
+    tx = spark.createDataFrame(rows, "transaction_id long, customer_id long, transaction_date timestamp_ntz, order_value double, quantity long, discount_used_pct double")
+    pdf = pd.DataFrame(rows, columns=["id", "c", "d", "v", "q", "p"])
+    want = duckdb.sql("SELECT c, CAST(ROUND(SUM(CAST(v AS DECIMAL(30,6))), 2) AS DOUBLE) FROM pdf GROUP BY c ORDER BY c").fetchall()
+    assert len(pdf) == 1400 and [(r.customer_id, r.monetary) for r in R.rfm(tx).orderBy("customer_id").collect()] == want
+    assert [(r.customer_id, r.total_spend) for r in E.customer_churn(tx).collect()] == want
+    small = spark.createDataFrame([(i, 1, dt.datetime(2024, 1, 1), 0.00004) for i in range(1000)], "transaction_id long, customer_id long, transaction_date timestamp_ntz, order_value double")
+    assert R.rfm(small).first().monetary == 0.04
+
+
+def test_sums_past_64_bits(spark):
+    big = spark.createDataFrame([(i, 1, dt.datetime(2024, 1, 1), 9e15) for i in range(3000)], "transaction_id long, customer_id long, transaction_date timestamp_ntz, order_value double")
+    assert R.rfm(big).first().monetary == 2.7e19
+
+
+def test_months_as_bits(spark):
+    """Months over many integers, and a span too long for them, against sets."""
+    rng = random.Random(8)
+    days = [dt.datetime(1990 + rng.randrange(30), rng.randrange(1, 13), 5) for _ in range(400)]
+    schema = "transaction_id long, customer_id long, transaction_date timestamp_ntz, order_value double"
+    for extra in ([], [dt.datetime(1, 1, 1), dt.datetime(9000, 6, 1)]):
+        rows = [(i, i % 9, d, 1.0) for i, d in enumerate([*days, *extra, None])]
+        tx = spark.createDataFrame(rows, schema)
+        want = {}
+        for _, c, d, _ in rows:
+            want.setdefault(c, set())
+            if d:
+                want[c].add((d.year, d.month))
+        assert {r.customer_id: r.active_months for r in E.customer_churn(tx).collect()} == {c: len(m) for c, m in want.items()}
+        assert C.customer_months(tx).where("_m IS NOT NULL").count() == sum(map(len, want.values()))
+    plan = E.customer_churn(spark.createDataFrame([(1, 1, days[0], 1.0)], schema), sort=False)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan

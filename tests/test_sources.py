@@ -152,3 +152,11 @@ def test_trailing_window_prunes_month_partitions(spark, tmp_out):
     assert "PartitionFilters: [isnotnull(order_month" in text and "order_month#" in text.split("PartitionFilters:")[1][:200]
     expect = {tuple(r) for r in E.recent_activity(tx).collect()}
     assert {tuple(r) for r in got.collect()} == expect
+
+
+def test_command_line_goes_on_without_the_summary(spark, tmp_out, capsys):
+    from custlytics.__main__ import _validate
+    tx = spark.createDataFrame([("t1", "c1", 1.0)], "transaction_id string, customer_id string, order_value double")
+    assert _validate(tx, 5) == 1
+    text = capsys.readouterr().out
+    assert "[total_transactions]" in text and "[date_range] ERROR" in text and "[summary] ERROR" in text
