@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from custlytics.llm import (ann, burst_trie, html_crf, jaccard_trie, line_dedup, merkle, mixing, quality_rules,
                             sentencepiece_bpe, sharding, token_orc, toxicity, url_filter)
 from custlytics.llm.tables import read_table
-from custlytics.session import materialize_table, scratch_path
+from custlytics.session import materialize_table, scratch_path, track
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,7 @@ def op9_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
+    track(spark, path)
     token_orc.write_tokens(read_table(spark, sf_dir, "documents"), path)
     return token_orc.offsets(spark, path)
 

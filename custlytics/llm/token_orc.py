@@ -19,12 +19,14 @@ first; repeated ids are ordered by a hash of the text, equal rows in any order
 from __future__ import annotations
 
 import functools
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,13 +98,45 @@ def _path(path: str | None) -> str:
     return path
 
 
+def _below(bounds: list[int], operator: str) -> str:
+    """SQL: how many of the ascending ``bounds`` are below ``key``; the groups
+    of bounds first, then the bounds of one group."""
+    step = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[at:at + step] for at in range(0, len(bounds), step)]
+
+    def listed(xs):
+        return f"cast(array({', '.join(f"cast('{x}' AS bigint)" for x in xs)}) AS array<bigint>)"
+
+    passed = f"size(filter({listed([g[-1] for g in groups])}, b -> b {operator} key))"
+    inside = f"element_at(array({', '.join(listed(g) for g in [*groups, []])}), {passed} + 1)"
+    return f"(least({passed} * {step}, {len(bounds)}) + size(filter({inside}, b -> b {operator} key)))"
+
+
+def ranges(rows: DataFrame, n: int) -> Column:
+    """The number of the range, of ``n``, in which a row of (key, text) lies.
+    The bounds are approximate quantiles from a scan of the keys alone.  Rows
+    of a key that takes up several ranges are dealt to these by the hash that
+    orders them."""
+    if n < 2:
+        return F.lit(0)
+    shares = ", ".join(f"{i / n}D" for i in range(1, n))
+    bounds = sorted(rows.select("key").agg(F.expr(f"percentile_approx(key, array({shares}), {max(10_000, 20 * n)})")).first()[0] or [])
+    if not bounds:
+        return F.lit(0)
+    plain, slots = F.expr(_below(bounds, "<")), F.expr(f"{_below(bounds, '<=')} - {_below(bounds, '<')}")
+    hot = [x for x, m in Counter(bounds).items() if m > 1]
+    share = F.xxhash64("text").cast("double") / 2.0 ** 64 + 0.5
+    slot = F.least(F.floor(share * slots).cast("int"), slots - 1)
+    return F.when(F.col("key").isin(hot), plain + slot).otherwise(plain) if hot else plain
+
+
 def encode_sorted(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                   tokenizer_path: str | None = None, partitions: int | None = None) -> DataFrame:
     """The stored columns, range-partitioned and sorted by id."""
     n = partitions or parallelism(df.sparkSession)
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    tie = F.xxhash64("text")
-    rows = rows.repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie)
+    given = F.col(f"`{doc_id}`").cast("long")
+    rows = df.select(given.alias("doc_id"), F.coalesce(given, F.lit(-1 << 63)).alias("key"), F.col(f"`{text}`").alias("text"))   # null ids first
+    rows = rows.repartitionById(n, ranges(rows, n)).sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows = rows.select("doc_id", F.spark_partition_id().alias("part"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 
 #: Words whose ids a worker process remembers; characters of text handled at once.
-CACHE_WORDS, SLICE_CHARS = 1 << 20, 1 << 22
+CACHE_WORDS, SLICE_CHARS = 1 << 20, 1 << 21
 
 
 class WordCache:
@@ -27,20 +27,23 @@ class WordCache:
     def documents(self, split: list[list[str]], tail: bytes = b"") -> list[bytes]:
         """The ids of each document's words in order, ``tail`` at the end."""
         known = self.known
-        fresh = list(set(chain.from_iterable(split)).difference(known))
-        full = len(known) >= self.limit
-        known.update(zip(fresh, self.encode(fresh), strict=True))
-        ids = known.__getitem__
-        out = [b"".join(map(ids, words)) + tail for words in split]
-        if full:
-            self.forgotten += len(fresh)
-            if self.forgotten > 16 * self.limit:
-                known.clear()
-                self.forgotten = 0
+        words = list(chain.from_iterable(split))
+        found = list(map(known.get, words))                  # one lookup a word
+        places = [i for i, ids in enumerate(found) if ids is None]
+        if places:
+            fresh = list(dict.fromkeys([words[i] for i in places]))
+            made = dict(zip(fresh, self.encode(fresh), strict=True))
+            for i in places:
+                found[i] = made[words[i]]
+            if len(known) < self.limit:
+                known.update(made)
             else:
-                for w in fresh:
-                    del known[w]
-        return out
+                self.forgotten += len(made)
+                if self.forgotten > 16 * self.limit:
+                    known.clear()
+                    self.forgotten = 0
+        ends = list(accumulate(map(len, split), initial=0))
+        return [b"".join(found[a:b]) + tail for a, b in pairwise(ends)]
 
 
 def to_bytes(ids: list[int]) -> bytes:

@@ -64,3 +64,19 @@ def test_pieces_equal_whole_texts():
     for t in ["a ́b éx", "<|endoftext|> a<|endoftext|>b", "A  B\n\nC\t don't ÉÀ İ ẞ 12 34!! 日本 x y　z", "가 ᆨ",
               "ΑΣ ΑΣ.", " ", "'s 's", "\r\n a b"]:
         assert from_bytes(cached.encode([t])[0]).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_hot_ids_are_dealt_over_files(spark, make_docs, tmp_path):
+    rows = [(7, f"text {i} of one id") for i in range(600)] + [(None, f"no id {i}") for i in range(400)] + [(i, f"t {i}") for i in range(100)]
+    path = str(tmp_path / "t")
+    O.write_tokens(make_docs(rows).repartition(3), path, partitions=12)
+    stored = O.read_tokens(spark, path).collect()
+    sizes = {}
+    for r in stored:
+        sizes[r.part] = sizes.get(r.part, 0) + 1
+    assert len(stored) == len(rows) and max(sizes.values()) < 250
+    order = sorted((r.part, r.pos, r.doc_id is not None, r.doc_id or 0) for r in stored)
+    assert [x[2:] for x in order] == sorted(x[2:] for x in order)
+    got = sorted(tuple(r) for r in O.offsets(spark, path).where("doc_id IS NOT NULL").collect())
+    assert sum(n for _, _, n, _ in got) == sum(len(Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids) + 1 for d, t in rows if d is not None)
+    assert sorted(d for d, *_ in got) == sorted(d for d, _ in rows if d is not None)
