@@ -60,32 +60,58 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>"
     r"|<[!?/][^>]*+>", re.S | re.I)
+OPEN_COMMENT = re.compile(r"<!--.*\Z", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 SENTENCE_END = re.compile(r"[.!?…][\"'»”)]?\s*$")
 
 
+class _Open:
+    """An open element.  Elements share their ancestors' features, so a page
+    costs what its tags cost, however deep unclosed ones nest."""
+    __slots__ = ("tag", "names", "above", "path", "found")
+
+    def __init__(self, tag: str, attributes: str, above: _Open | None, path: int, known):
+        self.tag, self.above, self.path = tag, above, path
+        self.names = tuple(p for m in NAMED.finditer(attributes) for p in PART.findall((m[1] or m[2] or m[3] or "").lower())
+                           ) if attributes else ()
+        have = above.found if above else frozenset()
+        fresh = {f for f in ("in:" + tag, *["name:" + n for n in self.names]) if f not in have and (known is None or f in known)}
+        self.found: frozenset[str] = have | fresh if fresh else have
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]                                    # ancestors, outermost first
-    names: tuple[str, ...]                                   # class, id and role words of the ancestors
+    node: _Open | None                                       # the innermost element it lies in
     link_chars: int
 
+    def _around(self) -> list[_Open]:
+        out, node = [], self.node
+        while node:
+            out.append(node)
+            node = node.above
+        return out[::-1]
 
-class _Open:
-    __slots__ = ("tag", "names")
+    @property
+    def tags(self) -> tuple[str, ...]:
+        """Ancestors, outermost first."""
+        return tuple(o.tag for o in self._around())
 
-    def __init__(self, tag: str, attributes: str):
-        self.tag = tag
-        self.names = tuple(p for m in NAMED.finditer(attributes) for p in PART.findall((m[1] or m[2] or m[3] or "").lower())
-                           ) if attributes else ()
+    @property
+    def names(self) -> tuple[str, ...]:
+        """Class, id and role words of the ancestors."""
+        return tuple(n for o in self._around() for n in o.names)
 
 
-def leaf_blocks(page: str | None) -> list[Block]:
-    """The non-empty leaf blocks of a page, in order."""
+def leaf_blocks(page: str | None, known=None) -> list[Block]:
+    """The non-empty leaf blocks of a page, in order; with ``known``, features
+    of their ancestors that it does not hold are not kept."""
     blocks: list[Block] = []
     stack: list[_Open] = []
+    places: dict[str, list[int]] = {}                        # places in the stack of a tag's open elements
+    walls: list[int] = []                                    # and of block elements
+    paths: dict[tuple[int, str], int] = {}
     buffer: list[str] = []
     link_chars = links = 0
 
@@ -94,7 +120,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                blocks.append(Block(text, tuple(o.tag for o in stack), tuple(n for o in stack for n in o.names), link_chars))
+                blocks.append(Block(text, stack[-1] if stack else None, link_chars))
             buffer.clear()
         link_chars = 0
 
@@ -106,9 +132,24 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if links:
                 link_chars += len(raw.strip())
 
+    def push(tag: str, attributes: str) -> None:
+        above = stack[-1] if stack else None
+        path = paths.setdefault((above.path if above else -1, tag), len(paths))
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK_TAGS:
+            walls.append(len(stack))
+        stack.append(_Open(tag, attributes, above, path, known))
+
+    def last(tag: str) -> int:
+        """The place of the innermost open element of a tag, -1 for none."""
+        return at[-1] if (at := places.get(tag)) else -1
+
     def pop_to(at: int) -> None:
         nonlocal links
-        for o in stack[at:]:
+        for o in reversed(stack[at:]):
+            places[o.tag].pop()
+            if o.tag in BLOCK_TAGS:
+                walls.pop()
             links -= o.tag == "a"
         del stack[at:]
 
@@ -123,13 +164,20 @@ def leaf_blocks(page: str | None) -> list[Block]:
             missing.add(tag)
         return len(page) if tag in RAW_TAGS else None
 
-    while m := TOKEN.search(page, at):
+    end_of_tags = page.rfind(">")                            # behind it only an open comment is a token
+
+    def token():
+        if at <= end_of_tags:
+            return TOKEN.search(page, at)
+        return OPEN_COMMENT.search(page, at)
+
+    while m := token():
         raw, at = page[at:m.start()], m.end()
         if in_head and not in_title and raw.strip() and "head" in missing:
             in_head = False
         if not in_head:
             text(raw)
-        tag = m[2] or m[5]
+        tag = m[2] or m[5] if m.re is TOKEN else None
         if tag is None:                                      # comment, declaration
             continue
         tag = tag.lower()
@@ -138,12 +186,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
             in_head = in_head and tag in HEAD_TAGS and tag not in ("head", "html")
             if tag in BLOCK_TAGS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    pop_to(k)
-                    break
-                if tag not in BLOCK_TAGS and stack[k].tag in BLOCK_TAGS:
-                    break                                    # a stray inline end tag
+            k = last(tag)
+            if k >= 0 and (tag in BLOCK_TAGS or not walls or walls[-1] < k):   # else a stray end tag
+                pop_to(k)
             continue
         if m[2] and tag in DROPPED_TAGS:
             end = at if tag == "svg" and SELF_CLOSED.match(m[3]) else end_of(tag)
@@ -165,16 +210,14 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag in BLOCK_TAGS:
             flush()
             until = ENDS.get(tag)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag and until or stack[k].tag == "p":
-                    pop_to(k)
-                    break
-                if stack[k].tag in BLOCK_TAGS and (not until or stack[k].tag in until):
-                    break
+            k = max(last("p"), last(tag) if until else -1)
+            wall = max(map(last, until)) if until else walls[-1] if walls else -1
+            if k >= 0 and k >= wall:
+                pop_to(k)
         elif tag == "br":
             buffer.append(" ")
         if tag not in VOID_TAGS:
-            stack.append(_Open(tag, attributes))
+            push(tag, attributes)
             links += tag == "a"
     if not in_head or "head" in missing and not in_title:
         text(page[at:])
@@ -186,16 +229,24 @@ def _bin(value: float, edges: tuple) -> int:
     return sum(value >= e for e in edges)
 
 
-def block_features(blocks: list[Block]) -> list[list[str]]:
+def block_features(blocks: list[Block]) -> Iterator[list[str]]:
     """Feature names of each block, from itself and its neighbours."""
-    own = []
+    long = [len(b.text.split()) >= 20 for b in blocks]
+    before: int | None = None                                # path of the block before
+    nearest: dict[int, str] = {}                             # tag of the innermost block element, by path
     for k, b in enumerate(blocks):
+        path = b.node.path if b.node else -1
+        if path not in nearest:
+            node = b.node
+            while node and node.tag not in BLOCK_TAGS and node.path not in nearest:
+                node = node.above
+            tag = "none" if not node else node.tag if node.tag in BLOCK_TAGS else nearest[node.path]
+            nearest[path], node = tag, b.node
+            while node and node.tag not in BLOCK_TAGS and node.path not in nearest:
+                nearest[node.path], node = tag, node.above
         words = b.text.split()
-        found = {"bias"}
-        found.update("in:" + t for t in b.tags)
-        found.update("name:" + n for n in b.names)
-        nearest = next((t for t in reversed(b.tags) if t in BLOCK_TAGS), "none")
-        found.add("tag:" + nearest)
+        found = {"bias", "tag:" + nearest[path]}
+        found.update(b.node.found if b.node else ())
         found.add(f"words:{_bin(len(words), (3, 6, 10, 20, 40, 80))}")
         found.add(f"links:{_bin(b.link_chars / len(b.text), (0.01, 0.3, 0.6, 0.9))}")
         found.add(f"ends:{bool(SENTENCE_END.search(b.text))}")
@@ -203,13 +254,11 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
         found.add(f"mark:{b.text[:1] in '©|»›·'}")
         found.update("says:" + w for w in FURNITURE.intersection(PART.findall(b.text.lower())))
         found.add(f"place:{_bin(k / len(blocks), (0.1, 0.3, 0.7, 0.9))}")
-        own.append(found)
-    long = [len(b.text.split()) >= 20 for b in blocks]
-    for k, found in enumerate(own):
         found.add(f"before:{long[k - 1] if k else 'start'}")
         found.add(f"after:{long[k + 1] if k + 1 < len(long) else 'end'}")
-        found.add(f"same:{k > 0 and blocks[k - 1].tags == blocks[k].tags}")
-    return [sorted(f) for f in own]
+        found.add(f"same:{before == path}")
+        before = path
+        yield sorted(found)
 
 
 # -- labelled pages ----------------------------------------------------------
@@ -371,7 +420,7 @@ class Chain:
 def train(pages: list[tuple[str, list[bool]]], rounds: int = 150, rate: float = 0.1, decay: float = 2e-3) -> Chain:
     """Maximum conditional likelihood with a quadratic penalty, by Adam over
     all pages at once (forward-backward on padded arrays)."""
-    found = [(block_features(leaf_blocks(p)), y) for p, y in pages if y]
+    found = [(list(block_features(leaf_blocks(p))), y) for p, y in pages if y]
     counts: dict[str, int] = {}
     for feats, _ in found:
         for fs in feats:
@@ -425,7 +474,7 @@ def default_chain(pages: int = 500, seed: int = 3) -> Chain:
 
 
 def main_text(page: str | None, chain: Chain) -> str:
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, chain.names)
     if not blocks:
         return ""
     keep = chain.viterbi(chain.scores(blocks))

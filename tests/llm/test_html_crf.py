@@ -115,3 +115,32 @@ def test_minified_pages_are_extracted(spark, chain):
              f"<html><head><title>T</title></head><body><article><svg class=\"i\"/><p>{ARTICLE}</p></article></body></html>"]
     got = H.extract(spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], PAGES)).collect()
     assert len(got) == 2 and all(len(value) > 50 for r in got for value in r if isinstance(value, str) and value != "u")
+
+
+def test_unclosed_tags_cost_linear_time_and_memory():
+    """Four times the page: about four times the time, and little memory."""
+    import time
+    import tracemalloc
+    chain = H.default_chain()
+    for unit in ("<font class='a b c'><p>x</p>", "<div>x", '<a "', "<b>x</i>", "</", "<li><font id=q>y</div>"):
+        spent = []
+        for size in (100_000, 400_000):
+            page = unit * (size // len(unit))
+            t = time.perf_counter()
+            H.main_text(page, chain)
+            spent.append(time.perf_counter() - t)
+        assert spent[1] < 10 * spent[0] + 0.5, unit
+        tracemalloc.start()
+        H.leaf_blocks(unit * (1_000_000 // len(unit)), chain.names)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200 << 20, unit
+
+
+def test_features_of_a_deep_page_are_those_of_its_ancestors():
+    page = "<div class='post'><font class='big'><p>one</p><b>two</b></font></div><section><i>three</i></section>"
+    blocks = H.leaf_blocks(page)
+    for b, found in zip(blocks, H.block_features(blocks), strict=True):
+        assert {f for f in found if f.startswith(("in:", "name:"))} == {"in:" + t for t in b.tags} | {"name:" + n for n in b.names}
+        nearest = next((t for t in reversed(b.tags) if t in H.BLOCK_TAGS), "none")
+        assert "tag:" + nearest in found
