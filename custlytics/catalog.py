@@ -301,12 +301,14 @@ def q_model_base(spark, sf_dir):
 VIEW_FILTER = dict(segments=("High-Value", "At-Risk"), prob=(0.05, 0.95), clv=(100000.0, 3000000.0))
 
 
-def _pred(spark, sf_dir):
+def _pred(spark, sf_dir, stored=False):
     # the customer table is written once: scores are a projection of it, and
-    # the views' filters push down to its scan
+    # filters on its columns push down to its scan; ``stored`` writes the scored
+    # table too, so that filters on segments and scores do
     base = materialize(E.customer_features(_tx(spark, sf_dir)))
     most = base.agg(F.max("days_since_last_purchase")).first()[0]
-    return V.churn_scores(E.customer_model_base(None, features=base), max_days=most)
+    scored = V.churn_scores(E.customer_model_base(None, features=base), max_days=most)
+    return materialize(scored) if stored else scored
 
 
 @query("segment_options")
@@ -321,7 +323,7 @@ def q_clv_bounds(spark, sf_dir):
 
 @query("filtered_customers")
 def q_filtered_customers(spark, sf_dir):
-    return V.filter_customers(_pred(spark, sf_dir), **VIEW_FILTER)
+    return V.filter_customers(_pred(spark, sf_dir, stored=True), **VIEW_FILTER)
 
 
 @query("risk_band")
@@ -336,7 +338,7 @@ def q_kpi_row(spark, sf_dir):
 
 @query("kpi_row_filtered")
 def q_kpi_row_filtered(spark, sf_dir):
-    return V.kpis(V.filter_customers(_pred(spark, sf_dir), **VIEW_FILTER), decimals=6)
+    return V.kpis(V.filter_customers(_pred(spark, sf_dir, stored=True), **VIEW_FILTER), decimals=6)
 
 
 @query("segment_performance")
@@ -357,7 +359,7 @@ def q_risk_summary(spark, sf_dir):
 @query("risk_summary_filtered")
 def q_risk_summary_filtered(spark, sf_dir):
     # a filter that leaves the low-risk band empty
-    return V.risk_summary(V.filter_customers(_pred(spark, sf_dir), prob=(0.5, 1.0)), decimals=6)
+    return V.risk_summary(V.filter_customers(_pred(spark, sf_dir, stored=True), prob=(0.5, 1.0)), decimals=6)
 
 
 @query("prob_histogram")
@@ -392,7 +394,7 @@ def q_bottom_clv(spark, sf_dir):
 
 @query("customer_table")
 def q_customer_table(spark, sf_dir):
-    return V.top_n(V.filter_customers(_pred(spark, sf_dir), **VIEW_FILTER), "monetary", 50,
+    return V.top_n(V.filter_customers(_pred(spark, sf_dir, stored=True), **VIEW_FILTER), "monetary", 50,
                    ascending=True)
 
 
@@ -734,7 +736,7 @@ def _as_text(c, kind):
 @query("view_export_roundtrip")
 def q_view_export_roundtrip(spark, sf_dir):
     """The filtered customers, guarded against an empty selection, as CSV and back."""
-    view = V.require_rows(V.filter_customers(_pred(spark, sf_dir), **VIEW_FILTER))
+    view = V.require_rows(V.filter_customers(_pred(spark, sf_dir, stored=True), **VIEW_FILTER))
     return S.read_result(spark, S.export_view(view, _scratch(spark, "view")), view.schema, "csv")
 
 
