@@ -9,7 +9,11 @@ Defined results for edge cases: a null text has no words and fails the base
 rule (fewer than ten words); an empty text likewise; a null ``doc_id`` stays
 null; repeated rows are judged each on its own; extra columns are ignored by
 :func:`measure` and kept by :func:`keep_good`, whose scratch columns carry a
-prefix and cannot clash with the caller's."""
+prefix and cannot clash with the caller's.  The share of stop words is judged
+only where ``lang`` names a language of the list (a region after ``-`` or
+``_`` and case do not matter): texts of other languages, or of none, are not
+held to it.  A table without such a column passes ``lang=None`` and has every
+text judged by it."""
 
 from __future__ import annotations
 
@@ -39,13 +43,15 @@ P = "__qr_"
 @dataclass(frozen=True)
 class Rule:
     """``low``/``high`` percent bounds on ``100 * part / whole``; applied to
-    texts of ``min_words`` words or more."""
+    texts of ``min_words`` words or more, and with ``listed`` only to those in
+    a language of ``STOP_WORDS``."""
     name: str
     part: str
     whole: str
     low: int | None = None
     high: int | None = None
     min_words: int = 0
+    listed: bool = False
 
 
 #: The threshold table.  Bounds are wide of what clean prose shows.
@@ -53,7 +59,7 @@ RULES = (
     Rule("mean_word_length", "word_chars", "n_words", low=200, high=1500),
     Rule("symbol_ratio", "n_symbols", "n_words", high=30),
     Rule("shout_ratio", "n_shouts", "n_words", high=60),
-    Rule("stop_word_ratio", "n_stop_words", "n_words", low=3, min_words=50),
+    Rule("stop_word_ratio", "n_stop_words", "n_words", low=3, min_words=50, listed=True),
     Rule("duplicate_line_ratio", "n_dup_lines", "n_lines", high=40),
     Rule("bullet_line_ratio", "n_bullet_lines", "n_lines", high=90),
     Rule("ellipsis_line_ratio", "n_ellipsis_lines", "n_lines", high=40),
@@ -92,8 +98,15 @@ def _repeat_words(windows: str) -> Column:
         lambda acc: acc["n"])
 
 
-def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Append the counts the rules need, each as ``__qr_<count>``."""
+def _listed(lang: str | None) -> Column:
+    if lang is None:
+        return F.lit(True)
+    return F.coalesce(F.lower(F.regexp_extract(F.col(lang).cast("string"), "^[A-Za-z]+", 0)).isin(sorted(STOP_WORDS)), F.lit(False))
+
+
+def with_counts(df: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
+    """Append the counts the rules need, each as ``__qr_<count>``, and
+    ``__qr_listed``: the language has stop words here."""
     t = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(t, F.lit(SPACES))
     df = df.withColumn(P + "words", F.when(trimmed == "", F.array().cast("array<string>"))
@@ -111,6 +124,7 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     words, lines = F.col(P + "words"), F.col(P + "lines")
     stops = stop_words()
     return df.withColumns({
+        P + "listed": _listed(lang),
         P + "n_words": _size(words),
         P + "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
         P + "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
@@ -131,6 +145,8 @@ def _fails(rule: Rule) -> Column:
         bad = bad | (part < whole * rule.low)
     if rule.high is not None:
         bad = bad | (part > whole * rule.high)
+    if rule.listed:
+        bad = bad & F.col(P + "listed")
     return bad & (F.col(P + "n_words") >= rule.min_words)
 
 
@@ -145,9 +161,10 @@ def verdicts(rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def measure(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
-            rules: tuple[Rule, ...] = RULES) -> DataFrame:
+            rules: tuple[Rule, ...] = RULES, lang: str | None = "lang") -> DataFrame:
     """One row per input row: counts, ``base_failed``, ``failed_rules``, ``kept``."""
-    df = with_counts(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text")
+    tongue = [] if lang is None else [F.col(lang).alias("lang")]
+    df = with_counts(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *tongue), "text", lang and "lang")
     df = df.withColumns({P + "base": base_failed(), P + "failed": verdicts(rules)})
     return df.select(
         "doc_id", *[F.col(P + c).alias(c) for c in COUNTS[:5]],
@@ -157,10 +174,10 @@ def measure(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
         F.array_join(P + "failed", ",").alias("failed_rules"))
 
 
-def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, lang: str | None = "lang") -> DataFrame:
     """The rows that pass, with their own columns."""
     good = ~base_failed() & (F.size(verdicts(rules)) == 0)
-    return settled(with_counts(df, text), df.columns, P + "good", good).where(P + "good").select(
+    return settled(with_counts(df, text, lang), df.columns, P + "good", good).where(P + "good").select(
         *[F.col(f"`{c}`") for c in df.columns])
 
 
@@ -169,13 +186,16 @@ def duckdb_sql(table: str = "documents") -> str:
     space = r"'[\x20\x09-\x0D]+'"
     strip = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
     stops = ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words())
+    tongues = ", ".join(f"'{x}'" for x in sorted(STOP_WORDS))
     checks = []
     for r in RULES:
         parts = ([f"100*{r.part} < {r.low}*{r.whole}"] if r.low is not None else []) + (
             [f"100*{r.part} > {r.high}*{r.whole}"] if r.high is not None else [])
-        checks.append(f"CASE WHEN n_words >= {r.min_words} AND ({' OR '.join(parts)}) THEN '{r.name}' END")
+        listed = " AND listed" if r.listed else ""
+        checks.append(f"CASE WHEN n_words >= {r.min_words}{listed} AND ({' OR '.join(parts)}) THEN '{r.name}' END")
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM {table}),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+                  coalesce(lower(regexp_extract(lang, '^[A-Za-z]+')) IN ({tongues}), false) AS listed FROM {table}),
 l AS (SELECT *, list_filter(string_split_regex(t, {space}), lambda x: x <> '') AS words,
              list_filter(string_split(t, chr(10)), lambda x: trim(x, {strip}) <> '') AS lines FROM d),
 w AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM l),
@@ -184,7 +204,7 @@ g AS (SELECT rid, i, string_agg(word, ' ') OVER five AS gram, count(*) OVER five
 r AS (SELECT rid, i FROM g WHERE n = {WINDOW} QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
 c AS (SELECT rid, sum(least({WINDOW}, i - prev)) AS n_repeat_words
       FROM (SELECT rid, i, lag(i, 1, i - {WINDOW}) OVER (PARTITION BY rid ORDER BY i) AS prev FROM r) GROUP BY rid),
-m AS (SELECT doc_id, len(words)::BIGINT AS n_words,
+m AS (SELECT doc_id, listed, len(words)::BIGINT AS n_words,
              coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,

@@ -41,7 +41,7 @@ def test_counts_by_hand(make_docs):
 def test_equals_sql(make_docs):
     docs = make_docs(EDGE)
     con = duckdb.connect()
-    con.register("documents", pd.DataFrame(EDGE, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    con.register("documents", pd.DataFrame(EDGE, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}).assign(lang="en"))
     want = sorted(map(repr, con.execute(Q.duckdb_sql()).fetchall()))
     assert sorted(repr(tuple(r)) for r in Q.measure(docs).collect()) == want
 
@@ -56,6 +56,27 @@ def test_keep_good_keeps_columns(make_docs):
     assert Q.keep_good(docs.limit(0)).count() == 0 and Q.measure(docs.limit(0)).count() == 0
 
 
+def test_stop_words_only_in_listed_languages(spark):
+    other = "Сегодня утром мы вышли из дома рано и долго шли вдоль реки к старому мосту. " * 1 + " ".join(f"слово{i}" for i in range(60))
+    plain = " ".join(f"word{i}" for i in range(60))
+    langs = ["ru", "en", "EN", "en-GB", "en_US", "", None, "e n", "eng", "english", "de"]
+    rows = [(i, t, x) for i, (t, x) in enumerate([(other, "ru"), *[(plain, x) for x in langs]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in Q.measure(docs).collect()}
+    assert got[0].kept and {rows[i][2] for i, r in got.items() if not r.kept} == {"en", "EN", "en-GB", "en_US", "de"}
+    assert {r.doc_id for r in Q.keep_good(docs).collect()} == {i for i, r in got.items() if r.kept}
+    assert not any(r.kept for r in Q.measure(docs, lang=None).collect())
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "lang"]))
+    assert sorted(map(repr, con.execute(Q.duckdb_sql()).fetchall())) == sorted(repr(tuple(r)) for r in Q.measure(docs).collect())
+
+
+def test_very_long_text(make_docs):
+    text = " ".join(f"{w} the{i} of" for i, w in enumerate(["alpha", "beta", "gamma"] * 20_000))
+    (r,) = Q.measure(make_docs([(1, text)])).collect()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(text)
+
+
 def test_plan_is_projections_only(make_docs):
     plan = Q.measure(make_docs(EDGE))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Exchange", "Python", "Arrow", "Join"))
