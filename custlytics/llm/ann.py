@@ -3,11 +3,15 @@
 Centroids come from k-means on a bounded sample, with large clusters split
 again so that lists stay even.  Every vector goes to the list of its nearest
 centroid and, where it lies near a boundary, to the lists of others whose
-distance is within ``BOUNDARY`` of the nearest, unless a kept centroid lies
-within half that distance of it.  A query finds its lists by
+distance is within ``boundary`` of the nearest, unless a kept centroid lies
+nearer to it than the vector does.  A query finds its lists by
 best-first search in an in-memory graph of centroids and takes all whose
-distance is within ``RATIO`` of the nearest.  The nearest list is scanned
-first; its last rank bounds what the others may add, so they send only rows
+distance is within ``ratio`` of the nearest.  Both are chosen by trial on the
+sample the centroids come from: of the pairs at which sample queries find
+``RECALL`` of their true neighbours in the sample, the one that scans least
+(:func:`tune`); copies pay where vectors cluster and cost where they do not.
+The sample is sparser than the table, so its neighbours are farther apart and
+the trial errs on the side of recall.  The nearest list is scanned first; its last rank bounds what the others may add, so they send only rows
 that could enter the result.  Queries that have found fewer than ``top`` ids
 then go to the next nearest lists, ``WIDEN`` times as many each round, until
 they have them or all lists are scanned.
@@ -40,7 +44,11 @@ from custlytics.session import materialize_table
 SAMPLE_ROWS = 16_384
 #: Vectors a list should hold, most centroids (bounds what is broadcast).
 LIST_ROWS, MOST_CENTROIDS = 300, 2_048
-BOUNDARY, RATIO, DEGREE = 0.05, 0.25, 16
+DEGREE = 16
+#: Boundaries and ratios to choose from, sample queries of the trial, recall it asks for.
+BOUNDARIES = (0.01, 0.02, 0.05, 0.1)
+RATIOS = (0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.14, 0.16, 0.18, 0.2, 0.22, 0.24, 0.26, 0.28, 0.3, 0.35, 0.4, 0.5, 0.7, 1.0)
+TRIALS, RECALL = 256, 0.93
 #: Vectors and queries of one group.
 VECTOR_BLOCK, QUERY_BLOCK = 512, 1_024
 TOP = 5
@@ -159,20 +167,57 @@ class Centroids:
             near = near[np.argsort(d[row][near], kind="stable")].tolist()
             kept = near[:1]
             for j in near[1:]:
-                if all(self.between[j, i] >= d[row, j] * 0.5 for i in kept):
+                if all(self.between[j, i] >= d[row, j] for i in kept):
                     kept.append(j)
             out.append(kept)
         return out
 
 
-def fit(vecs: DataFrame, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS) -> Centroids | None:
+def tune(centroids: Centroids, sample: np.ndarray, top: int = TOP, recall: float = RECALL) -> tuple[float, float]:
+    """Boundary and ratio with the least scanned rows of those that reach
+    ``recall`` for every (n / TRIALS)-th vector of the sample, others as
+    candidates; ties go to fewer copies.  The widest pair, if none does.
+    Recall counts by similarity, so equal neighbours stand for each other."""
+    asked = np.unique(np.linspace(0, len(sample) - 1, num=min(TRIALS, len(sample))).astype(int))
+    top = min(top, len(sample) - 1)
+    if top < 1 or len(centroids.c) == 1:
+        return BOUNDARIES[0], RATIOS[0]
+    far = _distances(sample[asked], centroids.c)
+    far = far / np.maximum(far.min(axis=1, keepdims=True), 1e-12)
+    s = sample[asked] @ sample.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    floor = -np.partition(-s, top - 1, axis=1)[:, top - 1] - NEAR
+    best = None
+    for boundary in BOUNDARIES:
+        lists = centroids.lists(sample, boundary)
+        member = np.zeros((len(sample), len(centroids.c)), bool)
+        member[np.repeat(np.arange(len(sample)), [len(x) for x in lists]), [j for x in lists for j in x]] = True
+        sizes = member.sum(axis=0)
+        for ratio in RATIOS:
+            probed = far <= 1 + ratio
+            scanned = int((probed @ sizes).sum())
+            if best and scanned >= best[0]:
+                break                                        # wider ratios scan no less
+            found = sum(min(top, int(member[near][:, probed[i]].any(axis=1).sum()))
+                        for i, near in enumerate(np.flatnonzero(x >= f) for x, f in zip(s, floor, strict=True)))
+            if found >= recall * top * len(asked):
+                best = (scanned, boundary, ratio)
+                break
+    return best[1:] if best else (BOUNDARIES[-1], RATIOS[-1])
+
+
+def fit(vecs: DataFrame, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, top: int = TOP) -> Centroids | None:
+    """Centroids of the table with the ``boundary`` and ``ratio`` to use them
+    at, or None if it is empty."""
     n = vecs.count()
     if not n:
         return None
     rows = vecs.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample_rows).select("vec").toArrow()
     flat = rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     sample = _unit(flat.reshape(len(rows), -1))
-    return Centroids(sample, max(1, min(MOST_CENTROIDS, n // list_rows)))
+    centroids = Centroids(sample, max(1, min(MOST_CENTROIDS, n // list_rows)))
+    centroids.boundary, centroids.ratio = tune(centroids, sample, top)
+    return centroids
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -231,16 +276,19 @@ def _best(queries: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, rows: np.n
     return out_q, out_v, out_s
 
 
-def search(vecs: DataFrame, queries: DataFrame, top: int = TOP, *, ratio: float = RATIO, boundary: float = BOUNDARY,
+def search(vecs: DataFrame, queries: DataFrame, top: int = TOP, *, ratio: float | None = None, boundary: float | None = None,
            sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` rows of ``vecs`` nearest to
-    each row of ``queries`` (both ``vec_id``, ``vec``), other ids only."""
+    each row of ``queries`` (both ``vec_id``, ``vec``), other ids only.
+    ``ratio`` and ``boundary`` replace the tuned ones."""
     spark = vecs.sparkSession
     vecs = materialize_table(vecs.dropDuplicates(["vec_id", "vec"]), "vectors")
     queries = materialize_table(queries.dropDuplicates(["vec_id", "vec"]), "queries")
-    centroids = fit(vecs, sample_rows, list_rows)
+    centroids = fit(vecs, sample_rows, list_rows, top)
     if centroids is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    ratio = centroids.ratio if ratio is None else ratio
+    boundary = centroids.boundary if boundary is None else boundary
     index = spark.sparkContext.broadcast(centroids)
     posted = materialize_table(_route(vecs, index, lambda c, x: c.lists(x, boundary)), "postings")
     probes = materialize_table(_route(queries, index, lambda c, x: [c.search(q, ratio) for q in x]), "probes")
