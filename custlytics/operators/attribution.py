@@ -6,24 +6,28 @@ For one tree, the path-dependent value of a feature subset S is
 (o_f(x) if f in S else z_f)``, where ``o_f`` is 1 when the row satisfies every
 test on f along the path and ``z_f`` is the product of the child/parent
 cover ratios of those tests.  Each leaf term is a product game, whose
-Shapley values have the closed form
-
-    phi_f = (o_f - z_f) * sum_{S subset of U minus f} |S|!(p-|S|-1)!/p!
-            * prod_{j in S} o_j * prod_{j not in S, j != f} z_j
-
-(U = distinct features on the path, p = |U|).  The inner sum is evaluated
-from the coefficients of ``prod_j (z_j + o_j t)``.  Per row, the
+Shapley values are
+
+    phi_f = (o_f - z_f) * integral over t from 0 to 1 of
+            prod_{j != f} ((1 - t) z_j + t o_j)
+
+(j over the features on the path).  The integrand is a polynomial of a degree
+below the number of features on the path, so a Gauss-Legendre rule of half as
+many points gives it exactly.  One walk of a tree carries the product at those
+points for all rows of a batch: an edge multiplies its feature's factor in (and
+takes out the factor of an earlier edge of the same feature), and the sums that
+come back from below an edge, divided by its factor, are all its feature needs.
+So each edge is visited once, however many leaves lie below it.  Per row, the
 attributions plus the expected value add up to the model margin.
 
-The model (at most trees x nodes rows) is flattened to leaves on the driver
-and shipped with the function; the rows are processed by ``mapInPandas`` in
-Arrow batches, so the work is spread over all tasks.  Cover is the node's
-weighted training count.  Attributions are in margin units (MLlib's
-probability is ``1 / (1 + exp(-2 * margin))``)."""
+The model (at most trees x nodes rows) is shipped with the function; the rows
+are processed by ``mapInPandas`` in Arrow batches, so the work is spread over
+all tasks.  Cover is the node's weighted training count (its hessian in
+second-order trees).  Attributions are in margin units (MLlib's probability is
+``1 / (1 + exp(-2 * margin))``)."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -39,114 +43,110 @@ from custlytics.session import scratch_path, track
 
 
 @dataclass
-class Leaf:
-    value: float                      # tree weight * leaf prediction
-    feats: list[int]                  # distinct features on the path
-    tests: list[list[tuple[float, bool]]]   # per feature: (threshold, goes_left)
-    z: list[float]                    # per feature: product of cover ratios
-    cover: float                      # leaf cover / root cover
-
-
-def tree_leaves(gbt_model, spark=None) -> tuple[list[Leaf], float]:
-    """Flatten a fitted GBT (classification or regression) model into leaves
-    and its expected margin.  Reads the model's node table from its saved
-    form (bounded by trees x nodes)."""
+class Node:
+    """A leaf (``feature`` -1), or a test that sends ``x <= limit`` left."""
+    share: float                      # cover / cover of the parent
+    value: float = 0.0                # of a leaf, with the tree's weight
+    feature: int = -1
+    limit: float = 0.0
+    left: Node | None = None
+    right: Node | None = None
+
+    def depth(self) -> int:
+        return 0 if self.feature < 0 else 1 + max(self.left.depth(), self.right.depth())
+
+    def expected(self) -> float:
+        """Mean value of the leaves below, by cover."""
+        if self.feature < 0:
+            return self.value
+        return sum(child.share * child.expected() for child in (self.left, self.right))
+
+
+def gbt_trees(gbt_model, spark=None) -> list[Node]:
+    """Trees of a fitted GBT (classification or regression) model, read from
+    the node table of its saved form (bounded by trees x nodes)."""
     if spark is None:
         from pyspark.sql import SparkSession
         spark = SparkSession.active()
     path = scratch_path(spark, "gbt-nodes")
     track(spark, path)
     gbt_model.write().overwrite().save(path)
-    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
-    weights = list(gbt_model.treeWeights)
     trees: dict[int, dict[int, object]] = {}
-    for r in rows:
+    for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
         trees.setdefault(r["treeID"], {})[r["id"]] = r
-    leaves: list[Leaf] = []
-    expected = 0.0
-    for tid, nodes in trees.items():
-        w = weights[tid]
-        root = nodes[0]
-        root_cover = float(root["impurityStats"][0]) or 1.0
-
-        def walk(nid, path):
-            nonlocal expected
-            node = nodes[nid]
-            if node["leftChild"] < 0:
-                per: dict[int, tuple[list, float]] = {}
-                for f, thr, left, ratio in path:
-                    t, z = per.get(f, ([], 1.0))
-                    per[f] = (t + [(thr, left)], z * ratio)
-                cover = float(node["impurityStats"][0]) / root_cover
-                leaves.append(Leaf(w * node["prediction"], list(per), [per[f][0] for f in per],
-                                   [per[f][1] for f in per], cover))
-                expected += w * node["prediction"] * cover
-                return
-            parent = float(node["impurityStats"][0]) or 1.0
-            f = node["split"]["featureIndex"]
-            thr = float(node["split"]["leftCategoriesOrThreshold"][0])
-            for child, left in ((node["leftChild"], True), (node["rightChild"], False)):
-                ratio = float(nodes[child]["impurityStats"][0]) / parent
-                walk(child, path + [(f, thr, left, ratio)])
-
-        walk(0, [])
-    return leaves, expected
-
-
-def boosted_leaves(model: BoostedTrees) -> tuple[list[Leaf], float]:
-    """The same of second-order trees; cover is a node's hessian."""
-    trees: dict[int, dict[int, tuple]] = {}
-    for t, k, f, limit, value, cover in model.nodes():
-        trees.setdefault(t, {})[k] = (f, limit, value, cover)
-    leaves: list[Leaf] = []
-    for nodes in trees.values():
-        def walk(k, per, share):
-            f, limit, value, cover = nodes[k]
-            if f < 0:
-                leaves.append(Leaf(value, list(per), [per[x][0] for x in per], [per[x][1] for x in per], share))
-                return
-            for child, left in ((2 * k + 1, True), (2 * k + 2, False)):
-                ratio = nodes[child][3] / cover
-                tests, z = per.get(f, ([], 1.0))
-                walk(child, {**per, f: (tests + [(limit, left)], z * ratio)}, share * ratio)
 
-        walk(0, {}, 1.0)
-    return leaves, sum(leaf.value * leaf.cover for leaf in leaves)
+    def built(nodes, k, weight, share) -> Node:
+        r = nodes[k]
+        if r["leftChild"] < 0:
+            return Node(share, weight * r["prediction"])
+        cover = float(r["impurityStats"][0]) or 1.0
+        left, right = (built(nodes, c, weight, float(nodes[c]["impurityStats"][0]) / cover)
+                       for c in (r["leftChild"], r["rightChild"]))
+        return Node(share, 0.0, r["split"]["featureIndex"], float(r["split"]["leftCategoriesOrThreshold"][0]), left, right)
 
+    weights = list(gbt_model.treeWeights)
+    return [built(nodes, 0, weights[t], 1.0) for t, nodes in sorted(trees.items())]
 
-def _shapley_weights(p: int) -> np.ndarray:
-    return np.array([math.factorial(s) * math.factorial(p - s - 1) / math.factorial(p) for s in range(p)])
 
+def boosted_trees(model: BoostedTrees) -> list[Node]:
+    """The same of second-order trees; cover is a node's hessian."""
+    trees: dict[int, dict[int, tuple]] = {}
+    for t, k, f, limit, value, cover in model.nodes():
+        trees.setdefault(t, {})[k] = (f, limit, value, cover)
 
-def attributions_matrix(x: np.ndarray, leaves: Sequence[Leaf], n_features: int) -> np.ndarray:
+    def built(nodes, k, share) -> Node:
+        f, limit, value, cover = nodes[k]
+        if f < 0:
+            return Node(share, value)
+        left, right = (built(nodes, c, nodes[c][3] / cover) for c in (2 * k + 1, 2 * k + 2))
+        return Node(share, 0.0, f, limit, left, right)
+
+    return [built(nodes, 0, 1.0) for _, nodes in sorted(trees.items())]
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b; 0 where b is 0 (a is 0 there as well: it has b as a factor)."""
+    return np.divide(a, b, out=np.zeros(np.broadcast_shapes(a.shape, b.shape)), where=b != 0)
+
+
+def _add_tree(phi: np.ndarray, x: np.ndarray, root: Node) -> None:
+    """Add a tree's attributions to ``phi`` (features x rows); ``x`` likewise."""
+    depth = root.depth()
+    if depth == 0:
+        return
+    points, weights = np.polynomial.legendre.leggauss((min(depth, len(x)) + 1) // 2)
+    t, weights = (points[:, None] + 1) / 2, weights / 2
+
+    def below(node: Node, product: np.ndarray, met: dict) -> np.ndarray:
+        """Sum over the node's leaves of value times product (points x rows);
+        ``met``: what the features so far contribute to the product."""
+        f = node.feature
+        if f < 0:
+            return node.value * product
+        goes_left, earlier, total = x[f] <= node.limit, met.get(f), 0.0
+        if earlier is not None:
+            product = _ratio(product, earlier[2])
+        for child, here in ((node.left, goes_left), (node.right, ~goes_left)):
+            one, zero = here.astype(float), child.share
+            if earlier is not None:
+                one, zero = one * earlier[0], zero * earlier[1]
+            factor = (1 - t) * zero + t * one
+            part = below(child, product * factor, {**met, f: (one, zero, factor)})
+            phi[f] += (one - zero) * (weights @ _ratio(part, factor))
+            if earlier is not None:              # the earlier edge counts these leaves too
+                phi[f] -= (earlier[0] - earlier[1]) * (weights @ _ratio(part, earlier[2]))
+            total = total + part
+        return total
+
+    below(root, np.ones((len(t), x.shape[1])), {})
+
+
+def attributions_matrix(x: np.ndarray, trees: Sequence[Node], n_features: int) -> np.ndarray:
     """phi (rows x features) for a batch of feature rows."""
-    phi = np.zeros((x.shape[0], n_features))
-    for leaf in leaves:
-        p = len(leaf.feats)
-        if p == 0:
-            continue
-        o = np.ones((x.shape[0], p))
-        for k, (f, tests) in enumerate(zip(leaf.feats, leaf.tests)):
-            col = x[:, f]
-            for thr, left in tests:
-                o[:, k] *= (col <= thr) if left else (col > thr)
-        z = np.asarray(leaf.z)
-        wts = _shapley_weights(p)
-        for k in range(p):
-            # coefficients of prod_{j != k} (z_j + o_j t), one polynomial per row
-            coef = np.zeros((x.shape[0], p))
-            coef[:, 0] = 1.0
-            deg = 0
-            for j in range(p):
-                if j == k:
-                    continue
-                nxt = coef * z[j]
-                nxt[:, 1:deg + 2] += coef[:, 0:deg + 1] * o[:, j:j + 1]
-                coef = nxt
-                deg += 1
-            inner = coef @ wts
-            phi[:, leaf.feats[k]] += leaf.value * (o[:, k] - z[k]) * inner
-    return phi
+    phi, columns = np.zeros((n_features, len(x))), np.ascontiguousarray(x.T)
+    for root in trees:
+        _add_tree(phi, columns, root)
+    return phi.T
 
 
 def tree_attributions(model, df: DataFrame, features: Sequence[str] = FEATURES,
@@ -155,15 +155,16 @@ def tree_attributions(model, df: DataFrame, features: Sequence[str] = FEATURES,
     ``df``.  ``model`` holds second-order trees, or is a fitted PipelineModel
     whose last stage is the GBT (or the GBT model itself)."""
     if isinstance(model, BoostedTrees):
-        leaves, expected = boosted_leaves(model)
+        trees = boosted_trees(model)
     else:
-        leaves, expected = tree_leaves(model.stages[-1] if hasattr(model, "stages") else model, df.sparkSession)
+        trees = gbt_trees(model.stages[-1] if hasattr(model, "stages") else model, df.sparkSession)
+    expected = sum(root.expected() for root in trees)
     feats = list(features)
 
     def run(batches):
         for pdf in batches:
             x = pdf[feats].to_numpy(dtype=float)
-            phi = attributions_matrix(x, leaves, len(feats))
+            phi = attributions_matrix(x, trees, len(feats))
             n = len(pdf)
             yield pd.DataFrame({
                 id_col: np.repeat(pdf[id_col].to_numpy(), len(feats)),

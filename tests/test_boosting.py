@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from custlytics.operators import boosting as B
 from custlytics.operators import ml as M
-from custlytics.operators.attribution import boosted_leaves
+from custlytics.operators.attribution import boosted_trees, tree_attributions
 from custlytics.session import scratch_path
 
 FEATS = ["x", "y", "z"]
@@ -101,8 +101,10 @@ def test_save_load_scores_and_attributions(spark):
     a = {r.customer_id: r.churn_probability for r in M.score(model, df).collect()}
     assert a == {r.customer_id: r.churn_probability for r in M.score(again, df).collect()}
     assert M.evaluator_auc(M.score(model, df)) > 0.85
-    leaves, expected = boosted_leaves(model)
-    assert abs(sum(leaf.cover for leaf in leaves) - 6) < 1e-9 and np.isfinite(expected)
+    roots = boosted_trees(model)
+    assert len(roots) == 6 and np.isfinite(sum(r.expected() for r in roots))
+    per = tree_attributions(model, df, FEATS).groupBy("customer_id").agg((F.sum("attribution") + F.first("expected_value")).alias("m"))
+    assert np.allclose(sorted(r.m for r in per.collect()), sorted(model.margins(list(x.T))), atol=1e-9)
 
 
 def test_search_picks_the_best_draw(spark):

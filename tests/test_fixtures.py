@@ -16,7 +16,7 @@ from custlytics.operators import quality as Q
 from custlytics.operators import rfm as R
 from custlytics.operators import views as V
 from custlytics.operators.rank import global_rank
-from custlytics.operators.attribution import Leaf, attributions_matrix
+from custlytics.operators.attribution import Node, attributions_matrix
 
 
 def test_inactivity_boundary_90_vs_91(spark):
@@ -175,46 +175,59 @@ def test_split_is_disjoint_cover_and_stratified(spark):
     assert set(s[s.split == "train"].fold.unique()) == {0, 1, 2}
 
 
-def _brute_shapley(x, leaves, nf):
-    """Shapley values by enumerating all subsets of the features on paths."""
-    def v(S):
-        tot = 0.0
-        for lf in leaves:
-            prod = 1.0
-            for f, tests, z in zip(lf.feats, lf.tests, lf.z):
-                if f in S:
-                    prod *= float(all((x[f] <= t) == left for t, left in tests))
-                else:
-                    prod *= z
-            tot += lf.value * prod
-        return tot
-    feats = sorted({f for lf in leaves for f in lf.feats})
+def _brute_shapley(x, root, nf):
+    """Shapley values by enumerating all subsets of the features."""
+    def v(S, node):
+        if node.feature < 0:
+            return node.value
+        if node.feature in S:
+            return v(S, node.left if x[node.feature] <= node.limit else node.right)
+        return sum(child.share * v(S, child) for child in (node.left, node.right))
+
     phi = np.zeros(nf)
-    p = len(feats)
-    for f in feats:
-        others = [g for g in feats if g != f]
-        for k in range(p):
+    for f in range(nf):
+        others = [g for g in range(nf) if g != f]
+        for k in range(nf):
             for S in itertools.combinations(others, k):
-                w = math.factorial(k) * math.factorial(p - k - 1) / math.factorial(p)
-                phi[f] += w * (v(set(S) | {f}) - v(set(S)))
+                w = math.factorial(k) * math.factorial(nf - k - 1) / math.factorial(nf)
+                phi[f] += w * (v({*S, f}, root) - v(set(S), root))
     return phi
 
 
-def test_closed_form_attributions_equal_brute_force():
-    # depth-2 tree: x0 <= 1 ? (x1 <= 5 ? 1.0 : 2.0) : (x0 <= 3 ? 3.0 : 4.0)
-    leaves = [Leaf(1.0, [0, 1], [[(1, True)], [(5, True)]], [0.5, 0.4], 0.2),
-              Leaf(2.0, [0, 1], [[(1, True)], [(5, False)]], [0.5, 0.6], 0.3),
-              Leaf(3.0, [0], [[(1, False), (3, True)]], [0.5 * 0.7], 0.35),
-              Leaf(4.0, [0], [[(1, False), (3, False)]], [0.5 * 0.3], 0.15)]
+def test_attributions_equal_brute_force():
+    # x0 <= 1 ? (x1 <= 5 ? 1.0 : 2.0) : (x0 <= 3 ? 3.0 : 4.0): x0 twice on a path
+    root = Node(1.0, feature=0, limit=1, left=Node(0.5, feature=1, limit=5, left=Node(0.4, 1.0), right=Node(0.6, 2.0)),
+                right=Node(0.5, feature=0, limit=3, left=Node(0.7, 3.0), right=Node(0.3, 4.0)))
     xs = np.array([[0.5, 4.0], [0.5, 9.0], [2.0, 0.0], [7.0, 7.0]])
-    got = attributions_matrix(xs, leaves, 2)
+    got = attributions_matrix(xs, [root], 2)
     for x, g in zip(xs, got):
-        assert np.allclose(g, _brute_shapley(x, leaves, 2), atol=1e-12)
+        assert np.allclose(g, _brute_shapley(x, root, 2), atol=1e-12)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5, 8])
+def test_attributions_of_drawn_trees_equal_brute_force(depth):
+    """Four features on paths of up to eight tests, so all of them repeat;
+    some children hold nothing."""
+    rng = np.random.default_rng(depth)
+
+    def drawn(d, share):
+        if d == 0 or rng.random() < 0.05:
+            return Node(share, float(rng.normal()))
+        left = float(rng.choice([0.0, 1.0, rng.random(), rng.random(), rng.random()]))
+        return Node(share, 0.0, int(rng.integers(4)), float(rng.normal()), drawn(d - 1, left), drawn(d - 1, 1 - left))
+
+    xs = np.vstack([rng.normal(size=(12, 4)), np.zeros((1, 4))])
+    for _ in range(6):
+        root = drawn(depth, 1.0)
+        got = attributions_matrix(xs, [root, root], 4)
+        for x, g in zip(xs, got):
+            assert np.allclose(g, 2 * _brute_shapley(x, root, 4), atol=1e-10)
 
 
 def test_single_leaf_tree_has_zero_attributions():
-    phi = attributions_matrix(np.array([[1.0, 2.0]]), [Leaf(0.7, [], [], [], 1.0)], 2)
-    assert (phi == 0).all()
+    root = Node(1.0, 0.7)
+    assert (attributions_matrix(np.array([[1.0, 2.0]]), [root], 2) == 0).all() and root.expected() == 0.7
+    assert attributions_matrix(np.zeros((0, 2)), [root], 2).shape == (0, 2)
 
 
 def test_top_n_ties_break_by_id(spark):
