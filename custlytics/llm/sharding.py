@@ -66,6 +66,18 @@ def _place(rows: DataFrame, found: DataFrame, depth: int) -> DataFrame:
     return rows.join(_small(found), F.substring("__bits", 1, depth) == F.col("__cell")).drop("__cell")
 
 
+def _place_by_bucket(rows: DataFrame, found: DataFrame, start: int) -> DataFrame:
+    """Rows with the bucket whose bits theirs begin with (rows of none go).
+    Buckets, not cells, are sent: listed by their first ``start`` bits, one or
+    two to a list on average, as start is where average buckets would fit."""
+    bucket = F.struct("shard", "shard_bytes", "shard_docs")
+    lists = found.select("shard", "shard_bytes", "shard_docs").distinct().groupBy(
+        F.substring("shard", 1, start).alias("__cell")).agg(F.collect_list(bucket).alias("__buckets"))
+    met = rows.join(_small(lists), F.substring("__bits", 1, start) == F.col("__cell")).drop("__cell")
+    mine = F.filter("__buckets", lambda b: F.startswith(F.col("__bits"), b["shard"]))
+    return met.withColumn("__bucket", F.explode(mine)).drop("__buckets").select("*", "__bucket.*").drop("__bucket")
+
+
 def _overflow(rows: DataFrame, found: DataFrame, limit: int) -> DataFrame:
     """Equal rows numbered across partitions, as many to a shard as fit."""
     rows = rows.withColumns({"__task": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
@@ -102,7 +114,7 @@ def assign(docs: DataFrame, limit: int = LIMIT_BYTES, *, doc_id: str = "doc_id",
     found = directory(cells, start, depth, limit)
     over = (F.length("shard") == depth) & (F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)
     full = found.where(over).select(F.col("cell").alias("__cell"))
-    placed = [_place(rows, found.where(~over), depth)]
+    placed = [_place_by_bucket(rows, found.where(~over), start)]
     if full.limit(1).count():
         more = rows.join(_small(full), F.substring("__bits", 1, depth) == F.col("__cell"), "left_semi").withColumn(
             "__bits", F.concat("__bits", _bits(F.coalesce(body, F.lit("")))))
