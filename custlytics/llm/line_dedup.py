@@ -37,8 +37,8 @@ from custlytics.session import materialize_table
 MAX_EDITS, MIN_CHARS = 1, 30
 #: Letters counted for the letter filter (any would do), bits of a count.
 LETTERS, COUNT_BITS = "eantor", 10
-#: Documents up to which the texts to verify are picked by a broadcast.
-BROADCAST_IDS = 1_000_000
+#: Lines to verify up to which their places are broadcast (about 40 bytes each).
+BROADCAST_PLACES = 1_000_000
 
 
 def _trim(c: Column) -> Column:
@@ -131,7 +131,7 @@ def _near(first: DataFrame, docs: DataFrame, edits: int) -> DataFrame:
     wanted = pairs.select(F.col("ha").alias("h1")).union(pairs.select("hb")).distinct()
     places = materialize_table(first.join(wanted, "h1", "left_semi").select("doc_id", "rid", "ln", "h1", "h2"), "places")
     lists = places.groupBy(F.col("doc_id").alias("d"), F.col("rid").alias("r")).agg(F.collect_list(F.struct("ln", "h1", "h2")).alias("at"))
-    if places.select("doc_id", "rid").distinct().count() <= BROADCAST_IDS:
+    if places.count() <= BROADCAST_PLACES:
         lists = F.broadcast(lists)
     found = docs.select("doc_id", _row_id().alias("rid"), F.split("text", "\n").alias("lines")).join(
         lists, (F.col("rid") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))

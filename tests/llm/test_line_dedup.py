@@ -1,5 +1,6 @@
 """Line deduplication against all pairs of lines."""
 
+import hashlib
 import random
 
 import pytest
@@ -94,6 +95,22 @@ def test_equal_rows_keep_the_same_lines(make_docs):
     assert sorted((r.doc_id, r.text) for r in got) == [(1, line), (1, line), (2, "")]
 
 
+def test_places_beyond_the_broadcast_bound(make_docs, monkeypatch):
+    rows = [(i, "\n".join(f"line {(i * k) % 17} of the passage number {k % 5}" for k in range(9))) for i in range(40)]
+    want = sorted(map(tuple, L.dedup_lines(make_docs(rows)).collect()))
+    monkeypatch.setattr(L, "BROADCAST_PLACES", 0)
+    assert sorted(map(tuple, L.dedup_lines(make_docs(rows)).collect())) == want
+
+
+def test_very_long_text_and_line(make_docs):
+    """A line of 50,000 characters, one edit from another, and a text of 2,000 lines."""
+    long = " ".join(f"word{i}" for i in range(6_000))
+    many = "\n".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(2_000))
+    rows = [(1, long), (2, long + "!"), (3, many), (4, many)]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in L.dedup_lines(make_docs(rows)).collect()}
+    assert got == {1: (long, 1, 0), 2: ("", 1, 1), 3: (many, 2_000, 0), 4: ("", 2_000, 2_000)}
+
+
 def test_no_python_in_the_plan(make_docs):
     plan = L.dedup_lines(make_docs([(1, "x" * 50), (2, "x" * 51)]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan

@@ -89,3 +89,11 @@ def test_edge_rows(make_docs):
     assert len(one) == 3
     with pytest.raises(ValueError):
         M.Target(max_repeats=2.0, target_entropy=1.0)
+
+
+def test_very_long_text(make_docs):
+    """One text holds almost all tokens of its source; it is counted whole and shown as a whole."""
+    rows = [(1, "w " * 500_000, "a"), *[(i, "x y z", "a") for i in range(2, 20)], *[(i, "p q", "b") for i in range(20, 40)]]
+    got = shown(make_docs(rows))
+    assert {r.doc_id for r in got if r.epoch == 0} == {r[0] for r in rows}
+    assert {r.n_tokens for r in got if r.doc_id == 1} == {500_000}

@@ -66,6 +66,32 @@ def test_edge_rows(fitted, make_docs, spark):
     assert T.score(make_docs(rows), T.fit(make_docs(rows), odd)).count() == 7
 
 
+def test_registered_query_equals_plain_python(spark):
+    """The whole table, scored with the fitted weights text by text, without the number finder."""
+    from custlytics.llm.queries import op5_toxicity
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    model = T.fit(docs, spark.read.parquet(f"{SF01}/labels.parquet"))
+    weight = dict(zip(model.names, model.weights, strict=True))
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        z = model.bias + sum(weight.get(f, 0.0) for f in T.features(r.text))
+        want[r.doc_id] = (zlib.crc32(str(r.doc_id).encode()) % 5 == 0, 1 / (1 + np.exp(-z)))
+    rows = op5_toxicity(spark, SF01).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        held, score = want[r.doc_id]
+        assert r.held_out == held and r.score == pytest.approx(score, abs=1e-9) and r.predicted == (r.score >= 0.5)
+
+
+def test_very_long_text(fitted, make_docs):
+    """The one telling word at the end of three megabytes counts as at the start."""
+    model = fitted[2]
+    word = next(n[1:] for n in model.names if n.startswith("="))
+    filler = "123 456 " * 400_000
+    got = {r.doc_id: r.score for r in T.score(make_docs([(1, filler + word), (2, word), (3, filler)]), model).collect()}
+    assert got[1] == got[2] != got[3]
+
+
 def test_small_table(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     assert T.score(docs, T.fit(docs, spark.read.parquet(f"{SF01}/labels.parquet"))).count() == 1000
