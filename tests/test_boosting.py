@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from custlytics.operators import attribution as A
 from custlytics.operators import boosting as B
 from custlytics.operators import ml as M
 from custlytics.operators.attribution import boosted_trees, tree_attributions
@@ -177,3 +178,66 @@ def test_blocks_hold_one_fold_and_spread(spark, monkeypatch):
     before = scratch_mark(spark)
     fit(df, [B.Setting(4, 2, 0.3)])
     assert scratch_mark(spark) == before + 1
+
+
+def random_tree(rng, depth, share=1.0):
+    if depth == 0 or rng.random() < 0.1:
+        return A.Node(share, rng.normal())
+    z = rng.uniform(0.1, 0.9)
+    return A.Node(share, 0.0, int(rng.integers(0, 6)), float(rng.uniform(0.1, 0.9)), random_tree(rng, depth - 1, z), random_tree(rng, depth - 1, 1 - z))
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3, 4, 5, 6, 9])
+def test_tables_equal_the_walk(depth):
+    """Looked-up attributions are those of the walk; trees too deep for tables are walked."""
+    rng = np.random.default_rng(depth)
+    x = np.vstack([rng.random((5_000, 6)), np.full((1, 6), np.nan)])
+    roots = [random_tree(rng, depth) for _ in range(8)]
+    want = np.zeros((6, len(x)))
+    for root in roots:
+        A._add_tree(want, np.ascontiguousarray(x.T), root)
+    got = [A.tables(root, 6) for root in roots]
+    assert all(len(p.tests) <= A.MOST_TESTS for t in got for p in t.parts)
+    assert np.allclose(A.attributions_matrix(x, roots, 6), want.T, atol=1e-12)
+    assert np.allclose(A.attributions_matrix(x, got, 6), want.T, atol=1e-12)
+
+
+def test_attributions_take_a_few_additions_a_row():
+    """In under half the time of walking every tree for all rows."""
+    rng = np.random.default_rng(2)
+    x, roots = rng.random((40_000, 6)), [random_tree(rng, 4) for _ in range(40)]
+    start = time.perf_counter()
+    want = np.zeros((6, len(x)))
+    for root in roots:
+        A._add_tree(want, np.ascontiguousarray(x.T), root)
+    middle = time.perf_counter()
+    A.attributions_matrix(x, roots, 6)
+    assert time.perf_counter() - middle < (middle - start) / 2
+
+
+@pytest.mark.parametrize("name", ["churn_model_roundtrip", "tree_attributions_check"])
+def test_customers_are_not_broadcast(spark, name, monkeypatch):
+    """Both sides of these joins have a row a customer."""
+    from custlytics import catalog as CAT
+    from custlytics.session import materialize
+    df = spark.createDataFrame([(i, "s", float(i % 7), float(i % 3), float(i), i % 2, "train") for i in range(60)],
+                               "customer_id long, segment string, x double, y double, z double, churn_label int, split string")
+    for c in set(M.FEATURES) - set(df.columns):
+        df = df.withColumn(c, F.col("x") * (len(c) % 3) + F.col("z"))
+    frame = materialize(df)
+    model = M.fit_churn_model(frame, n_estimators=2, max_depth=2)
+    monkeypatch.setattr(CAT, "_fitted", lambda *_: (frame, model))
+    out = CAT.QUERIES[name](spark, "")
+    assert out.first()["customers"] == 60 and sum(out.first()[1:]) == 0
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_attributions_are_written_once(spark, monkeypatch):
+    """The summary and the importance of a check come from one table."""
+    from custlytics import catalog as CAT
+    written = []
+    attr = spark.createDataFrame([(i, f, float(i), float(i) / 3, 0.5) for i in range(20) for f in ("x", "y")],
+                                 "customer_id long, feature string, value double, attribution double, expected_value double")
+    monkeypatch.setattr(CAT, "_attributions", lambda *_: written.append(1) or attr)
+    rows = CAT.QUERIES["attribution_summary_check"](spark, "").collect()
+    assert len(written) == 1 and [tuple(r) for r in sorted(rows)] == [("x", True, True), ("y", True, True)]
