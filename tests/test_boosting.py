@@ -241,3 +241,76 @@ def test_attributions_are_written_once(spark, monkeypatch):
     monkeypatch.setattr(CAT, "_attributions", lambda *_: written.append(1) or attr)
     rows = CAT.QUERIES["attribution_summary_check"](spark, "").collect()
     assert len(written) == 1 and [tuple(r) for r in sorted(rows)] == [("x", True, True), ("y", True, True)]
+
+
+def trees_of(models):
+    return [a.tolist() for m in models for a in m.trees.arrays()]
+
+
+def test_whole_models_equal_passes(spark, monkeypatch):
+    """Grown by one task a model or level by level: the same integers, so the same trees and margins."""
+    monkeypatch.setattr(B, "KEEP_EVERY", 2)
+    df, x, _ = table(spark, 900)
+    df = df.withColumn("weight", F.when(F.col("x") > 0.5, F.lit(2.75)).otherwise(F.lit(1.0)))
+    settings = [B.Setting(5, 4, 0.3, 0.7, 0.7, 0), B.Setting(3, 3, 0.1, 1.0, 1.0, 1), B.Setting(4, 5, 0.2, 0.8, 0.4, None)]
+    found = []
+    for limit in (B.WHOLE_BYTES, 0):
+        monkeypatch.setattr(B, "WHOLE_BYTES", limit)
+        monkeypatch.setattr(B, "GROUP_CELLS", 40 if limit else 4_096)      # features counted one by one and together
+        models, state = fit(df, settings, bins=16, weight=F.col("weight"))
+        margins = {r.id_hash: np.frombuffer(r.margins, "<f8") for r in state.collect()}
+        found.append((trees_of(models), [margins[k] for k in sorted(margins)]))
+    assert found[0][0] == found[1][0] and [len(m.trees.feature) for m in models] == [5, 3, 4]
+    assert len(found[0][1]) == 900 and np.allclose(found[0][1], found[1][1], atol=1e-12)
+
+
+def test_whole_models_take_a_few_jobs(spark):
+    """Jobs do not grow with trees and levels: one grows the models."""
+    df, _, _ = table(spark)
+    spark.sparkContext.setJobGroup("boosting-whole", "")
+    try:
+        models, state = fit(df, [B.Setting(20, 3, 0.3, fold=f) for f in (0, 1, None)])
+        assert state.count() == 400
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert [len(m.trees.feature) for m in models] == [20, 20, 20]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosting-whole")) <= 15      # 60 passes before
+
+
+def test_models_have_a_task_each(spark):
+    """No task grows two models, whatever their numbers hash to; a model without rows has no trees."""
+    df, _, _ = table(spark)
+    edges = B.bin_edges(df, FEATS)
+    held = B._blocks(df.where("fold <> 2"), FEATS, "churn_label", "customer_id", F.lit(1.0), edges, 0)
+    growing = [B._Growing(B.Setting(2, 2, 0.3, fold=i % 3), i, B.Trees.empty(2)) for i in range(12)]
+    B._grow_whole(held, growing, 3, B.BINS)
+    assert all(g.done() for g in growing)
+    alone = [B._Growing(B.Setting(2, 2, 0.3, fold=0), 0, B.Trees.empty(2))]
+    B._grow_whole(held.where("fold = 0"), alone, 3, B.BINS)
+    assert len(alone[0].trees.feature) == 0
+    parts = spark.createDataFrame([(i,) for i in range(12)], "slot int").repartitionById(12, "slot")
+    assert sorted(tuple(r) for r in parts.select("slot", F.spark_partition_id()).collect()) == [(i, i) for i in range(12)]
+
+
+def test_steps_stay_exact(spark):
+    """Weights so large that a whole table's sums would leave 53 bits are added in smaller steps."""
+    rng = np.random.default_rng(5)
+    n = 2_000
+    bins, label = rng.integers(0, 16, (3, n)).astype(np.uint8), rng.integers(0, 2, n).astype(np.int32)
+    rows = B._Rows(rng.integers(0, 1 << 40, n), label, None, np.where(label == 1, 3e7, 1.0), bins, np.zeros((0, n)))
+    model = B._grown(rows, B.Setting(1, 1), 16)
+    g, h = B._gradients(rows, np.zeros(n), 1.0, 0)
+    total = [sum(int(v) for v in x) / B.UNIT for x in (g, h)]
+    assert model.value[0, 0] == -0.1 * total[0] / (total[1] + 1) and model.cover[0, 0] == total[1]
+
+
+def test_features_are_counted_in_groups():
+    rng = np.random.default_rng(6)
+    sizes = [64, 4, 64, 20, 5, 64, 1, 256]
+    groups = B._groups(sizes)
+    assert sorted(i for g in groups for i in g) == list(range(8)) and len(groups) == 4
+    columns = [rng.integers(0, s, 30_000).astype(np.uint8) for s in sizes]
+    sums_of = np.rint(rng.normal(size=(2, 30_000)) * B.UNIT)
+    counts, at = B._Counts(columns, sizes, sums_of, 256, 7_000), np.flatnonzero(rng.random(30_000) < 0.8)
+    want = [[np.bincount(c[at], v[at], 256) for c in columns] for v in sums_of]
+    assert np.array_equal(counts._many(at), want) and np.array_equal(counts._few(at), want)
